@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, line_dedup, packing, quality
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -21,5 +21,22 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_bpe_round_trip)}
-ORACLE: dict[str, str] = {}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_best_fit_packing,
+        op3_bpe_round_trip,
+        op7_quality_rules,
+        op8_line_dedup,
+    )
+}
+ORACLE: dict[str, str] = {"op7_quality_rules": quality.ORACLE}
