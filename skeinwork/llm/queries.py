@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality
-from .common import table
+from . import bpe, line_dedup, packing, quality, secret_scan, token_rollup, topk, url_rules
+from .common import shared_dir, table
 from .near_dedup import near_duplicates
 
 
@@ -21,6 +24,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -35,8 +46,12 @@ QUERIES = {
         op1_minhash_near_dedup,
         op2_best_fit_packing,
         op3_bpe_round_trip,
+        op4_url_rules,
+        op6_exact_top_k,
         op7_quality_rules,
         op8_line_dedup,
+        op9_secret_scan,
+        op10_token_rollup,
     )
 }
-ORACLE: dict[str, str] = {"op7_quality_rules": quality.ORACLE}
+ORACLE: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_quality_rules": quality.ORACLE}
