@@ -46,10 +46,10 @@ def _let(value: Column, body) -> Column:
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), one row per row of docs."""
+    """(id, th, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), one row per row of docs; th is the text's hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
-        F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"),
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(host_col).cast("string").alias("host"),
         _let(words_of(text), lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -60,7 +60,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
             F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")
         )).alias("x"),
     )
-    return split.select("id", "host", "w.n_words", "w.word_chars", "n_symbols", "x.n_lines", "x.n_dup_lines", "w.n_repeat_words")
+    return split.select("id", "th", "host", "w.n_words", "w.word_chars", "n_symbols", "x.n_lines", "x.n_dup_lines", "w.n_repeat_words")
 
 
 def judge(
@@ -72,7 +72,7 @@ def judge(
     max_dup_line_percent: int = 50,
     max_host_rate: float = 0.6,
 ) -> DataFrame:
-    """One row per row of docs: the counts, base_failed, host_rate and kept.
+    """One row per row of docs: text_hash, the counts, base_failed, host_rate and kept.
 
     A document fails the base rules with under 50 words or with more than half its words in repeated windows, and the
     further rules with too many symbols per word character or too many repeated lines. kept is false for a document that
@@ -100,7 +100,14 @@ def judge(
     same = (F.coalesce(rows.host, F.lit("")) == shrunk["at"]) & (rows.host.isNull() == shrunk["none"])
     out = rows.join(shrunk, same)
     kept = ~F.col("failed") & (F.col("host_rate") <= max_host_rate)
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    good = judge(docs, id_col, text_col, host_col, **limits).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__th"))
+    return docs.join(good.hint("shuffle_hash"), same, "left_semi")
 
 
 ORACLE = r"""

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality, secret_scan, token_rollup, topk, url_rules
+import corpus_pipeline
+
+from . import bpe, html_blocks, line_dedup, packing, quality, secret_scan, token_rollup, topk, url_rules
 from .common import shared_dir, table
 from .near_dedup import near_duplicates
 
@@ -28,12 +30,16 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate", "text_hash")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +53,7 @@ QUERIES = {
         op2_best_fit_packing,
         op3_bpe_round_trip,
         op4_url_rules,
+        op5_html_blocks,
         op6_exact_top_k,
         op7_quality_rules,
         op8_line_dedup,
@@ -54,4 +61,5 @@ QUERIES = {
         op10_token_rollup,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_quality_rules": quality.ORACLE}
