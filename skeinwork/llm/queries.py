@@ -46,6 +46,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of inserts, sent twice as a retried job would; the second time changes nothing."""
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    batch = token_rollup.count_tokens(table(spark, sf_dir, "documents")).withColumn("op", F.lit("insert"))
+    for _ in range(2):
+        rollup.commit(1, batch)
+    return rollup.totals()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
