@@ -4,8 +4,8 @@ A line is its words in order. Two lines are alike if they are equal, or if one w
 turns one into the other and both have near_words words at least. Of alike lines the earliest stays. Equal lines meet by hash.
 For the others, every line emits the hashed keys of all its variants with one word deleted: lines of one length that agree on a key
 and its place differ in that word alone, and a variant that is a whole shorter line differs by an insertion. Pairs are then
-verified on the words. A line can only have such a partner if it shares its first or its last half with another line, so
-lines without that emit no variants; the test loses nothing.
+verified on the words. A line can only have such a partner if it shares its first or its last half with another line, and the
+edit is in the other half; so variants are only emitted for such lines and places. That loses nothing.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ def _hashes(words: Column) -> list[Column]:
     return [F.xxhash64(F.size(words), words).alias("h1"), F.xxhash64(words, F.lit(1)).alias("h2")]
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the first and last k words, for both k that a line and one of a word more or less have in common."""
+def _halves(words: Column) -> list[Column]:
+    """Hashes of the first and last k words, for both k that a line may have in common with one of a word more or less."""
     n = F.size(words)
-    ks = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    front = F.transform(ks, lambda k: F.xxhash64(F.lit(0), k, F.slice(words, 1, k)))
-    back = F.transform(ks, lambda k: F.xxhash64(F.lit(1), k, F.slice(words, n - k + 1, k)))
-    return F.concat(front, back)
+    out = []
+    for name, k in (("1", F.floor(n / 2).cast("int")), ("2", F.floor((n - 1) / 2).cast("int"))):
+        out.append(F.xxhash64(k, F.slice(words, F.lit(1), k)).alias("front" + name))
+        out.append(F.xxhash64(k, F.slice(words, n - k + 1, k)).alias("back" + name))
+    return out
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,46 +48,53 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if near_words < 2:
         raise ValueError("near_words must be 2 or more")
     lines = _lines(docs, id_col, text_col).filter(F.size("words") >= min_words)
-    halves = F.when(F.size("words") >= near_words - 1, _halves(F.col("words")))
-    lines = materialize(lines.select("id", "th", "line", F.size("words").alias("n"), *_hashes(F.col("words")), halves.alias("halves")))
-    first = lines.groupBy(*_LINE).agg(F.min(F.struct("id", "th", "line")).alias("at"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
+    halves = ["front1", "back1", "front2", "back2"]
+    lines = materialize(lines.select("id", "th", "line", F.size("words").alias("n"), *_hashes(F.col("words")), *_halves(F.col("words"))))
+    first = lines.groupBy(*_LINE).agg(F.min(F.struct("id", "th", "line")).alias("at"), *[F.any_value(c).alias(c) for c in ("n", *halves)])
     first = materialize(first)
 
     # lines that share a half with another line
-    keyed = first.filter(F.col("n") >= near_words).select(*_LINE, F.explode("halves").alias("half"))
-    twice = keyed.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1")
-    near = keyed.join(twice, "half", "left_semi").select(*_LINE).distinct()
-    near = materialize(first.join(near, _LINE, "left_semi").select(*_LINE, "n", "at"))
+    sides = [F.struct(F.lit(c[:-1]).alias("side"), F.col(c).alias("half")) for c in halves]
+    keyed = first.filter(F.col("n") >= near_words).select(*_LINE, F.explode(F.array_distinct(F.array(*sides))).alias("x")).select(*_LINE, "x.*")
+    twice = keyed.groupBy("side", "half").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    near = keyed.join(twice, ["side", "half"], "left_semi").groupBy(*_LINE)
+    near = near.agg(F.max(F.col("side") == "front").alias("front"), F.max(F.col("side") == "back").alias("back"))
+    near = materialize(first.select(*_LINE, "n", "at").join(near, _LINE))
     source = docs.select(F.col(id_col), F.col(text_col))
     wanted = near.select(F.col("at.id").alias("id")).distinct()
     held = source.join(wanted.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("id")), "left_semi")
     texts = _lines(held, id_col, text_col).filter(F.size("words") >= near_words).withColumns(dict(zip(_LINE, _hashes(F.col("words")))))
-    where = near.select("h1", "h2", "at", "n")
+    where = near.select(*_LINE, "at", "n", "front", "back")
     mine = (texts.h1 == where.h1) & (texts.h2 == where.h2) & F.col("at").eqNullSafe(F.struct("id", "th", "line"))
-    texts = texts.join(where, mine).select(texts.h1, texts.h2, "n", "at", "words").dropDuplicates(_LINE)
+    texts = texts.join(where, mine).select(texts.h1, texts.h2, "n", "at", "front", "back", "words").dropDuplicates(_LINE)
     texts = materialize(texts)
 
     # The key of a line is the XOR of its words' hashes with their places; prefixes and suffixes give each variant's key.
-    words = texts.select(*_LINE, "n", "at", F.posexplode("words").alias("p", "w"))
-    words = words.select(*_LINE, "n", "at", "p", F.xxhash64("p", "w").alias("g"), F.xxhash64(F.col("p") - 1, "w").alias("s"))
+    own = [*_LINE, "n", "at", "front", "back", "p"]
+    words = texts.select(*own[:-1], F.posexplode("words").alias("p", "w"))
+    words = words.select(*own, F.xxhash64("p", "w").alias("g"), F.xxhash64(F.col("p") - 1, "w").alias("s"))
     line = Window.partitionBy(*_LINE).orderBy("p")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
-    after = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     variants = words.select(
-        *_LINE, "n", "at", "p",
-        F.bit_xor("g").over(Window.partitionBy(*_LINE)).alias("whole"), "g",
-        F.coalesce(F.bit_xor("g").over(before), F.lit(0)).alias("front"),
-        F.bit_xor("s").over(after).alias("back"), "s",
-    ).select(*_LINE, "n", "at", "p", "whole", F.col("whole").bitwiseXOR(F.col("g")).alias("changed"), F.col("front").bitwiseXOR(F.col("back")).bitwiseXOR(F.col("s")).alias("shorter"))
-    variants = materialize(variants)
+        *own, "g",
+        F.bit_xor("g").over(Window.partitionBy(*_LINE)).alias("whole"),
+        F.coalesce(F.bit_xor("g").over(before), F.lit(0)).alias("ahead"),
+        F.bit_xor("s").over(Window.partitionBy(*_LINE)).bitwiseXOR(F.bit_xor("s").over(line.rowsBetween(Window.unboundedPreceding, 0))).alias("behind"),
+    )
+    # Where only the first half is shared, the edit is in the last one, and the other way round.
+    there = F.col("front") & (F.col("p") >= F.floor((F.col("n") - 1) / 2)) | F.col("back") & (F.col("p") <= F.floor(F.col("n") / 2) + 1)
+    changed, shorter = F.col("whole").bitwiseXOR(F.col("g")), F.col("ahead").bitwiseXOR(F.col("behind"))
+    variants = variants.select("n", "at", "p", "whole", F.when(there, changed).alias("changed"), F.when(there, shorter).alias("shorter"))
+    variants = materialize(variants.filter("p = 0 or changed is not null"))
 
     # One word changed: of all lines with equal variants at a place, the earliest.
     group = ["n", "p", "changed"]
-    earliest = variants.groupBy(*group).agg(F.min("at").alias("low"), F.count("*").alias("c")).filter("c > 1")
-    changed = variants.join(earliest, group).filter("low < at").select("at", "low", (F.col("p") + 1).alias("p"), F.lit(1).alias("skip"))
+    edited = variants.filter("changed is not null")
+    earliest = edited.groupBy(*group).agg(F.min("at").alias("low"), F.count("*").alias("c")).filter("c > 1")
+    changed = edited.join(earliest, group).filter("low < at").select("at", "low", (F.col("p") + 1).alias("p"), F.lit(1).alias("skip"))
     # One word more: a variant that is a shorter line. Either may be the earlier one.
     whole = variants.filter("p = 0").select("whole", (F.col("n") + 1).alias("n"), F.col("at").alias("base"))
-    longer = variants.select("n", "p", F.col("shorter").alias("whole"), "at").join(whole, ["n", "whole"])
+    longer = edited.select("n", "p", F.col("shorter").alias("whole"), "at").join(whole, ["n", "whole"])
     longer = longer.filter("at <> base").select("at", "base", (F.col("p") + 1).alias("p"))
 
     body = texts.select("at", "words")
