@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sqlmeta import _extract, strip_comments
+from .sqlmeta import _extract, strip, strip_comments
 
 _TABLE = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:(\w+)\.)?(\w+)\s*\((.*?)\)\s*;"
 _STRICT_TABLE = r"(?is)CREATE\s+TABLE\s+()(\w+)\s*\((.*?)\);"
@@ -65,15 +65,15 @@ def columns(tables_: DataFrame) -> DataFrame:
 def indexes(files: DataFrame, text_col: str = "value") -> DataFrame:
     """(table_name, name, type, columns): UNIQUE or B-tree."""
     hits = files.select(F.explode(F.regexp_extract_all(strip_comments(F.col(text_col)), F.lit(_INDEX), F.lit(0))).alias("x"))
-    cols = F.transform(F.split(_extract(F.col("x"), _INDEX, 4), ","), F.trim)
+    cols = F.transform(F.split(_extract(F.col("x"), _INDEX, 4), ","), lambda x: strip(x))
     return hits.select(_extract(F.col("x"), _INDEX, 3).alias("table_name"), _extract(F.col("x"), _INDEX, 2).alias("name"), F.when(_extract(F.col("x"), _INDEX, 1) != "", "UNIQUE").otherwise("B-tree").alias("type"), cols.alias("columns"))
 
 
 def constraints(files: DataFrame, path_col: str = "file_path", text_col: str = "value") -> DataFrame:
     """(table_name, name, type, definition, ref_table, source) of inline and ALTER constraints together."""
     alters = files.select(F.explode(F.regexp_extract_all(strip_comments(F.col(text_col)), F.lit(_ALTER), F.lit(0))).alias("x"))
-    alters = alters.select(_extract(F.col("x"), _ALTER, 1).alias("table_name"), _extract(F.col("x"), _ALTER, 2).alias("name"), F.trim(_extract(F.col("x"), _ALTER, 3)).alias("definition"), F.lit("alter").alias("source"))
+    alters = alters.select(_extract(F.col("x"), _ALTER, 1).alias("table_name"), _extract(F.col("x"), _ALTER, 2).alias("name"), strip(_extract(F.col("x"), _ALTER, 3)).alias("definition"), F.lit("alter").alias("source"))
     inner = tables(files, path_col, text_col).select("table_name", F.explode(_top_level_items(F.col("body"))).alias("x")).filter(F.col("x").rlike(r"(?i)\bCONSTRAINT\s+\w+"))
-    inner = inner.select("table_name", _extract(F.col("x"), _INLINE, 1).alias("name"), F.trim(_extract(F.col("x"), _INLINE, 2)).alias("definition"), F.lit("inline").alias("source"))
+    inner = inner.select("table_name", _extract(F.col("x"), _INLINE, 1).alias("name"), strip(_extract(F.col("x"), _INLINE, 2)).alias("definition"), F.lit("inline").alias("source"))
     both = alters.unionByName(inner)
     return both.select("table_name", "name", constraint_type(F.col("definition")).alias("type"), "definition", F.nullif(_extract(F.col("definition"), r"(?i)REFERENCES\s+(\w+)"), F.lit("")).alias("ref_table"), "source")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sqlmeta import strip
+
 # Vocabularies that decide how code elements are classed.
 EXTERNAL_PREFIXES = ("java", "javax", "jakarta", "org.springframework", "org.apache", "org.hibernate", "org.slf4j", "org.junit", "org.mockito", "org.hamcrest", "lombok", "com.fasterxml.jackson", "ch.qos.logback", "junit")
 NARROW_EXTERNAL_PREFIXES = ("java.", "javax.", "org.springframework.", "org.apache.", "lombok.")
@@ -199,7 +201,7 @@ def sql_return_type(result_map: Column, result_type: Column) -> Column:
 def lenient_tables(text: Column, columns: Column) -> Column:
     """Table names from a JSON list of objects, a comma list, or else the columns' tables."""
     parsed = F.transform(F.from_json(text, "array<struct<name:string>>"), lambda t: t["name"])
-    listed = F.when(~text.rlike(r"^\s*[\[{]"), F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    listed = F.when(~text.rlike(r"^\s*[\[{]"), F.filter(F.transform(F.split(text, ","), lambda x: strip(x)), lambda x: x != ""))
     own = F.array_distinct(F.array_compact(F.transform(columns, lambda c: c["table"])))
     return F.coalesce(F.when(F.size(parsed) > 0, parsed), F.when(F.size(listed) > 0, listed), own, F.array().cast("array<string>"))
 
@@ -220,9 +222,9 @@ def mermaid_id(text: Column) -> Column:
 
 def clean_reply(text: Column) -> Column:
     """A model's reply without its <think> part and the fence around it."""
-    thought = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    thought = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     fenced = F.regexp_extract(thought, r"(?s)^```\w*\s*\n(.*?)\n?```\s*$", 1)
-    return F.trim(F.when(fenced != "", fenced).otherwise(thought))
+    return strip(F.when(fenced != "", fenced).otherwise(thought))
 
 
 def error_class(message: Column) -> Column:

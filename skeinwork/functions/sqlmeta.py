@@ -22,6 +22,11 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean(sql: Column) -> Column:
     return collapse_whitespace(strip_comments(F.coalesce(sql, F.lit(""))))
 
@@ -32,7 +37,7 @@ def _let(value: Column, body) -> Column:
 
 def _items(text: Column) -> Column:
     """The non-empty trimmed parts of a comma list."""
-    return F.filter(F.transform(F.split(text, ",", -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ",", -1), lambda x: strip(x)), lambda x: x != "")
 
 
 def _extract(sql: Column, pattern: str, group: int = 1) -> Column:
@@ -98,7 +103,7 @@ def select_columns(sql: Column) -> Column:
     """Structs (name, table) of the select list; a naive comma split, the alias dropped."""
 
     def one(part: Column) -> Column:
-        body = F.trim(F.regexp_replace(part, r"(?i)^(.*?)(?:\s+AS\s+|\s+)\w+$", "$1"))
+        body = strip(F.regexp_replace(part, r"(?i)^(.*?)(?:\s+AS\s+|\s+)\w+$", "$1"))
         dotted = F.instr(body, ".") > 0
         return F.struct(
             F.when(dotted, F.substring(body, F.instr(body, ".") + 1, F.length(body))).otherwise(body).alias("name"),
@@ -112,18 +117,18 @@ def written_columns(sql: Column, sql_type: Column) -> Column:
     """Column names in INSERT (…) VALUES or left of = in UPDATE … SET … WHERE; an UPDATE without WHERE has none."""
     kind = F.upper(sql_type)
     insert = _items(_extract(sql, r"(?is)\((.*?)\)\s*VALUES"))
-    update = F.transform(_items(_extract(sql, r"(?is)SET\s+(.*?)\s+WHERE\b")), lambda x: F.trim(F.substring_index(x, "=", 1)))
+    update = F.transform(_items(_extract(sql, r"(?is)SET\s+(.*?)\s+WHERE\b")), lambda x: strip(F.substring_index(x, "=", 1)))
     return F.when(kind == "INSERT", insert).when(kind == "UPDATE", update).otherwise(F.array().cast("array<string>"))
 
 
 def clause(sql: Column, keyword: str) -> Column:
     """The body of a clause as an array of none or one."""
     body = _extract(sql, rf"(?is)\b{keyword}\s+(.*?)(?:\s+GROUP\s+BY\b|\s+ORDER\s+BY\b|\s+HAVING\b|\s+LIMIT\b|\s+OFFSET\b|$)")
-    return F.filter(F.array(F.trim(body)), lambda x: x != "")
+    return F.filter(F.array(strip(body)), lambda x: x != "")
 
 
 def clause_columns(sql: Column, keyword: str) -> Column:
-    return F.flatten(F.transform(clause(sql, keyword), _items))
+    return F.flatten(F.transform(clause(sql, keyword), lambda x: _items(x)))
 
 
 def subqueries(sql: Column) -> Column:

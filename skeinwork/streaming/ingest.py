@@ -15,7 +15,7 @@ from ..sources.java import SCHEMA, parsed_classes
 
 
 def java_stream(spark: SparkSession, path: str, files_per_batch: int = 50) -> DataFrame:
-    rows = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").option("maxFilesPerTrigger", files_per_batch).text(path)
+    rows = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("file_path"), "value")
 
 
