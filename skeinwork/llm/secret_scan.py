@@ -2,8 +2,8 @@
 
 Everything is built-in expressions. A pattern's matches are marked in the text, which is then split at the marks, so that
 lengths give places. A further token of letters and digits gets an encoding from the letters it uses; under the hypothesis that
-its letters are drawn evenly from that encoding's alphabet, three tests (chi-squared of the letter counts, runs about the
-middle of the alphabet, serial correlation of neighbours) give p-values, of which the smallest, times three, counts. Tokens
+its letters are drawn evenly from that encoding's alphabet, four tests (chi-squared of the letter counts and of the counts of letter
+kinds, runs about the middle of the alphabet, serial correlation of neighbours) give p-values, of which the smallest, times four, counts. Tokens
 that Benjamini-Hochberg rejects at the given rate, within tokens of like length over all documents, are structured text; the
 others are spans of kind random.
 """
@@ -95,10 +95,21 @@ def p_random(token: Column) -> Column:
         squares = F.aggregate(letters, F.lit(0), lambda acc, c: acc + n - F.length(F.replace(x["s"], c, F.lit(""))))
         places = F.transform(letters, lambda c: F.instr(x["alphabet"], c))
 
+        def normal(chi: Column, free: Column) -> Column:
+            """A chi-squared value as a normal one, by its cube root."""
+            return (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+
+        def coarse() -> tuple[Column, Column]:
+            """Chi-squared of upper-case letters, lower-case ones, digits and signs, and its degrees of freedom."""
+            chi, free = F.lit(0.0), F.lit(-1.0)
+            for kind in ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]"):
+                there, want = F.regexp_count(x["s"], F.lit(kind)), n * F.regexp_count(x["alphabet"], F.lit(kind)) / size
+                chi = chi + F.when(want > 0, F.pow(there - want, F.lit(2.0)) / F.greatest(want, F.lit(1e-9))).otherwise(0.0)
+                free = free + F.when(want > 0, 1.0).otherwise(0.0)
+            return chi, F.greatest(free, F.lit(1.0))
+
         def tests(at: Column) -> Column:
-            free = size - 1
-            chi = F.greatest(squares * size / n - n, F.lit(0.0))
-            even = (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+            even = F.greatest(normal(squares * size / n - n, size - 1), normal(*coarse()))
             pairs = F.arrays_zip(F.slice(at, 1, n - 1).alias("a"), F.slice(at, 2, n - 1).alias("b"))
             half, middle = size / 2, (size + 1) / 2
             changes = F.size(F.filter(pairs, lambda p: (p["a"] > half) != (p["b"] > half)))
@@ -106,7 +117,7 @@ def p_random(token: Column) -> Column:
             spread = (size * size - 1) / 12
             moved = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - middle) * (p["b"] - middle))
             serial = moved / (spread * F.sqrt((n - 1).cast("double")))
-            return F.least(F.lit(1.0), 3 * F.least(_upper_tail(even), 2 * _upper_tail(F.abs(runs)), 2 * _upper_tail(F.abs(serial))))
+            return F.least(F.lit(1.0), 4 * F.least(_upper_tail(even), 2 * _upper_tail(F.abs(runs)), 2 * _upper_tail(F.abs(serial))))
 
         return _let(places, tests)
 
