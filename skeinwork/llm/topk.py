@@ -1,17 +1,14 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 Vectors are cut into ``shards`` runs of dimensions; each shard is a source of partial scores, worked on in blocks of queries and
-candidates. Phase 1: each shard lists its best partial scores of every block; the kth best sum of what the lists
-hold, with the least of the shard's partial scores in place of those missing, is a score that the kth result reaches at least. Phase 2: that cutoff, divided evenly among the shards,
-goes to all of them, and each gives every entry that reaches its share: a candidate below it everywhere cannot reach the
-cutoff. Sums of what is known, with the share in place of what is not, raise the cutoff and drop candidates. Phase 3: the remaining candidates
-are scored exactly from the whole vectors.
+candidates. Phase 1: each shard lists its best partial scores of every block; the listed candidates are scored whole, and the kth
+best of them is a score that the kth result reaches at least. Phase 2: that cutoff, divided evenly among the shards, goes to all of
+them, and each gives every entry that reaches its share: a candidate below it everywhere cannot reach the cutoff. Phase 3: the
+candidates given are scored exactly from the whole vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-_SCORES = "query_id long, shard int, vec_id long, score long, least long"
+_PAIRS = "query_id long, vec_id long"
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -90,55 +87,56 @@ def top_k(
     c_blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
     q_parts, c_parts = _shards(asked, dims, shards, q_blocks, "q"), _shards(distinct, dims, shards, c_blocks, "c")
 
+    mine = asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    theirs = distinct.select(F.col("id").alias("vec_id"), F.col("v").alias("cv"), "ids")
+    dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(query_id, score, ids) of pairs, from the whole vectors."""
+        return pairs.join(mine, "query_id").join(theirs, "vec_id").select("query_id", "vec_id", dot.alias("score"), "ids")
+
+    def pairs_of(q: pd.DataFrame, c: pd.DataFrame, row: np.ndarray, col: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": q["id"].to_numpy()[row], "vec_id": c["id"].to_numpy()[col]})
+
+    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64")})
+
     # Phase 1. Candidates are different vectors; a query's own vector is among them, so one more is listed.
-    def lists(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def lists(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({x.split()[0]: pd.Series(dtype="int64") for x in _SCORES.split(", ")})
+            return none
         score = _product(q, c, exact)
         take = min(k + 1, score.shape[1])
         at = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        rows = np.repeat(np.arange(len(q)), take)
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[rows], "shard": key[0], "vec_id": c["id"].to_numpy()[at.ravel()], "score": score[rows, at.ravel()], "least": score.min(axis=1)[rows]})
-
-    listed = materialize(_paired(q_parts, c_parts, q_blocks, c_blocks, []).applyInPandas(lists, _SCORES))
-    least = listed.groupBy("query_id", "shard").agg(F.min("least").alias("least")).groupBy("query_id").agg(F.sum("least").alias("all_least"))
-    own = listed.groupBy("query_id", "shard").agg(F.min("least").alias("least"))
-    known = listed.join(own.withColumnRenamed("least", "floor"), ["query_id", "shard"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("floor")).alias("gain"))
-    sums = known.join(least, "query_id").select("query_id", "vec_id", (F.col("all_least") + F.col("gain")).alias("bound"))
-    cutoff = _kth(sums, k + 1)
+        return pairs_of(q, c, np.repeat(np.arange(len(q)), take), at.ravel())
+
+    listed = _paired(q_parts, c_parts, q_blocks, c_blocks, []).applyInPandas(lists, _PAIRS).distinct()
+    cutoff = _kth(scored(listed), k + 1)
     safe = asked.select(F.col("id").alias("query_id")).join(cutoff, "query_id", "left")
     safe = materialize(safe.select("query_id", F.coalesce("cutoff", F.lit(-(1 << 62))).alias("cutoff")))
 
     # Phase 2. The shares of the shards add up to the cutoff.
-    shares = q_parts.join(safe, q_parts.id == safe.query_id).withColumn("share", F.when(F.col("shard") == 0, F.col("cutoff") - F.floor(F.col("cutoff") / shards) * (shards - 1)).otherwise(F.floor(F.col("cutoff") / shards)))
+    even = F.floor(F.col("cutoff") / shards)
+    shares = q_parts.join(safe, q_parts.id == safe.query_id).withColumn("share", F.when(F.col("shard") == 0, F.col("cutoff") - even * (shards - 1)).otherwise(even))
 
-    def entries(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def entries(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({x.split()[0]: pd.Series(dtype="int64") for x in _SCORES.split(", ")})
-        score, share = _product(q, c, exact), q["share"].to_numpy()
-        row, col = np.nonzero(score >= share[:, None])
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[row], "shard": key[0], "vec_id": c["id"].to_numpy()[col], "score": score[row, col], "least": share[row]})
-
-    given = _paired(shares, c_parts, q_blocks, c_blocks, ["share"]).applyInPandas(entries, _SCORES)
-    given = given.groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("least")).alias("over"), F.count("*").alias("seen"))
-    given = materialize(given.join(safe, "query_id").select("query_id", "vec_id", "seen", (F.col("cutoff") + F.col("over")).alias("bound")))
-    better = _kth(given.filter(F.col("seen") == shards), k + 1).withColumnRenamed("cutoff", "higher")
-    left = given.join(better, "query_id", "left").filter(F.col("higher").isNull() | (F.col("bound") >= F.col("higher"))).select("query_id", "vec_id")
-
-    # Phase 3.
-    mine = asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    theirs = distinct.select(F.col("id").alias("vec_id"), F.col("v").alias("cv"), "ids")
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    scored = left.join(mine, "query_id").join(theirs, "vec_id").select("query_id", dot.alias("score"), F.explode("ids").alias("vec_id"))
+            return none
+        row, col = np.nonzero(_product(q, c, exact) >= q["share"].to_numpy()[:, None])
+        return pairs_of(q, c, row, col)
+
+    given = _paired(shares, c_parts, q_blocks, c_blocks, ["share"]).applyInPandas(entries, _PAIRS).distinct()
+
+    # Phase 3. Copies of a vector come back here; only so many of their smallest ids as can be wanted.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("vec_id"), "score")
+    each = scored(given).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """(query_id, cutoff): the kth highest bound of each query; queries with fewer rows are left out."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
-    return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("rank") == k).select("query_id", F.col("bound").alias("cutoff"))
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, cutoff): the kth highest score of each query; queries with fewer rows are left out."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
 
 
 ORACLE = """
