@@ -122,7 +122,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_
     for name, pattern in unindexed:
         hits = hits.union(open_.filter(F.col("url").rlike(pattern)).select("url", F.lit(name)))
     hits = hits.groupBy("url").agg(F.min("name").alias("pattern")).withColumnRenamed("url", "hit")
-    out = rows.join(hits, F.when(F.col("rule").isNull(), F.col("url")) == F.col("hit"), "left")
+    # Rows that are decided already, or have no URL, stay out of the join: their keys would all be null.
+    in_question = F.col("rule").isNull() & F.col("url").isNotNull()
+    out = rows.filter(in_question).join(hits, F.col("url") == F.col("hit"), "left").drop("hit")
+    out = out.unionByName(rows.filter(~in_question).withColumn("pattern", F.lit(None).cast("string")))
     said = F.coalesce("said", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", said.alias("verdict"), "pattern")
 
