@@ -2,12 +2,13 @@
 
 A page is parsed into leaf blocks in page order, each with its tag path and text. A bidirectional LSTM in numpy reads a vector for each block
 (the hashed tags, classes and ids of its path, its hashed words, its length, links and punctuation) and labels every block in the light
-of the whole page. The labeller is trained where it is first needed, in a few seconds, on pages made by ``training_page``: the number of
+of the whole page. The labeller is trained when it is first needed, in one task of a few seconds, on pages made by ``training_page``: the number of
 pages is the bound ``TRAINING_PAGES``, and no row of the data is used.
 """
 
 from __future__ import annotations
 
+import io
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAINING_PAGES = 800
@@ -260,6 +261,25 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = 24, seed: int = 7) -> dic
     return p
 
 
+_fitted: dict[int, dict[str, np.ndarray]] = {}
+
+
+def fitted(spark: SparkSession, pages: int = TRAINING_PAGES) -> dict[str, np.ndarray]:
+    """trained(pages), from a task of one row: there numpy has one thread, which small matrices are quickest with."""
+    if pages not in _fitted:
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                held = io.BytesIO()
+                np.savez(held, **trained(pages))
+                yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["model"])
+
+        model = spark.range(1, numPartitions=1).mapInArrow(of, "model binary").first()["model"]
+        with np.load(io.BytesIO(bytes(model))) as parts:
+            _fitted[pages] = {name: parts[name] for name in parts.files}
+    return _fitted[pages]
+
+
 #: In made pages, the first character of every block of main text; it is taken out before the vectors are made.
 MARK = "\u2060"
 
@@ -395,7 +415,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty html and pages without main text give an empty text. Null ids and urls and repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    params = trained(training_pages)
+    params = fitted(pages.sparkSession, training_pages)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
