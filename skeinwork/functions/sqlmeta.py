@@ -79,13 +79,13 @@ def joins(sql: Column, strict: bool = False) -> Column:
     return F.transform(F.regexp_extract_all(sql, F.lit(pattern), F.lit(0)), one)
 
 
-def tables(sql: Column, sql_type: Column, strict: bool = False) -> Column:
-    """All tables a statement touches: FROM and JOIN for SELECT, the target for INSERT, UPDATE and DELETE."""
+def tables(sql: Column, sql_type: Column, strict: bool = False, joined: Column | None = None) -> Column:
+    """All tables a statement touches: FROM and JOIN for SELECT, the target for INSERT, UPDATE and DELETE. joined: joins(sql), if it is at hand."""
 
     def target(pattern: str) -> Column:
         return F.filter(F.array(_named(_extract(sql, pattern), F.lit(""))), lambda t: t["name"] != "")
 
-    joined = F.transform(joins(sql, strict), lambda j: F.struct(j["name"].alias("name"), j["alias"].alias("alias"), j["schema"].alias("schema")))
+    joined = F.transform(joins(sql, strict) if joined is None else joined, lambda j: F.struct(j["name"].alias("name"), j["alias"].alias("alias"), j["schema"].alias("schema")))
 
     def merged(t: Column) -> Column:
         return F.concat(t, F.filter(joined, lambda j: ~F.exists(t, lambda x: x["name"] == j["name"])))
@@ -154,18 +154,17 @@ def complexity_level(score: Column) -> Column:
     return F.when(score <= 3, "simple").when(score <= 7, "medium").when(score <= 12, "complex").otherwise("very_complex")
 
 
-def characteristics(sql: Column, strict: bool = False) -> Column:
-    where = F.size(F.flatten(F.transform(clause(sql, "WHERE"), lambda w: F.split(w, r"(?i)\s+(?:AND|OR)\s+", -1))))
-    marks = [
-        (F.size(joins(sql, strict)) > 3, "multiple_joins"),
-        (F.size(subqueries(sql)) > 0, "subqueries"),
-        (where > 5, "complex_where"),
-        (F.size(clause_columns(sql, r"GROUP\s+BY")) > 0, "grouping"),
-        (F.size(clause_columns(sql, r"ORDER\s+BY")) > 3, "complex_ordering"),
-    ]
+def _marks(n_joins: Column, n_subqueries: Column, where: Column, n_group: Column, n_order: Column) -> Column:
+    conditions = F.size(F.flatten(F.transform(where, lambda w: F.split(w, r"(?i)\s+(?:AND|OR)\s+", -1))))
+    marks = [(n_joins > 3, "multiple_joins"), (n_subqueries > 0, "subqueries"), (conditions > 5, "complex_where"), (n_group > 0, "grouping"), (n_order > 3, "complex_ordering")]
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in marks]))
 
 
+def characteristics(sql: Column, strict: bool = False) -> Column:
+    sizes = F.size(joins(sql, strict)), F.size(subqueries(sql))
+    return _marks(*sizes, clause(sql, "WHERE"), F.size(clause_columns(sql, r"GROUP\s+BY")), F.size(clause_columns(sql, r"ORDER\s+BY")))
+
+
 def recommendations(found: Column) -> Column:
     """Advice for the characteristics of a statement."""
     advice = {"multiple_joins": "check indexes on join keys", "subqueries": "consider joins instead", "complex_where": "simplify the WHERE clause"}
@@ -192,7 +191,10 @@ def analyse(df, sql_col: str = "sql_content", type_col: str = "sql_type"):
     """
     df = df.withColumn("sql_clean", clean(F.col(sql_col)))
     sql, kind = F.col("sql_clean"), F.col(type_col)
-    df = df.withColumns(
-        {"tables": tables(sql, kind), "joins": joins(sql), "columns": select_columns(sql), "parameters": parameters(sql), "complexity_score": complexity(sql, kind), "characteristics": characteristics(sql)}
-    )
-    return df.withColumns({"complexity_level": complexity_level(F.col("complexity_score")), "recommendations": recommendations(F.col("characteristics"))})
+    # Each list is made once, in a step of its own; the score and the marks only count what is there.
+    lists = {"joins": joins(sql), "columns": select_columns(sql), "parameters": parameters(sql), "__sub": subqueries(sql), "__where": clause(sql, "WHERE"), "__group": clause_columns(sql, r"GROUP\s+BY"), "__order": clause_columns(sql, r"ORDER\s+BY"), "__having": clause(sql, "HAVING")}
+    df = df.withColumns(lists).withColumn("tables", tables(sql, kind, joined=F.col("joins")))
+    n = {c: F.size(c) for c in ("tables", "joins", "__sub", "__where", "__group", "__order", "__having")}
+    df = df.withColumns({"complexity_score": sum(n.values(), F.lit(1)), "characteristics": _marks(n["joins"], n["__sub"], F.col("__where"), n["__group"], n["__order"])})
+    df = df.withColumns({"complexity_level": complexity_level(F.col("complexity_score")), "recommendations": recommendations(F.col("characteristics"))})
+    return df.drop(*[c for c in lists if c.startswith("__")])
