@@ -58,6 +58,13 @@ class Lineage:
     def load(cls, spark: SparkSession, target: str, names: list[str]) -> Lineage:
         return cls({n: spark.read.parquet(f"{target}/{n}") for n in names})
 
+    @classmethod
+    def open(cls, spark: SparkSession, target: str) -> Lineage:
+        """All tables that save() wrote under target."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return cls.load(spark, target, [x.getPath().getName() for x in found if x.isDirectory()])
+
     def sql(self, spark: SparkSession, text: str) -> DataFrame:
         """Ad-hoc SQL over the tables by name."""
         for name, df in self.t.items():

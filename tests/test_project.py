@@ -2,6 +2,7 @@
 
 import pytest
 
+from skeinwork import cli
 from skeinwork import project as P
 from skeinwork.operators import enrich, jpa, summary
 
@@ -35,7 +36,9 @@ def tables(spark, tmp_path_factory):
         (root / name).write_text(text)
     made = P.ingest(spark, str(root), "shop", str(root))
     P.save(made, str(root / "out"))
-    return P.Lineage.load(spark, str(root / "out"), list(made))
+    lineage = P.Lineage.load(spark, str(root / "out"), list(made))
+    lineage.folder = str(root / "out")
+    return lineage
 
 
 def test_crud_and_impact(tables):
@@ -85,3 +88,19 @@ def test_enrich(spark):
     assert {r.ai_description for r in enrich.describe(rows, broken, ["class_name", "name"]).collect()} == {None, "old"}
     errors = spark.createDataFrame([("HTTP 503",), ("bad api key",)], "message string")
     assert {r["class"] for r in enrich.error_report(errors).collect()} == {"retryable", "fatal"}
+
+
+def test_commands(spark, tables, tmp_path):
+    def rows(*argv):
+        return cli.run(spark, [argv[0], tables.folder, *argv[1:]]).collect()
+
+    assert rows("query", "--text", "select count(*) n from method")[0].n > 0
+    assert {r.class_name for r in rows("crud-matrix")} == {"OrderMapper"} and rows("crud-visualization") and rows("crud-analysis") and rows("table-summary")
+    assert rows("table-impact", "--table", "orders")[0].statements == 2 and rows("db-analysis") and rows("db-statistics")[0].total_sql == 3
+    assert len(rows("list-classes")) == 5 and len(rows("list-methods", "--class-name", "OrderService")) == 2 and len(rows("class-spec", "--class-name", "Order")) == 1
+    assert rows("impact-analysis", "--table", "orders", "--view", "summary")[0].methods == 5 and not rows("cycles")
+    assert "OrderService" in rows("sequence", "--class-name", "OrderController", "--method", "get")[0].text
+    assert rows("db-call-diagram", "--class-name", "OrderController")[0].text.startswith("graph TD") and rows("db-call-chain")
+    assert cli.run(spark, ["list-classes", tables.folder, "--out", str(tmp_path / "o")]) is None and spark.read.json(str(tmp_path / "o")).count() == 5
+    with pytest.raises(SystemExit):
+        rows("impact-analysis")
