@@ -4,8 +4,9 @@ Every distinct shingle set gets ``trees`` labels of ``depth`` minhash values. Ea
 sets. Sets that share at least ``min_depth`` leading values of a label form a region of that tree; a region with more than
 ``region_rows`` sets is cut again by the next value, as deep as the label goes. Candidates are, in every region a set passes
 on the way down, the region's leader (the set whose full labels are shared most often) and the following ``neighbours`` sets of the
-sorted order, which have the longest common prefix. Candidates are confirmed on whole
-shingle sets, so a link is never wrong; only a pair of which no tree offers a way can be missed.
+sorted order, which have the longest common prefix. Regions that hold more sets than neighbours reach, and whose sets are
+not all connected by then, are joined exactly: two sets that are alike share one of their rarest shingles. Candidates are confirmed on whole
+shingle sets, so a link is never wrong; only a pair that shares no region of any tree can be missed.
 """
 
 from __future__ import annotations
@@ -109,6 +110,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(fits).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of unlike component that can have 100 * intersection >= percent * union, by a prefix filter with places.
+
+    sets (id, component, shingles). Shingles are ordered by how many sets hold them, rarest first. Of a pair, the first common
+    shingle lies so early in both sets that the rest still holds the intersection asked for. Of each shingle's sets, those of the largest component do not meet each other.
+    """
+    n = F.size("shingles").cast("long").alias("n")
+    held = sets.select("id", "component", n, F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    # shingles of one set alone come first in the order and need no rows
+    ranked = held.join(often, "s").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("common"))
+    ranked = ranked.select("id", "component", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode("common").alias("k", "x"))
+    rows = ranked.select("id", "component", "n", (F.col("alone") + F.col("k")).alias("place"), F.col("x.s").alias("s"))
+    rows = materialize(rows.filter((F.col("n") - F.col("place")) * 100 >= F.col("n") * percent))
+    most = rows.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("unlike"))
+    rows = materialize(rows.join(most.filter("unlike > 1").drop("unlike"), "s").withColumn("main", F.col("component") == F.col("most")).drop("most"))
+    small = rows.filter((F.col("n") - F.col("place")) * (100 + percent) >= F.col("n") * 2 * percent)
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        fits = (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component"))
+        fits &= F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
+        fits &= F.col("x.n") * 100 >= F.col("y.n") * percent
+        left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+        fits &= left * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+        return x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    return meet(small.filter("not main"), rows).union(meet(small.filter("main"), rows.filter("not main"))).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -179,7 +210,17 @@ def near_duplicates(
     rest = rest.join(reached.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(near, "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     second = _confirmed(rest, sets, percent)
-    linked = components(first.union(materialize(second)))
+    links = first.union(materialize(second))
+    linked = components(links)
+
+    # Regions too large for their sets to have met as neighbours, of more than one component.
+    named = live.filter(F.col(f"c{min_depth}") > neighbours + 1).select("id", top).join(linked, F.col("id") == linked.node, "left")
+    named = named.select("id", top, F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy(top).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(top)
+    unmet = materialize(named.join(mixed, top, "left_semi").select("id", "component").distinct())
+    if not unmet.isEmpty():
+        third = materialize(_confirmed(_prefix_pairs(sets.join(unmet, "id"), percent), sets, percent))
+        linked = components(links.union(third))
 
     classes = names.join(linked, names["name"] == linked.node, "left").select("digest", F.coalesce("component", "name").alias("component_id"))
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))

@@ -1,5 +1,6 @@
 """Near-dedup and line dedup against brute force, on a test table and on odd rows."""
 
+import random
 import re
 from itertools import combinations
 
@@ -58,6 +59,21 @@ def test_near_duplicates_in_one_large_group(spark):
     assert {got[i] for i in range(160)} == {0} and all(got[1000 + i] == 1000 + i for i in range(40))
 
 
+def test_near_duplicates_with_one_shared_template(spark):
+    rng = random.Random(5)
+    form = [f"t{k}" for k in range(174)]
+    rows = []
+    for i in range(1500):
+        own = [f"o{i}-{k}" for k in range(22)]
+        other = own[:-11] + [f"p{i}-{k}" for k in range(11)]
+        rows += [(2 * i, " ".join(form + own)), (2 * i + 1, " ".join(form + other))]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b, c = (_shingles(dict(rows)[k]) for k in (0, 1, 2))
+    assert len(a & b) >= 0.85 * len(a | b) and len(a & c) < 0.85 * len(a | c)
+    assert got == {i: i - i % 2 for i in range(3000)}
+
+
 def test_near_duplicates_odd_rows(spark):
     long_ = " ".join(f"v{k}" for k in range(30_000))
     rows = [(5, "A b c"), (3, "a  B\nc"), (9, None), (8, ""), (7, " \t "), (None, "a b c"), (3, "a b c"), (20, long_), (21, long_ + " end")]
