@@ -275,14 +275,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY depth, caller ORDER BY sql_id) A
 )
 
 
-def _impact(spark, sf):
+def _impact(spark, sf, **limits):
     g = TestGraph(spark, sf)
-    return impact.table_impact("T5", g.statements, g.uses, g.links(), g.edges, g.nodes, 4)
+    return impact.table_impact("T5", g.statements, g.uses, g.links(), g.edges, g.nodes, **limits)
 
 
 @query(_IMPACT + " SELECT * FROM i")
 def impact_risk(spark, sf):
-    return _impact(spark, sf)
+    return _impact(spark, sf, max_depth=4)
 
 
 _RISKS = "count(*) FILTER (risk = 'HIGH') AS high, count(*) FILTER (risk = 'MEDIUM') AS medium, count(*) FILTER (risk = 'LOW') AS low"
@@ -290,17 +290,17 @@ _RISKS = "count(*) FILTER (risk = 'HIGH') AS high, count(*) FILTER (risk = 'MEDI
 
 @query(_IMPACT + f" SELECT count(DISTINCT class_name) AS classes, count(DISTINCT caller) AS methods, count(DISTINCT package_name) AS packages, max(depth) AS max_depth, round(avg(depth), 2) AS avg_depth, {_RISKS} FROM i")
 def impact_summary(spark, sf):
-    return impact.summary(_impact(spark, sf))
+    return impact.summary(_impact(spark, sf, max_depth=4))
 
 
 @query(_IMPACT + f" SELECT package_name AS package, count(DISTINCT class_name) AS classes, count(DISTINCT caller) AS methods, round(avg(depth), 2) AS avg_depth, {_RISKS} FROM i GROUP BY 1")
 def package_summary(spark, sf):
-    return impact.package_summary(_impact(spark, sf))
+    return impact.package_summary(_impact(spark, sf, max_depth=4))
 
 
 @query(_IMPACT + " SELECT sql_id, s.mapper_name, s.sql_type, s.complexity_score, substr(s.sql_content, 1, 100) AS preview FROM (SELECT DISTINCT sql_id FROM i) JOIN statements s ON s.id = sql_id")
 def impact_sql_details(spark, sf):
-    return impact.sql_details(_impact(spark, sf), TestGraph(spark, sf).statements)
+    return impact.sql_details(_impact(spark, sf, max_depth=4), TestGraph(spark, sf).statements)
 
 
 @query(_walk("SELECT DISTINCT node FROM nodes WHERE class_name = 'S3Service'", 6, back=True) + f""", r AS (SELECT DISTINCT start, node, depth FROM p WHERE depth > 0), t AS (SELECT DISTINCT depth, node, count(*) OVER () AS total FROM r),
@@ -315,9 +315,13 @@ def method_impact(spark, sf):
 SELECT split_part(start, '.', 1) AS class_name, count(*) AS n_rows, count(DISTINCT x.start) AS n_methods, count(DISTINCT u.sql_id) AS n_sql, count(DISTINCT u.table_name) AS n_tables
 FROM x LEFT JOIN (SELECT DISTINCT concat(mapper_name, '.', sql_id) AS node, sql_id, table_name FROM uses) u USING (node) GROUP BY 1""")
 def call_chain_summary(spark, sf):
+    return _call_chain_summary(spark, sf, max_depth=3)
+
+
+def _call_chain_summary(spark, sf, **limits):
     g = TestGraph(spark, sf)
     starts = g.nodes.filter("class_name in ('C3Controller', 'C4Controller')").select(F.col("node").alias("start"))
-    reached = traverse.forward(g.edges, starts, 3)
+    reached = traverse.forward(g.edges, starts, **limits)
     sql = g.uses.select(F.concat_ws(".", "mapper_name", "sql_id").alias("node"), "sql_id", "table_name").distinct()
     chain = reached.join(sql, "node", "left").select(F.substring_index("start", ".", 1).alias("class_name"), F.col("start").alias("method"), "sql_id", "table_name")
     return stats.call_chain_summary(chain)
@@ -333,6 +337,38 @@ def sequence_events(spark, sf):
     return traverse.sequence_events(calls, runs, g.uses, tops, 3).drop("stack")
 
 
+# The queries above to the operators' own depths: 10 for impact, 5 for call chains.
+
+
+def _deeper(name: str, depth: int, full: int) -> str:
+    return ORACLE[name].replace(f"p.depth < {depth} ", f"p.depth < {full} ")
+
+
+@query(_deeper("impact_risk", 4, 10))
+def impact_risk_full(spark, sf):
+    return _impact(spark, sf)
+
+
+@query(_deeper("impact_summary", 4, 10))
+def impact_summary_full(spark, sf):
+    return impact.summary(_impact(spark, sf))
+
+
+@query(_deeper("package_summary", 4, 10))
+def package_summary_full(spark, sf):
+    return impact.package_summary(_impact(spark, sf))
+
+
+@query(_deeper("impact_sql_details", 4, 10))
+def impact_sql_details_full(spark, sf):
+    return impact.sql_details(_impact(spark, sf), TestGraph(spark, sf).statements)
+
+
+@query(_deeper("call_chain_summary", 3, 5))
+def call_chain_summary_full(spark, sf):
+    return _call_chain_summary(spark, sf)
+
+
 # Upserts, deduplication, order
 
 

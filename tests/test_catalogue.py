@@ -22,6 +22,13 @@ def test_query(spark, small, duck, name):
     assert _plain(rows, columns) == _plain([dict(zip(q.columns, r)) for r in q.fetchall()], columns)
 
 
+def test_full_depths(spark, small):
+    run = lambda name: catalogue.QUERIES[name](spark, small)
+    assert run("impact_risk_full").agg({"depth": "max"}).first()[0] == 10
+    rows = {name: {r.class_name: r.n_rows for r in run(name).collect()} for name in ("call_chain_summary", "call_chain_summary_full")}
+    assert rows["call_chain_summary_full"]["C4Controller"] > rows["call_chain_summary"]["C4Controller"]
+
+
 def test_entry(spark):
     import __spark_entry__
 
