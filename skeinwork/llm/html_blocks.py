@@ -31,14 +31,21 @@ _SILENT = set("head script style noscript template textarea select button svg ma
 #: What an opening tag closes, up to the nearest of the listed ancestors.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 _CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: What can stand in a head; any other tag or text ends it.
+_IN_HEAD = set("head html base basefont bgsound link meta title noscript noframes style script template".split())
+#: What can stand in a select.
+_IN_SELECT = set("option optgroup hr script template".split())
 _NAME = re.compile(r"[a-z]+")
 
 
 class _Blocks(HTMLParser):
     """Collects (path, text, characters in links) of each leaf block."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.html = html
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.unclosed: str | None = None  # the open button or select that no end tag follows
         self.stack: list[tuple[str, tuple[str, ...]]] = []
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
         self.parts: list[str] = []
@@ -57,10 +64,26 @@ class _Blocks(HTMLParser):
         for tag, _ in self.stack[to:]:
             self.silent -= tag in _SILENT
             self.links -= tag == "a"
+            if tag == self.unclosed:
+                self.unclosed = None
         del self.stack[to:]
 
+    def _end_unclosed(self, tag: str) -> None:
+        """Ends a head, and a button or select without end tag, at a tag that cannot stand in it."""
+        if self.stack and self.stack[-1][0] == "head" and tag not in _IN_HEAD:
+            self._pop(len(self.stack) - 1)
+        ends = tag not in _IN_SELECT if self.unclosed == "select" else tag in _CLOSES_P or tag in _CLOSES or tag == "button"
+        if self.unclosed and ends:
+            self._pop(max(k for k, x in enumerate(self.stack) if x[0] == self.unclosed))
+        if tag in ("button", "select"):
+            line, column = self.getpos()
+            after = re.compile(f"<(/?){tag}\\b", re.I).search(self.html, self.lines[line - 1] + column + 1)
+            if not (after and after[1]):
+                self.unclosed = tag
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "br":
+            self._end_unclosed(tag)
             if self.parts:
                 self.parts.append(" ")
             return
@@ -68,6 +91,7 @@ class _Blocks(HTMLParser):
             self._flush()
         if tag == "body":  # a head that was never closed ends here
             self._pop(next((k for k, x in enumerate(self.stack) if x[0] == "head"), len(self.stack)))
+        self._end_unclosed(tag)
         if tag in _VOID:
             return
         if tag in _CLOSES_P:
@@ -107,6 +131,8 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.stack) - 1)
         if self.silent > 0:
             return
         if self.path is None and not data.isspace():
@@ -122,7 +148,7 @@ class _Blocks(HTMLParser):
 
 def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """The leaf blocks of a page in page order: path names, text with white space made single, characters inside links."""
-    parser = _Blocks()
+    parser = _Blocks(html or "")
     parser.feed(html or "")
     parser.close()
     return parser.blocks

@@ -104,6 +104,18 @@ def test_html_extraction(spark, small, model):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_without_end_tags():
+    def texts(html):
+        return [b[1] for b in html_blocks.blocks_of(html)]
+
+    assert texts("<html><head><title>x</title><meta charset=a><style>p{}</style><h1>Head line</h1><p>Text <a>one</a>") == ["Head line", "Text one"]
+    assert texts("<head>\n<title>x</title>\nBare text<p>more") == ["Bare text", "more"]
+    assert texts("<head><noscript><img src=a><p>no</p></noscript><title>x</title></head><body><p>a") == ["a"]
+    assert texts("<div><button>Go<p>after</p><button>Again</button><p>end</div>") == ["after", "end"]
+    assert texts("<div><button><div>label</div></button><p>a</div>") == ["a"]
+    assert texts("<div>\n<select><option>A<option>B<p>after</div><select><option>C</select><p>b") == ["after", "b"]
+
+
 def test_html_odd_rows(spark, model):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (None, "u", "<script>var a='<p>x</p>'</script>"), (4, "u", "<article>" + "<p>A &lt;word&gt;,&nbsp; and more text here.</p>" * 3000 + "</article>"), (4, "u", "plain &amp text")]
     out = html_blocks.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string"))
