@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .sqlmeta import _extract, strip, strip_comments
 
+_NAME = r"(?:\w+\.)?(\w+)"
 _TABLE = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:(\w+)\.)?(\w+)\s*\((.*?)\)\s*;"
+# fixed value: the narrower form that strict=True promises
 _STRICT_TABLE = r"(?is)CREATE\s+TABLE\s+()(\w+)\s*\((.*?)\);"
-_INDEX = r"(?i)CREATE\s+(UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s+ON\s+(\w+)\s*\(([^)]+)\)"
-_ALTER = r"(?i)ALTER\s+TABLE\s+(\w+)\s+ADD\s+CONSTRAINT\s+(\w+)\s+([^;]+)"
+# Names may be qualified by a schema; a method (USING btree) may stand before the columns.
+_INDEX = rf"(?is)\bCREATE\s+(UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s+ON\s+(?:ONLY\s+)?{_NAME}\s*(?:USING\s+\w+\s*)?\(([^)]+)\)"
+_ALTER = rf"(?is)\bALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{_NAME}\s+ADD\s+CONSTRAINT\s+(\w+)\s+([^;]+)"
 _INLINE = r"(?i)CONSTRAINT\s+(\w+)\s+(.+)"
 
 

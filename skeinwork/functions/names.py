@@ -11,24 +11,24 @@ from .sqlmeta import strip
 EXTERNAL_PREFIXES = ("java", "javax", "jakarta", "org.springframework", "org.apache", "org.hibernate", "org.slf4j", "org.junit", "org.mockito", "org.hamcrest", "lombok", "com.fasterxml.jackson", "ch.qos.logback", "junit")
 NARROW_EXTERNAL_PREFIXES = ("java.", "javax.", "org.springframework.", "org.apache.", "lombok.")
 ANNOTATION_CATEGORIES = {
-    "component": "Component Service Repository Controller RestController Configuration Bean",
-    "injection": "Autowired Resource Value Qualifier Primary",
-    "web": "RequestMapping GetMapping PostMapping PutMapping DeleteMapping PatchMapping RequestParam PathVariable RequestBody ResponseBody ResponseStatus",
-    "jpa": "Entity Table MappedSuperclass Embeddable Embedded Id GeneratedValue SequenceGenerator TableGenerator Column Basic Transient Enumerated Temporal Lob OneToOne OneToMany ManyToOne ManyToMany JoinColumn JoinColumns JoinTable PrimaryKeyJoinColumn PrimaryKeyJoinColumns ElementCollection CollectionTable OrderBy OrderColumn MapKey MapKeyClass MapKeyColumn MapKeyJoinColumn MapKeyJoinColumns MapKeyTemporal MapKeyEnumerated Inheritance DiscriminatorColumn DiscriminatorValue SecondaryTable SecondaryTables AttributeOverride AttributeOverrides AssociationOverride AssociationOverrides NamedQuery NamedQueries NamedNativeQuery NamedNativeQueries SqlResultSetMapping SqlResultSetMappings ConstructorResult ColumnResult FieldResult EntityResult EntityResults Cacheable Version Access UniqueConstraint Index ForeignKey",
-    "test": "Test SpringBootTest DataJpaTest WebMvcTest MockBean SpyBean TestPropertySource",
-    "security": "PreAuthorize PostAuthorize Secured RolesAllowed EnableWebSecurity EnableGlobalMethodSecurity",
-    "validation": "Valid NotNull NotBlank NotEmpty Size Min Max Pattern Email AssertTrue AssertFalse",
-    "mybatis": "Mapper Select Insert Update Delete SelectProvider InsertProvider UpdateProvider DeleteProvider Results Result One Many MapKey Options SelectKey",
+    "component": ("Component", "Service", "Repository", "Controller", "RestController", "Configuration", "Bean"),
+    "injection": ("Autowired", "Resource", "Value", "Qualifier", "Primary"),
+    "web": ("RequestMapping", "GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping", "RequestParam", "PathVariable", "RequestBody", "ResponseBody", "ResponseStatus"),
+    "jpa": ("Entity", "Table", "MappedSuperclass", "Embeddable", "Embedded", "Id", "GeneratedValue", "SequenceGenerator", "TableGenerator", "Column", "Basic", "Transient", "Enumerated", "Temporal", "Lob", "OneToOne", "OneToMany", "ManyToOne", "ManyToMany", "JoinColumn", "JoinColumns", "JoinTable", "PrimaryKeyJoinColumn", "PrimaryKeyJoinColumns", "ElementCollection", "CollectionTable", "OrderBy", "OrderColumn", "MapKey", "MapKeyClass", "MapKeyColumn", "MapKeyJoinColumn", "MapKeyJoinColumns", "MapKeyTemporal", "MapKeyEnumerated", "Inheritance", "DiscriminatorColumn", "DiscriminatorValue", "SecondaryTable", "SecondaryTables", "AttributeOverride", "AttributeOverrides", "AssociationOverride", "AssociationOverrides", "NamedQuery", "NamedQueries", "NamedNativeQuery", "NamedNativeQueries", "SqlResultSetMapping", "SqlResultSetMappings", "ConstructorResult", "ColumnResult", "FieldResult", "EntityResult", "EntityResults", "Cacheable", "Version", "Access", "UniqueConstraint", "Index", "ForeignKey"),
+    "test": ("Test", "SpringBootTest", "DataJpaTest", "WebMvcTest", "MockBean", "SpyBean", "TestPropertySource"),
+    "security": ("PreAuthorize", "PostAuthorize", "Secured", "RolesAllowed", "EnableWebSecurity", "EnableGlobalMethodSecurity"),
+    "validation": ("Valid", "NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Pattern", "Email", "AssertTrue", "AssertFalse"),
+    "mybatis": ("Mapper", "Select", "Insert", "Update", "Delete", "SelectProvider", "InsertProvider", "UpdateProvider", "DeleteProvider", "Results", "Result", "One", "Many", "MapKey", "Options", "SelectKey"),
 }
 TEST_FAMILIES = {
-    "junit": "Test BeforeEach AfterEach BeforeAll AfterAll DisplayName ParameterizedTest ValueSource CsvSource MethodSource Timeout Disabled Nested RepeatedTest Order TestMethodOrder TestInstance TestClassOrder",
-    "spring_test": "SpringBootTest WebMvcTest DataJpaTest DataJdbcTest JdbcTest JsonTest RestClientTest WebFluxTest MockBean SpyBean TestConfiguration ActiveProfiles TestPropertySource DirtiesContext Transactional Rollback Commit Sql SqlGroup AutoConfigureTestDatabase AutoConfigureMockMvc AutoConfigureWebMvc AutoConfigureWebClient MockMvc TestEntityManager TestContainers DynamicPropertySource",
-    "testng": "TestNG BeforeMethod AfterMethod BeforeClass AfterClass BeforeSuite AfterSuite BeforeGroups AfterGroups DataProvider Parameters Groups Priority DependsOnMethods DependsOnGroups ExpectedExceptions InvocationCount SuccessPercentage TimeOut",
-    "mockito": "Mock Spy InjectMocks Captor MockedStatic",
-    "assertj": "AssertJ",
-    "other_test": "Ignore Category RunWith ExtendWith ContextConfiguration",
+    "junit": ("Test", "BeforeEach", "AfterEach", "BeforeAll", "AfterAll", "DisplayName", "ParameterizedTest", "ValueSource", "CsvSource", "MethodSource", "Timeout", "Disabled", "Nested", "RepeatedTest", "Order", "TestMethodOrder", "TestInstance", "TestClassOrder"),
+    "spring_test": ("SpringBootTest", "WebMvcTest", "DataJpaTest", "DataJdbcTest", "JdbcTest", "JsonTest", "RestClientTest", "WebFluxTest", "MockBean", "SpyBean", "TestConfiguration", "ActiveProfiles", "TestPropertySource", "DirtiesContext", "Transactional", "Rollback", "Commit", "Sql", "SqlGroup", "AutoConfigureTestDatabase", "AutoConfigureMockMvc", "AutoConfigureWebMvc", "AutoConfigureWebClient", "MockMvc", "TestEntityManager", "TestContainers", "DynamicPropertySource"),
+    "testng": ("TestNG", "BeforeMethod", "AfterMethod", "BeforeClass", "AfterClass", "BeforeSuite", "AfterSuite", "BeforeGroups", "AfterGroups", "DataProvider", "Parameters", "Groups", "Priority", "DependsOnMethods", "DependsOnGroups", "ExpectedExceptions", "InvocationCount", "SuccessPercentage", "TimeOut"),
+    "mockito": ("Mock", "Spy", "InjectMocks", "Captor", "MockedStatic"),
+    "assertj": ("AssertJ",),
+    "other_test": ("Ignore", "Category", "RunWith", "ExtendWith", "ContextConfiguration"),
 }
-STREAM_METHODS = "collect map filter forEach stream reduce findFirst findAny anyMatch allMatch noneMatch count distinct sorted limit skip peek flatMap toArray".split()
+STREAM_METHODS = ("collect", "map", "filter", "forEach", "stream", "reduce", "findFirst", "findAny", "anyMatch", "allMatch", "noneMatch", "count", "distinct", "sorted", "limit", "skip", "peek", "flatMap", "toArray")
 LOGGERS, LOG_METHODS = ("log", "logger", "LOGGER"), ("info", "debug", "warn", "error", "trace")
 REPOSITORY_INTERFACES = ("JpaRepository", "CrudRepository", "PagingAndSortingRepository", "JpaSpecificationExecutor", "QueryByExampleExecutor")
 TYPE_PREFIXES = {
@@ -85,7 +85,7 @@ def method_name_type(name: Column) -> Column:
 
 
 def bean_name(class_name: Column) -> Column:
-    return F.concat(F.lower(F.substring(class_name, 1, 1)), F.substring(class_name, 2, 10_000))
+    return F.concat(F.lower(F.substring(class_name, 1, 1)), F.substring(class_name, F.lit(2), F.length(class_name)))
 
 
 def _has(names: Column, *wanted: str) -> Column:
@@ -114,10 +114,10 @@ def sub_type(package: Column, class_name: Column, names: Column) -> Column:
     return out
 
 
-def _category(name: Column, sets: dict[str, str], default: str) -> Column:
+def _category(name: Column, sets: dict[str, tuple[str, ...]], default: str) -> Column:
     out = F.lit(default)
     for kind, members in reversed(sets.items()):
-        out = F.when(name.isin(members.split()), F.lit(kind)).otherwise(out)
+        out = F.when(name.isin(*members), F.lit(kind)).otherwise(out)
     return out
 
 
@@ -249,7 +249,7 @@ def lombok_methods(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """(project, class_name, name, return_type, origin) of the methods @Data gives: accessors of each field, equals, hashCode, toString."""
     data = classes.filter(F.exists("annotations", lambda a: a["name"] == "Data")).select("project", F.col("name").alias("class_name"))
     own = fields.join(data, ["project", "class_name"])
-    cap = F.concat(F.upper(F.substring("name", 1, 1)), F.substring("name", 2, 1000))
+    cap = F.concat(F.upper(F.substring("name", 1, 1)), F.substring(F.col("name"), F.lit(2), F.length("name")))
     read = F.concat(F.when(F.col("type") == "boolean", "is").otherwise("get"), cap)
     made = F.array(F.struct(read.alias("name"), F.col("type").alias("return_type")), F.struct(F.concat(F.lit("set"), cap).alias("name"), F.lit("void").alias("return_type")))
     accessors = own.select("project", "class_name", F.explode(made).alias("m")).select("project", "class_name", "m.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _STOP = r"(?is)\s*\b(WHERE|ORDER\s+BY|GROUP\s+BY|HAVING|LIMIT|OFFSET|INNER\s+JOIN|LEFT\s+(OUTER\s+)?JOIN|RIGHT\s+(OUTER\s+)?JOIN|FULL\s+(OUTER\s+)?JOIN|OUTER\s+JOIN|CROSS\s+JOIN|JOIN|UNION)\b.*$"
 TABLE = "struct<name:string,alias:string,schema:string>"
+JOIN = "struct<kind:string,name:string,alias:string,schema:string,on:string>"
 
 
 def strip_comments(sql: Column) -> Column:
@@ -66,7 +67,7 @@ def from_tables(sql: Column) -> Column:
 
 def joins(sql: Column, strict: bool = False) -> Column:
     """Structs (kind, name, alias, schema, on) of JOIN clauses."""
-    if strict:
+    if strict:  # fixed value: the narrower form that strict=True promises
         pattern = r"(?is)(LEFT|RIGHT|INNER|OUTER|FULL)?\s*JOIN\s+([\w.]+)(?:\s+AS\s+|\s+)(\w+)?\s+ON\s+([^=]+=[^=]+)"
     else:
         pattern = r"(?is)(?:\b(LEFT|RIGHT|INNER|OUTER|FULL|CROSS)\s+)?(?:OUTER\s+)?\bJOIN\s+([\w.]+)(?:\s+(?:AS\s+)?(?!(?:ON|USING)\b)(\w+))?(?:\s+ON\s+([\w.]+\s*=\s*[\w.]+))?"
@@ -171,12 +172,9 @@ def recommendations(found: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.array_contains(found, k), F.lit(v)) for k, v in advice.items()]))
 
 
-def table_columns(sql: Column, sql_type: Column) -> Column:
-    """table -> column names; a column without a table counts for every table. Aliases resolve to their tables."""
-    held = tables(sql, sql_type)
-
+def _columns_by_table(held: Column, columns_: Column) -> Column:
     def entry(t: Column) -> Column:
-        mine = F.filter(select_columns(sql), lambda c: c["table"].isNull() | (c["table"] == t["name"]) | (c["table"] == t["alias"]))
+        mine = F.filter(columns_, lambda c: c["table"].isNull() | (c["table"] == t["name"]) | (c["table"] == t["alias"]))
         return F.struct(t["name"], F.array_distinct(F.transform(mine, lambda c: c["name"])))
 
     names = F.transform(held, lambda t: t["name"])
@@ -184,17 +182,40 @@ def table_columns(sql: Column, sql_type: Column) -> Column:
     return F.map_from_entries(F.filter(first, lambda e: e.isNotNull()))
 
 
+def table_columns(sql: Column, sql_type: Column) -> Column:
+    """table -> column names, read or written; a column without a table counts for every table. Aliases resolve to their tables."""
+    return _let(tables(sql, sql_type), lambda held: _let(columns(sql, sql_type, held), lambda c: _columns_by_table(held, c)))
+
+
+def columns(sql: Column, sql_type: Column, held: Column) -> Column:
+    """Structs (name, table): the select list of a SELECT, the written columns of an INSERT or UPDATE with their table; held: tables(sql, sql_type)."""
+    kind = F.upper(F.coalesce(sql_type, F.lit("SELECT")))
+    target = F.when(F.size(held) > 0, held[0]["name"])
+    written = F.transform(written_columns(sql, kind), lambda c: F.struct(c.alias("name"), target.alias("table")))
+    none = F.array().cast("array<struct<name:string,table:string>>")
+    return F.when(kind == "SELECT", select_columns(sql)).when(kind.isin("INSERT", "UPDATE"), written).otherwise(none)
+
+
 def analyse(df, sql_col: str = "sql_content", type_col: str = "sql_type"):
-    """df with sql_clean, tables, joins, columns, parameters, complexity_score, complexity_level and characteristics.
+    """df with sql_clean, tables, joins, columns, table_columns, parameters, complexity_score, complexity_level, characteristics and recommendations.
 
-    Null or empty SQL has empty lists and a score of 1.
+    Joins, subqueries, groups, orders and HAVING are read of a SELECT (which a null type counts as), WHERE also of an UPDATE or DELETE, columns of a SELECT, INSERT or UPDATE.
+    Other types have no facts but their text. Null or empty SQL has empty lists and a score of 1.
     """
     df = df.withColumn("sql_clean", clean(F.col(sql_col)))
-    sql, kind = F.col("sql_clean"), F.col(type_col)
+    sql, kind = F.col("sql_clean"), F.upper(F.coalesce(F.col(type_col), F.lit("SELECT")))
+    select, known = kind == "SELECT", kind.isin("SELECT", "INSERT", "UPDATE", "DELETE")
+
+    def of(test: Column, value: Column, kind: str = "string") -> Column:
+        return F.when(test, value).otherwise(F.array().cast(f"array<{kind}>"))
+
     # Each list is made once, in a step of its own; the score and the marks only count what is there.
-    lists = {"joins": joins(sql), "columns": select_columns(sql), "parameters": parameters(sql), "__sub": subqueries(sql), "__where": clause(sql, "WHERE"), "__group": clause_columns(sql, r"GROUP\s+BY"), "__order": clause_columns(sql, r"ORDER\s+BY"), "__having": clause(sql, "HAVING")}
-    df = df.withColumns(lists).withColumn("tables", tables(sql, kind, joined=F.col("joins")))
+    parts = {"__sub": subqueries(sql), "__group": clause_columns(sql, r"GROUP\s+BY"), "__order": clause_columns(sql, r"ORDER\s+BY"), "__having": clause(sql, "HAVING")}
+    lists = {"joins": of(select, joins(sql), JOIN), "parameters": of(known, parameters(sql)), "__where": of(known & (kind != "INSERT"), clause(sql, "WHERE")), **{name: of(select, x) for name, x in parts.items()}}
+    df = df.withColumns(lists).withColumn("tables", of(known, tables(sql, kind, joined=F.col("joins")), TABLE))
+    df = df.withColumn("columns", columns(sql, kind, F.col("tables")))
     n = {c: F.size(c) for c in ("tables", "joins", "__sub", "__where", "__group", "__order", "__having")}
-    df = df.withColumns({"complexity_score": sum(n.values(), F.lit(1)), "characteristics": _marks(n["joins"], n["__sub"], F.col("__where"), n["__group"], n["__order"])})
+    marks = _marks(n["joins"], n["__sub"], F.col("__where"), n["__group"], n["__order"])
+    df = df.withColumns({"table_columns": _columns_by_table(F.col("tables"), F.col("columns")), "complexity_score": sum(n.values(), F.lit(1)), "characteristics": marks})
     df = df.withColumns({"complexity_level": complexity_level(F.col("complexity_score")), "recommendations": recommendations(F.col("characteristics"))})
     return df.drop(*[c for c in lists if c.startswith("__")])
