@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from .traverse import reverse
 
 
@@ -22,6 +23,7 @@ def risk_grade(points: Column) -> Column:
 
 def _graded(rows: DataFrame) -> DataFrame:
     """Risk by the number of rows before any are merged, then one row per level and method: the first by class, method and statement."""
+    rows = materialize(rows)  # counted, then read again
     n = rows.agg(F.count("*").alias("n_rows"))  # one row
     rows = rows.crossJoin(F.broadcast(n)).withColumn("risk", risk_grade(risk_points(F.col("complexity_score"), F.col("depth"), F.col("n_rows"), F.col("sql_type"))))
     w = Window.partitionBy("depth", "caller").orderBy("caller", "sql_id")

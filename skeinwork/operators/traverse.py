@@ -14,22 +14,51 @@ from pyspark.sql import functions as F
 from ..tables import materialize
 
 
+def _on_cycles(steps: DataFrame, rounds: int) -> DataFrame:
+    """The edges that can lie on a cycle: those left when edges from nodes without callers and to nodes without callees are peeled off again and again.
+
+    Stops when a round peels nothing, or after so many rounds; what is left over then is only more than need be.
+    """
+    core = materialize(steps.select("src", "dst", "edge"))
+    n = core.count()
+    for _ in range(rounds):
+        if not n:
+            break
+        has_in, has_out = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
+        core = materialize(core.join(has_in, "src", "left_semi").join(has_out, "dst", "left_semi").select("src", "dst", "edge"))
+        left = core.count()
+        if left == n:
+            break
+        n = left
+    return core
+
+
 def trails(edges: DataFrame, starts: DataFrame, max_depth: int, mode: str = "trail", names: bool = False, cut_every: int = 3) -> DataFrame:
     """(start, node, depth[, nodes]) of all trails of 1 to max_depth edges from starts (column start). Without names rows are distinct.
 
-    Each level is one join; every few levels are written to the shared folder, so that plans stay short and lost executors redo little.
+    Only edges on cycles can recur, so a trail carries those alone, as a set: where there are no cycles every level is one row per start and
+    node, however many ways lead there. Each level is one join; every few levels are written to the shared folder, so that plans stay short
+    and lost executors redo little.
     """
     steps = edges.select("src", "dst").distinct().withColumn("edge", F.xxhash64("src", "dst"))
+    if mode == "trail":
+        core = _on_cycles(steps, max_depth + 2).select("edge", F.lit(True).alias("again"))
+        steps = steps.join(core, "edge", "left").select("src", "dst", "edge", F.coalesce("again", F.lit(False)).alias("again"))
+    else:
+        steps = steps.withColumn("again", F.lit(False))
+    steps = materialize(steps)
     empty = F.array().cast("array<bigint>")
     at = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), empty.alias("used"), F.array("start").alias("nodes"))
     seen = at.select("start", "node")
     levels = []
     for depth in range(1, max_depth + 1):
-        nxt = at.join(steps, at.node == steps.src).filter(~F.array_contains("used", F.col("edge")))
-        used = F.concat("used", F.array("edge")) if mode == "trail" else empty
+        nxt = at.join(steps, at.node == steps.src).filter(~F.col("again") | ~F.array_contains("used", F.col("edge")))
+        used = F.when(F.col("again"), F.array_sort(F.concat("used", F.array("edge")))).otherwise(F.col("used"))
         at = nxt.select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth"), used.alias("used"), (F.concat("nodes", F.array("dst")) if names else F.array("start")).alias("nodes"))
         if mode == "shortest":
             at = at.dropDuplicates(["start", "node"]).join(seen, ["start", "node"], "left_anti")
+        elif not names:
+            at = at.dropDuplicates(["start", "node", "used"])
         if mode == "shortest" or depth % cut_every == 0:
             at = materialize(at)
             if at.isEmpty():
