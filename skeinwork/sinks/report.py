@@ -14,12 +14,19 @@ def _text(lines: DataFrame, head: list[str]) -> DataFrame:
     return lines.agg(F.array_join(F.concat(F.array(*map(F.lit, head)), body), "\n").alias("text"))
 
 
-def markdown_table(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row with the Markdown table of already aggregated rows, by the order columns, nulls last."""
-    cells = [markdown_cell(F.col(c).cast("string")) for c in rows.columns]
+def markdown_table(rows: DataFrame, order: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """One row with the Markdown table of already aggregated rows, by the order columns, nulls last; columns to drop only order."""
+    shown = [c for c in rows.columns if c not in drop]
+    cells = [markdown_cell(F.col(c).cast("string")) for c in shown]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     lines = rows.select(F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"k{k}") for k, c in enumerate(order)]).alias("pos"), line.alias("line"))
-    return _text(lines, ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)])
+    return _text(lines, ["| " + " | ".join(shown) + " |", "|" + "---|" * len(shown)])
+
+
+def top_table(rows: DataFrame, measure: str, order: list[str], n: int = 10) -> DataFrame:
+    """One row with the Markdown table of the n rows with the highest measure, ties by the order columns."""
+    first = rows.orderBy(F.desc_nulls_last(measure), *order).limit(n)
+    return markdown_table(first.withColumn("__at", -F.col(measure)), ["__at", *order], drop=("__at",))
 
 
 def mermaid_graph(edges: DataFrame, direction: str = "TD") -> DataFrame:
