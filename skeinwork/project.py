@@ -10,11 +10,12 @@ from .functions import names as N
 from .operators import audit, classspec, crud, impact, jpa, linkage, stats, summary, traverse, upsert
 from .schema import KEYS
 from .sources import config, files, java, mapper_xml
+from .tables import materialize
 
 
 def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | None = None, rule: str | None = None) -> dict[str, DataFrame]:
-    """The node and edge tables of a source tree, lazily: every file is parsed in a task of the job that first needs it."""
-    tables = java.tables_of(java.parsed_classes(files.java_files(spark, source), rule), project)
+    """The node and edge tables of a source tree. Every file is parsed once, in tasks, and every statement analysed once; the rest is lazy."""
+    tables = java.tables_of(materialize(java.parsed_classes(files.java_files(spark, source), rule)), project)
     tables["bean"] = linkage.beans_of(tables["class"])
     tables["depends_on"] = linkage.bean_dependencies(tables["bean"], tables["field"], tables["method"])
     tables["endpoint"] = classspec.endpoints(tables["class"], tables["method"])
@@ -24,12 +25,12 @@ def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | Non
     tables["jpa_relationship"] = jpa.relationships(tables["jpa_entity"], tables["field"])
     tables["jpa_query"] = jpa.repository_queries(jpa.repositories(tables["class"]), tables["method"])
 
-    mappers = mapper_xml.mapper_rows(files.mapper_files(spark, source))
+    mappers = materialize(mapper_xml.mapper_rows(files.mapper_files(spark, source)))
     tables["result_map"] = mappers.filter("kind = 'result_map'")
     from_xml = mappers.filter("kind = 'statement'").select(F.lit(project).alias("project"), "mapper_name", "namespace", "id", "sql_type", "sql_content", "parameter_type", "result_type", "result_map", "logical_name", F.lit(2).alias("rank"))
     from_code = jpa.mapper_statements(tables["class"], tables["method"]).withColumn("rank", F.lit(1))
     both = from_xml.unionByName(from_code, allowMissingColumns=True)
-    tables["sql_statement"] = sqlmeta.analyse(upsert.latest(both, KEYS["sql_statement"], ["rank"]).drop("rank"))
+    tables["sql_statement"] = materialize(sqlmeta.analyse(upsert.latest(both, KEYS["sql_statement"], ["rank"]).drop("rank")))
     tables["sql_link"] = linkage.link_methods_to_sql(tables["method"], tables["sql_statement"])
 
     values = config.yaml_values(files.config_files(spark, source)).unionByName(files.properties(files.config_files(spark, source)))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import latest
 from ..sources.java import SCHEMA, parsed_classes
 
 
@@ -32,7 +31,6 @@ def start(stream: DataFrame, target: str, checkpoint: str, once: bool = True) ->
 def current_classes(spark: SparkSession, target: str) -> DataFrame:
     """The latest parsed row of each class."""
     rows = spark.read.schema(SCHEMA + ", batch long").option("basePath", target).parquet(target)
-    packed = [c for c in rows.columns if c not in ("package_name", "name", "batch")]
-    rows = rows.select("package_name", "name", "batch", F.to_json(F.struct(*packed)).alias("body"))
-    kept = latest(rows, ["package_name", "name"], ["batch"])
-    return kept.select("package_name", "name", "batch", F.from_json("body", SCHEMA).alias("c")).select("package_name", "name", "batch", *[f"c.{c}" for c in packed])
+    others = [c for c in rows.columns if c not in ("package_name", "name")]
+    last = rows.groupBy("package_name", "name").agg(F.max_by(F.struct(*others), "batch").alias("c"))
+    return last.select("package_name", "name", "c.batch", *[f"c.{c}" for c in others if c != "batch"])
