@@ -66,3 +66,49 @@ def test_facts(classes: DataFrame, methods: DataFrame) -> DataFrame:
     c = classes.select("project", F.col("name").alias("class_name"), kind.alias("test_type"))
     rows = agg.filter("n_tests > 0").join(text, ["project", "class_name"]).join(c, ["project", "class_name"])
     return rows.select("project", "class_name", F.when(F.col("testng"), "testng").otherwise("junit").alias("framework"), "test_type", "n_tests", "n_setup", "n_mocks", "n_assertions")
+
+
+_SETUP = ("BeforeEach", "AfterEach", "BeforeAll", "AfterAll", "Before", "After", "BeforeMethod", "AfterMethod", "BeforeClass", "AfterClass")
+_SOURCES = ("ValueSource", "CsvSource", "MethodSource", "EnumSource", "DataProvider")
+
+
+def test_methods(methods: DataFrame) -> DataFrame:
+    """(project, class_name, name, kind, display_name, timeout, expected, assertions, stubs, calls, created, data_sources) of methods with a test annotation.
+
+    kind is setup or test; the lists hold, in order and with repetitions, the assertions and stubbing calls by name, calls as object.method, and the
+    types of new objects in the source; data_sources are the annotations that bring test data.
+    """
+    from ..functions.names import test_family
+
+    rows = methods.filter(F.exists("annotations", lambda a: test_family(a["name"]).isin("junit", "spring_test", "testng")))
+
+    def found(pattern: str, group: int = 1):
+        return F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(pattern), F.lit(group))
+
+    def said(annotation: str):
+        hit = F.filter("annotations", lambda a: a["name"] == annotation)
+        return F.when(F.size(hit) > 0, F.element_at(hit[0]["parameters"], "value"))
+
+    names = F.transform("annotations", lambda a: a["name"])
+    calls = F.transform(found(r"\b\w+\s*\.\s*\w+\s*\(", 0), lambda c: F.regexp_replace(c, r"[\s(]", ""))
+    return rows.select(
+        "project", "class_name", "name", F.when(F.exists(names, lambda n: n.isin(*_SETUP)), "setup").otherwise("test").alias("kind"), said("DisplayName").alias("display_name"), said("Timeout").alias("timeout"),
+        said("ExpectedExceptions").alias("expected"), found(r"\b(assert\w*|fail)\s*\(").alias("assertions"), found(r"\b(when|given|then|willReturn|willThrow|verify|doReturn|doThrow|mock|spy)\s*\(").alias("stubs"),
+        calls.alias("calls"), found(r"\bnew\s+([\w.]+)").alias("created"), F.filter(names, lambda n: n.isin(*_SOURCES)).alias("data_sources"),
+    )
+
+
+def test_mocks(fields: DataFrame) -> DataFrame:
+    """(project, class_name, name, type, mock_type): fields that stand in for something; mock, spy or bean."""
+    names = F.transform("annotations", lambda a: a["name"])
+    any_of = lambda *wanted: F.exists(names, lambda n: n.isin(*wanted))
+    kind = F.when(any_of("Mock"), "mock").when(any_of("Spy"), "spy").when(any_of("MockBean", "SpyBean", "InjectMocks", "Captor"), "bean")
+    return fields.select("project", "class_name", "name", "type", kind.alias("mock_type")).filter("mock_type is not null")
+
+
+def test_configurations(classes: DataFrame) -> DataFrame:
+    """(project, class_name, kind, value): configurations, profiles and property sources of test classes."""
+    kinds = F.create_map(*map(F.lit, ("TestConfiguration", "configuration", "ActiveProfiles", "profile", "TestPropertySource", "property")))
+    each = classes.select("project", F.col("name").alias("class_name"), F.explode("annotations").alias("a")).withColumn("kind", kinds[F.col("a.name")])
+    value = F.coalesce(F.element_at("a.parameters", "value"), F.element_at("a.parameters", "properties"), F.element_at("a.parameters", "locations"), F.lit(""))
+    return each.filter("kind is not null").select("project", "class_name", "kind", value.alias("value"))

@@ -338,6 +338,53 @@ def test_scope(spark, sf):
     return stats.test_scope(t["class"], t["method"])
 
 
+UNIT = """package com.shop;
+@ActiveProfiles("p@size@")
+@TestPropertySource(properties = "a=b")
+class Desk@k@Test {
+    @Mock private Clock clock;
+    @Spy Desk desk;
+    @MockBean Mapper@k@ mapper;
+    private Plain plain;
+    @BeforeEach void open() { given(clock.now()).willReturn(1); }
+    @Test @DisplayName("finds @k@") @Timeout("5") void finds() { Row row = new Row(1); assertEquals(row.id(), desk.find(1)); assertThat(row); verify(desk).find(1); }
+    @ParameterizedTest @CsvSource("1,2") void counts(int a, int b) { assertThrows(Oops.class, new Call()); }
+    void help() { assertTrue(true); }
+}
+"""
+
+
+def _unit(spark, sf):
+    return java.tables_of(java.parsed_classes(_sources(spark, sf, **{"Desk_Test.java": UNIT})), "p")
+
+
+@query("""SELECT concat('Desk', p_partkey, 'Test') AS class_name, x[1] AS name, x[2] AS kind, CASE x[1] WHEN 'finds' THEN concat('finds ', p_partkey) END AS display_name, nullif(x[3], '') AS timeout, x[4] AS assertions, x[5] AS stubs, x[6] AS calls, x[7] AS created, x[8] AS data_sources FROM part,
+(SELECT unnest([['open', 'setup', '', '', 'given,willReturn', 'clock.now', '', ''], ['finds', 'test', '5', 'assertEquals,assertThat', 'verify', 'row.id,desk.find', 'Row', ''], ['counts', 'test', '', 'assertThrows', '', '', 'Call', 'CsvSource']]) AS x)""")
+def test_method_facts(spark, sf):
+    rows = classspec.test_methods(_unit(spark, sf)["method"])
+    return rows.select("class_name", "name", "kind", "display_name", "timeout", *[_list(c).alias(c) for c in ("assertions", "stubs", "calls", "created", "data_sources")])
+
+
+@query("""SELECT concat('Desk', p_partkey, 'Test') AS class_name, unnest(['clock', 'desk', 'mapper']) AS name, unnest(['Clock', 'Desk', concat('Mapper', p_partkey)]) AS type, unnest(['mock', 'spy', 'bean']) AS mock_type FROM part""")
+def test_mocks(spark, sf):
+    return classspec.test_mocks(_unit(spark, sf)["field"]).drop("project")
+
+
+@query("""SELECT concat('Desk', p_partkey, 'Test') AS class_name, unnest(['profile', 'property']) AS kind, unnest([concat('p', p_size), 'a=b']) AS value FROM part""")
+def test_configurations(spark, sf):
+    return classspec.test_configurations(_unit(spark, sf)["class"]).drop("project")
+
+
+@query("""SELECT concat('Part', p_partkey, 'Service') AS class_name, concat('# Part', p_partkey, 'Service', chr(10), chr(10), 'service class in com.shop', p_size, '.service, extends BaseService', chr(10), chr(10), '## Interfaces', chr(10), '- PartPort', chr(10), '- AutoCloseable', chr(10), chr(10), '## Fields', chr(10), '- ',
+array_to_string(list_sort([concat('Part', p_partkey, 'Mapper mapper'), 'int LIMIT', concat('Part', p_partkey, 'Desk desk')]), concat(chr(10), '- ')), chr(10), chr(10), '## Methods', chr(10), '- Part', p_partkey, 'Service', chr(10), '- find', p_partkey, chr(10), '- setAudit', chr(10), '- helper', chr(10), chr(10), '## Depends on', chr(10), '- ',
+array_to_string(list_sort([concat('part', p_partkey, 'Mapper'), concat('part', p_partkey, 'Desk'), concat('part', p_partkey, 'Audit')]), concat(chr(10), '- '))) AS text FROM part""")
+def class_texts(spark, sf):
+    """Specifications of classes as Markdown."""
+    t = _code(spark, sf)
+    b = linkage.beans_of(t["class"])
+    return report.class_text(classspec.class_rows(t["class"].filter("superclass is not null"), t["method"], t["field"], linkage.bean_dependencies(b, t["field"], t["method"]), b))
+
+
 # Mapper XML
 
 MAPPER_XML = """<?xml version="1.0"?>

@@ -97,8 +97,12 @@ class Lineage:
     def crud_matrix(self, project: str | None = None) -> DataFrame:
         return crud.matrix(self.accesses(project), self.t.get("db_table"))
 
-    def crud_crosstab(self, project: str | None = None) -> DataFrame:
-        return crud.crosstab(self.accesses(project))
+    def crud_crosstab(self, project: str | None = None, page: int = 0, size: int = 100) -> DataFrame:
+        """Classes by tables, a page of so many tables in the order of their names; the long form of all is crud_matrix()."""
+        held = self.accesses(project)
+        names = held.select("table_name").distinct().orderBy("table_name").offset(page * size).limit(size)
+        tables = [r["table_name"] for r in names.collect()]
+        return crud.crosstab(held.filter(F.col("table_name").isin(tables)), tables)
 
     def table_summary(self, project: str | None = None) -> DataFrame:
         return crud.table_summary(self.accesses(project))

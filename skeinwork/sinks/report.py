@@ -37,6 +37,19 @@ def mermaid_graph(edges: DataFrame, direction: str = "TD") -> DataFrame:
     return _text(edges.select(F.struct("src", "dst").alias("pos"), line.alias("line")), [f"graph {direction}"])
 
 
+def class_text(rows: DataFrame) -> DataFrame:
+    """(class_name, text): the specification of each row of classspec.class_rows() as Markdown."""
+
+    def part(title: str, col: str):
+        items = F.array_join(F.transform(F.filter(F.split(F.coalesce(col, F.lit("")), ","), lambda x: x != ""), lambda x: F.concat(F.lit("- "), markdown_cell(x))), "\n")
+        return F.when(F.coalesce(col, F.lit("")) != "", F.concat(F.lit(f"\n\n## {title}\n"), items)).otherwise("")
+
+    head = F.concat(F.lit("# "), "class_name", F.lit("\n\n"), F.concat_ws(" ", F.nullif("sub_type", F.lit("")), "type"), F.lit(" in "), F.coalesce("package_name", F.lit("the default package")))
+    up = F.when(F.col("superclass").isNotNull(), F.concat(F.lit(", extends "), "superclass")).otherwise("")
+    parts = [part(title, col) for title, col in (("Interfaces", "interfaces"), ("Fields", "fields"), ("Methods", "methods"), ("Depends on", "depends_on"))]
+    return rows.select("class_name", F.concat(head, up, *parts).alias("text"))
+
+
 def sequence_text(flow: DataFrame, style: str = "mermaid") -> DataFrame:
     """(top, text): a sequence diagram of activation_flow rows; style mermaid or plantuml."""
     solid, dashed = ("->>", "-->>") if style == "mermaid" else ("->", "-->")
