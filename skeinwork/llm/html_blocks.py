@@ -14,7 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,10 @@ TRAINING_PAGES = 800
 PATH_DIMS, WORD_DIMS, EXTRA_DIMS, HIDDEN = 160, 32, 8, 20
 DIMS = PATH_DIMS + WORD_DIMS + EXTRA_DIMS
 
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = set("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp script semantics small span strike strong style sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = set("head script style noscript template textarea select button svg math iframe object canvas audio video title".split())
+#: What no reader sees or what is a control; all else is left to the labeller.
+_SILENT = set("annotation head script style template textarea select button svg iframe title".split())
 #: What an opening tag closes, up to the nearest of the listed ancestors.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 _CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -36,21 +37,82 @@ _IN_HEAD = set("head html base basefont bgsound link meta title noscript noframe
 #: What can stand in a select.
 _IN_SELECT = set("option optgroup hr script template".split())
 _NAME = re.compile(r"[a-z]+")
+#: A whole tag. Quotes count after an equals sign only; nothing is given back, so a match takes one pass.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+#: Elements whose content is text up to their end tag.
+_RAW = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "xmp", "noframes", "noembed")}
+_BUTTONS = {tag: re.compile(f"<(/?){tag}\\b", re.I) for tag in ("button", "select")}
 
 
-class _Blocks(HTMLParser):
-    """Collects (path, text, characters in links) of each leaf block."""
+class _Blocks:
+    """Collects (path, text, characters in links) of each leaf block. Every step takes time by what it reads, not by how deep the page is."""
 
     def __init__(self, html: str = "") -> None:
-        super().__init__(convert_charrefs=True)
         self.html = html
-        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.at = 0
         self.unclosed: str | None = None  # the open button or select that no end tag follows
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.where: dict[str, list[int]] = {}  # the places of each open tag in the stack
+        self.outer: list[int] = []  # the places of open tags that are not inline
+        self.held = [0] * PATH_DIMS  # how often each slot of path names is open
+        self.slots: dict[int, None] = {}  # the slots that are open
+        self.blocks: list[tuple[tuple[int, ...], str, int]] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
-        self.path: tuple[str, ...] | None = None
+        self.path: tuple[int, ...] | None = None
+
+    def read(self) -> list[tuple[tuple[int, ...], str, int]]:
+        html, end, torn = self.html, len(self.html), False
+        while self.at < end:
+            lt = html.find("<", self.at)
+            if lt < 0:
+                self.text(html[self.at :])
+                break
+            if lt > self.at:
+                self.text(html[self.at : lt])
+            self.at = lt
+            following = html[lt + 1 : lt + 3]
+            if html.startswith("<!--", lt):
+                close = html.find(">", lt) if html.startswith(("<!-->", "<!--->"), lt) else html.find("-->", lt + 4)
+                self.at = end if close < 0 else close + (1 if html[close] == ">" else 3)
+            elif following[:1] in ("!", "?") or (following[:1] == "/" and not following[1:].isalpha() and following[1:]):
+                close = html.find(">", lt)
+                self.at = end if close < 0 else close + 1
+            elif following[:1].isascii() and following[:1].isalpha() or (following[:1] == "/" and following[1:].isascii() and following[1:].isalpha()):
+                tag = None if torn else _TAG.match(html, lt)
+                if tag:
+                    self.at = tag.end()
+                    self.tag(tag[1], tag[2].lower(), tag[3])
+                else:
+                    # all later ends of tags are in quotes, or there is none: from here on the first > ends a tag
+                    torn = True
+                    close = html.find(">", lt)
+                    if close < 0:
+                        break  # an unfinished tag at the end
+                    self.at = close + 1
+                    inner = html[lt + 1 : close]
+                    name = re.match(r"(/?)([^\s/>]*)", inner)
+                    self.tag(name[1], name[2].lower(), inner[name.end() :])
+            else:
+                self.text("<")
+                self.at = lt + 1
+        self._flush()
+        return self.blocks
+
+    def tag(self, slash: str, tag: str, rest: str) -> None:
+        if slash:
+            self.handle_endtag(tag)
+            return
+        self.handle_starttag(tag, rest)
+        if rest.endswith("/") and tag not in _VOID:
+            self.handle_endtag(tag)
+        elif tag in _RAW:
+            close = _RAW[tag].search(self.html, self.at)
+            stop = close.start() if close else len(self.html)
+            if tag not in _SILENT:
+                self.text(self.html[self.at : stop])
+            self.at = stop
 
     def _flush(self) -> None:
         if self.parts:
@@ -61,27 +123,37 @@ class _Blocks(HTMLParser):
         self.linked, self.path = 0, None
 
     def _pop(self, to: int) -> None:
-        for tag, _ in self.stack[to:]:
+        for tag, slots in reversed(self.stack[to:]):
             self.silent -= tag in _SILENT
             self.links -= tag == "a"
+            self.where[tag].pop()
+            if tag not in _INLINE:
+                self.outer.pop()
+            for k in slots:
+                self.held[k] -= 1
+                if not self.held[k]:
+                    del self.slots[k]
             if tag == self.unclosed:
                 self.unclosed = None
         del self.stack[to:]
 
+    def _last(self, tags) -> int:
+        """The place of the innermost open tag of these; -1 if none is open."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
     def _end_unclosed(self, tag: str) -> None:
         """Ends a head, and a button or select without end tag, at a tag that cannot stand in it."""
         if self.stack and self.stack[-1][0] == "head" and tag not in _IN_HEAD:
             self._pop(len(self.stack) - 1)
         ends = tag not in _IN_SELECT if self.unclosed == "select" else tag in _CLOSES_P or tag in _CLOSES or tag == "button"
         if self.unclosed and ends:
-            self._pop(max(k for k, x in enumerate(self.stack) if x[0] == self.unclosed))
+            self._pop(self.where[self.unclosed][-1])
         if tag in ("button", "select"):
-            line, column = self.getpos()
-            after = re.compile(f"<(/?){tag}\\b", re.I).search(self.html, self.lines[line - 1] + column + 1)
+            after = _BUTTONS[tag].search(self.html, self.at)
             if not (after and after[1]):
                 self.unclosed = tag
 
-    def handle_starttag(self, tag: str, attrs) -> None:
+    def handle_starttag(self, tag: str, rest: str) -> None:
         if tag == "br":
             self._end_unclosed(tag)
             if self.parts:
@@ -89,69 +161,57 @@ class _Blocks(HTMLParser):
             return
         if tag not in _INLINE:
             self._flush()
-        if tag == "body":  # a head that was never closed ends here
-            self._pop(next((k for k, x in enumerate(self.stack) if x[0] == "head"), len(self.stack)))
+        if tag == "body" and self.where.get("head"):  # a head that was never closed ends here
+            self._pop(self.where["head"][0])
         self._end_unclosed(tag)
         if tag in _VOID:
             return
-        if tag in _CLOSES_P:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == "p":
-                    self._pop(k)
-                    break
-                if self.stack[k][0] not in _INLINE:
-                    break
+        if tag in _CLOSES_P and self.outer and self.stack[self.outer[-1]][0] == "p":
+            self._pop(self.outer[-1])
         if tag in _CLOSES:
             shut, within = _CLOSES[tag]
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in shut:
-                    self._pop(k)
-                    break
-                if self.stack[k][0] in within:
-                    break
+            k = self._last(shut)
+            if k >= 0 and k > self._last(within):
+                self._pop(k)
         names = [f"<{tag}"]
-        for key, value in attrs:
+        for found in _ATTRIBUTE.finditer(rest):
+            key, value = found[1].lower(), found[2] or found[3] or found[4]
             if key in ("class", "id", "role") and value:
-                names += [f".{x}" for x in _NAME.findall(value.lower())]
-        self.stack.append((tag, tuple(names)))
+                names += [f".{x}" for x in _NAME.findall(unescape(value).lower())]
+        slots = tuple(_slot(x, PATH_DIMS) for x in names)
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag not in _INLINE:
+            self.outer.append(len(self.stack))
+        self.stack.append((tag, slots))
+        for k in slots:
+            self.held[k] += 1
+            self.slots[k] = None
         self.silent += tag in _SILENT
         self.links += tag == "a"
 
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
         if tag not in _INLINE:
             self._flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop(k)
-                break
+        if self.where.get(tag):
+            self._pop(self.where[tag][-1])
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and not data.isspace():
             self._pop(len(self.stack) - 1)
         if self.silent > 0:
             return
+        data = unescape(data)
         if self.path is None and not data.isspace():
-            self.path = tuple(dict.fromkeys(x for _, names in self.stack for x in names)) + tuple(f"!{x}" for x in (self.stack[-1][1][:1] if self.stack else ()))
+            own = (_slot(f"!<{self.stack[-1][0]}", PATH_DIMS),) if self.stack else ()
+            self.path = (*self.slots, *own)
         self.parts.append(data)
         if self.links > 0:
             self.linked += len(data)
 
-    def close(self) -> None:
-        super().close()
-        self._flush()
 
-
-def blocks_of(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """The leaf blocks of a page in page order: path names, text with white space made single, characters inside links."""
-    parser = _Blocks(html or "")
-    parser.feed(html or "")
-    parser.close()
-    return parser.blocks
+def blocks_of(html: str | None) -> list[tuple[tuple[int, ...], str, int]]:
+    """The leaf blocks of a page in page order: slots of path names, text with white space made single, characters inside links."""
+    return _Blocks(html or "").read()
 
 
 @lru_cache(maxsize=20_000)
@@ -159,12 +219,12 @@ def _slot(name: str, dims: int) -> int:
     return zlib.crc32(name.encode()) % dims
 
 
-def vectors_of(blocks) -> np.ndarray:
-    """One row per block: hashed path, hashed words, and a few numbers."""
+def vectors_of(blocks, first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row per block: hashed path, hashed words, and a few numbers. blocks may be a run from the place first of a page of total blocks."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), DIMS), np.float32)
     for row, (path, text, linked) in enumerate(blocks):
-        for name in path:
-            out[row, _slot(name, PATH_DIMS)] = 1
+        out[row, list(path)] = 1
         words = text.lower().split()
         for word in words:
             out[row, PATH_DIMS + zlib.crc32(word.encode("utf-8", "replace")) % WORD_DIMS] += 1
@@ -172,7 +232,7 @@ def vectors_of(blocks) -> np.ndarray:
         n = len(text)
         out[row, -EXTRA_DIMS:] = (
             np.log1p(n) / 6, np.log1p(len(words)) / 4, min(1.0, linked / n), min(1.0, 8 * sum(map(text.count, ".,;:!?")) / n),
-            row / len(blocks), float(text[-1] in ".!?"), float("©" in text), 1.0,
+            (first + row) / total, float(text[-1] in ".!?"), float("©" in text), 1.0,
         )
     return out
 
@@ -196,10 +256,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(p: dict, x: np.ndarray, mask: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
+def _run(p: dict, x: np.ndarray, mask: np.ndarray, d: str, trace: list | None = None, state: list | None = None) -> np.ndarray:
+    """The layer's output in one direction. state, if given, holds (h, c) before the run and is set to those after it."""
     size, steps, _ = x.shape
     inner = x @ p[f"x{d}"] + p[f"b{d}"]
-    h = c = np.zeros((size, HIDDEN), np.float32)
+    h, c = state or [np.zeros((size, HIDDEN), np.float32)] * 2
     out = np.zeros((size, steps, HIDDEN), np.float32)
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         gates = inner[:, t] + h @ p[f"h{d}"]
@@ -213,6 +274,8 @@ def _run(p: dict, x: np.ndarray, mask: np.ndarray, d: str, trace: list | None =
         out[:, t] = h
         if trace is not None:
             trace.append((t, i, f, o, g, before, last, squashed, m))
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -372,6 +435,10 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
     def notice() -> str:
         return box(_NOTICE, rng.choice((words(4, 25), prose(1, 2))) + (f"<a href='#'>{words(1, 2)}</a>" if rng.random() < 0.5 else ""), ("div", "section", "aside"))
 
+    def fallback() -> str:
+        """What a browser shows only where it cannot run or play something."""
+        return rng.choice((f"<noscript>{words(2, 15)}</noscript>", f"<noscript><p>{words(2, 15)}</p></noscript>", f"<video>{words(2, 10)}</video>", f"<audio><p>{words(2, 10)}</p></audio>", f"<object>{words(2, 10)}</object>", f"<canvas>{words(2, 10)}</canvas>"))
+
     def comments() -> str:
         one = [rng.choice((box(("comment",), f"<b>{words(1, 2)}</b><p>{words(2, 40)}</p>", ("div", "li", "article")), f"<div><h4>{words(1, 2)}</h4><p>{words(2, 30)}</p></div>", f"<li>{words(2, 30)}</li>")) for _ in range(rng.randint(1, 6))]
         return box(_COMMENT, f"<{(h := rng.choice(('h2', 'h3')))}>{words(1, 3)}</{h}>" * (rng.random() < 0.7) + "".join(one), ("div", "section", "ol", "ul"))
@@ -384,7 +451,7 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         parts = [said("h1", words(3, 12))] if rng.random() < 0.85 else []
         if rng.random() < 0.15:
             parts.append(box(_SHARE, links(1, 4)))
-        for _ in range(rng.randint(1, 14)):
+        for _ in range(rng.randint(1, 14) if rng.random() < 0.95 else rng.randint(30, 80)):
             kind = rng.random()
             if kind < 0.78:
                 parts.append(said("p", words(1, 110) if rng.random() < 0.8 else words(1, 4)))
@@ -397,7 +464,7 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
             elif kind < 0.93:
                 parts.append("<table><tr>" + "".join(said("td", words(1, 4)) for _ in range(4)) + "</tr></table>")
             else:
-                parts.append(rng.choice((ad, form, notice, side))())
+                parts.append(rng.choice((ad, form, notice, side, fallback))())
         if rng.random() < 0.15:
             parts.append(box(_SHARE, links(1, 5)))
         inner = "".join(parts)
@@ -409,11 +476,13 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.5:
         inner = rng.choice((f"<h1>{words(1, 3)}</h1>", f"<p>{words(1, 8)}</p>", f'<a href="/">{words(1, 2)}</a>')) + (f"<p>{words(2, 9)}</p>" if rng.random() < 0.4 else "") + (f"<nav>{links(2, 5)}</nav>" if rng.random() < 0.3 else "")
         top.insert(0, rng.choice((f"<header>{inner}</header>", box(_HEADER, inner))))
-    top += [x() for x in (notice, ad, form, side) if rng.random() < 0.3]
+    top += [x() for x in (notice, ad, form, side, fallback) if rng.random() < 0.3]
     low += [x() for x in (comments, side, ad, form, notice) if rng.random() < 0.35]
     if rng.random() < 0.85:
         inner = rng.choice((lambda: "&copy; " + words(1, 4) + " &middot; " + words(3, 12), lambda: f"<p>&copy; {words(2, 10)}</p>" + links(1, 5), lambda: prose(1, 3), lambda: words(3, 12)))()
         low.append(rng.choice((f"<footer>{inner}</footer>", box(_FOOTER, inner, ("div", "footer")))))
+    if rng.random() < 0.1:  # an article alone
+        top, low = [], []
     head = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>"
     body = "".join(top) + article() + "".join(low)
     if rng.random() < 0.3:
@@ -421,10 +490,28 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
     return head + body + ("</body></html>" if rng.random() < 0.9 else ""), main
 
 
-def label(params: dict, pages: list[list]) -> list[np.ndarray]:
-    """For each page's blocks whether they are main text; pages of like length are read together."""
+def _label_long(p: dict, blocks: list, run: int) -> np.ndarray:
+    """label() of one page by runs of blocks, the states handed on from run to run: the same result in bounded memory."""
+    n = len(blocks)
+    total = np.zeros(n, np.float32)
+    edges = [(a, min(a + run, n)) for a in range(0, n, run)]
+    for d, some, own in (("f", edges, p["o"][:HIDDEN]), ("b", edges[::-1], p["o"][HIDDEN:])):
+        state = [np.zeros((1, HIDDEN), np.float32)] * 2
+        for a, b in some:
+            x = vectors_of(blocks[a:b], a, n)[None]
+            total[a:b] += (_run(p, x, np.ones(x.shape[:2], np.float32), d, state=state) @ own)[0, :, 0]
+            if d == "f":
+                total[a:b] += (x @ p["s"] + p["c"])[0, :, 0]
+    return total > 0
+
+
+def label(params: dict, pages: list[list], long_page: int = 4096) -> list[np.ndarray]:
+    """For each page's blocks whether they are main text; pages of like length are read together, those of over long_page blocks by runs."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+    for k, blocks in enumerate(pages):
+        if len(blocks) > long_page:
+            out[k] = _label_long(params, blocks, long_page)
+    order = sorted((k for k in range(len(pages)) if 0 < len(pages[k]) <= long_page), key=lambda k: len(pages[k]))
     while order:
         steps = len(pages[order[-1]])
         some = order[-max(1, 20_000 // steps) :]
