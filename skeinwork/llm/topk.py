@@ -1,22 +1,25 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-Vectors are cut into ``shards`` runs of dimensions; each shard is a source of partial scores, worked on in blocks of queries and
-candidates. Phase 1: each shard lists its best partial scores of every block; the listed candidates are scored whole, and the kth
-best of them is a score that the kth result reaches at least. Phase 2: that cutoff, divided evenly among the shards, goes to all of
-them, and each gives every entry that reaches its share: a candidate below it everywhere cannot reach the cutoff. Phase 3: the
-candidates given are scored exactly from the whole vectors.
+Vectors are cut into ``shards`` runs of dimensions; each shard is a source of partial scores. Blocks of queries meet blocks of
+candidates, and all that needs a vector happens where the block has it, so only ids and scores leave it. Phase 1: each shard lists
+its best partial scores of every query; the listed candidates are resolved, and the kth best of them over all blocks is a score that
+the kth result reaches at least. Phase 2: that cutoff, divided evenly among the shards, goes to all of them, and each gives every entry that
+reaches its share: a candidate below it everywhere cannot reach the cutoff. Phase 3: the entries given are resolved exactly, and those
+under the cutoff are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-_PAIRS = "query_id long, vec_id long"
+_SCORED = "query_id long, vec_id long, score long"
+#: Queries of a block that are worked on at once.
+_TILE = 256
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -33,29 +36,26 @@ def _distinct(vectors: DataFrame, copies: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0])
 
 
-def _shards(vectors: DataFrame, dims: int, shards: int, blocks: int, name: str) -> DataFrame:
-    edges = np.linspace(0, dims, shards + 1).astype(int).tolist()
-    parts = F.array(*[F.struct(F.lit(s).alias("shard"), F.slice("v", a + 1, b - a).alias("part")) for s, (a, b) in enumerate(zip(edges, edges[1:]))])
-    cut = vectors.select("id", F.explode(parts).alias("x"))
-    return cut.select("id", "x.shard", "x.part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(f"{name}_block"))
+def _meet(queries: DataFrame, candidates: DataFrame, q_blocks: int, c_blocks: int, extra: list[str]):
+    """Both sides grouped by (query block, candidate block): every block of queries meets every block of candidates."""
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = queries.select(block(q_blocks).alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c_block"), "id", "v", *extra)
+    c = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), block(c_blocks).alias("c_block"), "id", "v")
+    return q.groupBy("q_block", "c_block").cogroup(c.groupBy("q_block", "c_block"))
 
 
-def _paired(queries: DataFrame, candidates: DataFrame, q_blocks: int, c_blocks: int, extra: list[str]):
-    """Both sides grouped by (shard, query block, candidate block): every block of queries meets every block of candidates."""
-    q = queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    c = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    keys = ["shard", "q_block", "c_block"]
-    return q.select(*keys, "id", "part", *extra).groupBy(*keys).cogroup(c.select(*keys, "id", "part").groupBy(*keys))
+def _columns(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, and the vectors as a matrix."""
+    held = table.column("v").combine_chunks()
+    return table.column("id").to_numpy(), held.flatten().to_numpy().reshape(len(held), -1).astype(kind)
 
 
-def _matrix(parts: pd.Series) -> np.ndarray:
-    return np.stack(parts.to_numpy()).astype(np.float64)
-
-
-def _product(q: pd.DataFrame, c: pd.DataFrame, exact: bool) -> np.ndarray:
-    if exact:  # float64 holds these sums exactly, and its product is much the faster one
-        return (_matrix(q["part"]) @ _matrix(c["part"]).T).astype(np.int64)
-    return np.stack(q["part"].to_numpy()).astype(np.int64) @ np.stack(c["part"].to_numpy()).astype(np.int64).T
+def _best(score: np.ndarray, ids: np.ndarray, row: np.ndarray, take: int) -> np.ndarray:
+    """Places of the take best scores of each row, ties to the smaller id; row says whose each score is."""
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    first = np.searchsorted(row, row)
+    return order[np.arange(len(row)) - first < take]
 
 
 def top_k(
@@ -66,77 +66,100 @@ def top_k(
     k: int = 5,
     shards: int = 2,
     scale: int = 256,
-    block_rows: int = 2048,
+    block_rows: int = 16_384,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k highest integer inner products with other rows, ties to the smaller id.
 
     is_query is a condition on id_col. Rows with a null id, or whose vector is null, empty or holds null or non-finite
     components, take no part; vectors must otherwise be of one length. Rows that repeat an id and vector count once. A query with fewer than k candidates
-    gets them all. Other columns are ignored; an empty table gives no rows.
+    gets them all. Components and scores beyond 64 bits become the nearest 64-bit number. Other columns are ignored; an empty table gives no rows.
+    Each side is sent once for every block of the other, so larger blocks mean less to shuffle; small tables get smaller blocks, for more tasks.
     """
+    spark = vectors.sparkSession
     whole = materialize(whole_vectors(vectors, id_col, vector_col, scale).distinct())
-    shape = whole.agg(F.max(F.size("v")).alias("dims"), F.min(F.size("v")).alias("low"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    shape = whole.agg(F.max(F.size("v")).alias("dims"), F.min(F.size("v")).alias("low"), most.alias("most")).first()
     dims, most = shape["dims"] or 1, shape["most"] or 0
     if shape["low"] is not None and shape["low"] != dims:
         raise ValueError("vectors differ in length")
-    exact = most * most * dims < 1 << 53
+    # float64 holds sums below 2**53 exactly, and its product is much the fastest one
+    kind = np.float64 if most * most * dims < 1 << 53 else np.int64 if most * most * dims < 1 << 62 else object
     distinct = materialize(_distinct(whole, k + 1))
     asked = whole.filter(is_query(F.col("id"))) if callable(is_query) else whole.filter(is_query)
     n, m = distinct.count(), asked.count()
-    shards = min(shards, dims)
-    c_blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
-    q_parts, c_parts = _shards(asked, dims, shards, q_blocks, "q"), _shards(distinct, dims, shards, c_blocks, "c")
-
-    mine = asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    theirs = distinct.select(F.col("id").alias("vec_id"), F.col("v").alias("cv"), "ids")
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """(query_id, score, ids) of pairs, from the whole vectors."""
-        return pairs.join(mine, "query_id").join(theirs, "vec_id").select("query_id", "vec_id", dot.alias("score"), "ids")
-
-    def pairs_of(q: pd.DataFrame, c: pd.DataFrame, row: np.ndarray, col: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[row], "vec_id": c["id"].to_numpy()[col]})
-
-    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64")})
-
-    # Phase 1. Candidates are different vectors; a query's own vector is among them, so one more is listed.
-    def lists(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return none
-        score = _product(q, c, exact)
-        take = min(k + 1, score.shape[1])
-        at = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        return pairs_of(q, c, np.repeat(np.arange(len(q)), take), at.ravel())
-
-    listed = _paired(q_parts, c_parts, q_blocks, c_blocks, []).applyInPandas(lists, _PAIRS).distinct()
-    cutoff = _kth(scored(listed), k + 1)
-    safe = asked.select(F.col("id").alias("query_id")).join(cutoff, "query_id", "left")
-    safe = materialize(safe.select("query_id", F.coalesce("cutoff", F.lit(-(1 << 62))).alias("cutoff")))
-
-    # Phase 2. The shares of the shards add up to the cutoff.
-    even = F.floor(F.col("cutoff") / shards)
-    shares = q_parts.join(safe, q_parts.id == safe.query_id).withColumn("share", F.when(F.col("shard") == 0, F.col("cutoff") - even * (shards - 1)).otherwise(even))
-
-    def entries(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return none
-        row, col = np.nonzero(_product(q, c, exact) >= q["share"].to_numpy()[:, None])
-        return pairs_of(q, c, row, col)
-
-    given = _paired(shares, c_parts, q_blocks, c_blocks, ["share"]).applyInPandas(entries, _PAIRS).distinct()
-
-    # Phase 3. Copies of a vector come back here; only so many of their smallest ids as can be wanted.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    each = scored(given).select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _kth(scores: DataFrame, k: int) -> DataFrame:
-    """(query_id, cutoff): the kth highest score of each query; queries with fewer rows are left out."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    q_blocks, c_blocks = max(1, -(-m // block_rows)), max(1, -(-n // block_rows), min(tasks, -(-n // 2048)))
+    edges = np.linspace(0, dims, min(shards, dims) + 1).astype(int).tolist()
+    cuts = list(zip(edges, edges[1:]))
+    take = k + 1  # a query's own vector is among the candidates
+
+    def tiles(q: pa.Table, c: pa.Table):
+        """(query rows, their ids, candidates' ids, partial scores by shard) of some queries at a time."""
+        if q.num_rows and c.num_rows:
+            (q_ids, q_v), (c_ids, c_v) = _columns(q, kind), _columns(c, kind)
+            for a in range(0, len(q_ids), _TILE):
+                some = slice(a, a + _TILE)
+                yield some, q_ids[some], c_ids, [q_v[some, x:y] @ c_v[:, x:y].T for x, y in cuts]
+
+    def held(score: np.ndarray) -> np.ndarray:
+        """Scores as numbers of 64 bits."""
+        return np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in score], np.int64) if kind is object else score
+
+    def table(parts: list[tuple]) -> pa.Table:
+        whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts)) or [()] * 3)]
+        return pa.table({name: pa.array(np.asarray(x, np.int64)) for name, x in zip(("query_id", "vec_id", "score"), whole)})
+
+    def listed(q: pa.Table, c: pa.Table) -> pa.Table:
+        """Phase 1: the shards' lists of each query, resolved, and the best of them."""
+        parts = []
+        for _, q_ids, c_ids, partial in tiles(q, c):
+            n_listed = min(take, len(c_ids))
+            at = np.concatenate([np.argpartition(-p, n_listed - 1, axis=1)[:, :n_listed] for p in partial], axis=1)
+            at.sort(axis=1)
+            fresh = np.ones(at.shape, bool)
+            fresh[:, 1:] = at[:, 1:] != at[:, :-1]  # a candidate that two shards list counts once
+            row, place = np.nonzero(fresh)
+            col = at[row, place]
+            score = held(sum(p[row, col] for p in partial))
+            best = _best(score, c_ids[col], row, take)
+            parts.append((q_ids[row[best]], c_ids[col[best]], score[best]))
+        return table(parts)
+
+    def resolved(q: pa.Table, c: pa.Table) -> pa.Table:
+        """Phases 2 and 3: entries that reach a shard's share, and of those the exact scores that reach the cutoff."""
+        parts, cutoffs = [], q.column("cutoff").to_numpy()
+        for some, q_ids, c_ids, partial in tiles(q, c):
+            cutoff = cutoffs[some].astype(kind)
+            if kind is object:  # the least number stands for all below it
+                cutoff = np.where(cutoff == -(1 << 63), -(1 << 200), cutoff)
+            even = cutoff // len(partial)
+            given = partial[0] >= (cutoff - even * (len(partial) - 1))[:, None]
+            for p in partial[1:]:
+                given |= p >= even[:, None]
+            row, col = np.nonzero(given)
+            score = held(sum(p[row, col] for p in partial))
+            reach = score >= cutoff[row]
+            row, col, score = row[reach], col[reach], score[reach]
+            best = _best(score, c_ids[col], row, take)
+            parts.append((q_ids[row[best]], c_ids[col[best]], score[best]))
+        return table(parts)
+
+    low = -(1 << 53) if kind is np.float64 else -(1 << 63)
+    cutoff = _highest(_meet(asked, distinct, q_blocks, c_blocks, []).applyInArrow(listed, _SCORED), take).filter(F.col("rank") == take)
+    safe = asked.join(cutoff.select(F.col("query_id").alias("id"), F.col("score").alias("cutoff")), "id", "left")
+    safe = materialize(safe.withColumn("cutoff", F.coalesce("cutoff", F.lit(low))))
+
+    # Copies of a vector come back here; only so many of their smallest ids as can be wanted.
+    best = _highest(_meet(safe, distinct, q_blocks, c_blocks, ["cutoff"]).applyInArrow(resolved, _SCORED), take)
+    copies = distinct.select(F.col("id").alias("vec_id"), "ids")
+    each = best.join(copies, "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    return _highest(each, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _highest(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank, ties to the smaller vec_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 ORACLE = """
