@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import tiktoken
+import tokenizers
 
 DEFAULT_PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Fixed value: the pre-tokenizer pattern of this vocabulary.
@@ -46,6 +50,45 @@ def fast_encoder(path: str = DEFAULT_PATH) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=v["ids"], special_tokens=v["special"])
 
 
+@lru_cache(maxsize=4)
+def library(path: str = DEFAULT_PATH) -> tokenizers.Tokenizer:
+    """The tokenizers library's own encoder, without truncation and padding."""
+    made = tokenizers.Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+#: A plain space between two other characters: a piece begins at it, and no piece or special token spans it.
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_PART = 1 << 20
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text cut at such spaces into parts of about _PART characters, so that what is hard about it stands by itself."""
+    at = 0
+    while len(text) - at > _PART:
+        found = _SAFE.search(text, at + _PART)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 def encode(text: str | None, path: str = DEFAULT_PATH):
-    """ids of a text as a uint32 array; special tokens' strings in the text become their ids."""
-    return fast_encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    """ids of a text as a uint32 array, those of the tokenizers library; special tokens' strings in the text become their ids.
+
+    The fast encoder gives up on runs of about a million white-space characters. Of such a text only the part with the run goes to the library, which is slower.
+    """
+    fast = fast_encoder(path)
+    try:
+        return fast.encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:
+        out = []
+        for part in _parts(text):
+            try:
+                out.append(fast.encode_to_numpy(part, allowed_special="all"))
+            except ValueError:
+                out.append(np.array(library(path).encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32))
+        return np.concatenate(out)
