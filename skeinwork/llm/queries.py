@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import bpe, html_blocks, line_dedup, packing, quality, secret_scan, token_rollup, topk, url_rules
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table
 from .near_dedup import near_duplicates
 
 
@@ -51,11 +51,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One batch of inserts, sent twice as a retried job would; the second time changes nothing."""
+    """Three batches over the whole table: every document is inserted, then all counts are revised to hold the end token, then documents of under 16 tokens are deleted.
+
+    Each batch is sent twice, as a retried job would; the second time changes nothing. The ledger is compacted on the way.
+    """
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    batch = token_rollup.count_tokens(table(spark, sf_dir, "documents")).withColumn("op", F.lit("insert"))
-    for _ in range(2):
-        rollup.commit(1, batch)
+    counts = materialize(token_rollup.count_tokens(table(spark, sf_dir, "documents")))
+    more = counts.withColumn("n_tokens", F.col("n_tokens") + 1)
+    batches = [counts.withColumn("op", F.lit("insert")), more.withColumn("op", F.lit("revise")), more.filter("n_tokens < 16").withColumn("op", F.lit("delete"))]
+    for number, batch in enumerate(batches, 1):
+        for _ in range(2):
+            rollup.commit(number, batch)
+        if number == 2:
+            rollup.compact()
     return rollup.totals()
 
 

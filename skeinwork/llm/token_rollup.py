@@ -2,7 +2,8 @@
 
 A rollup lives in a folder that all executors share. Each batch writes a part of the ledger (what every changed document now counts,
 null once deleted) and its deltas (new minus old, summed by group), then a commit marker. Readers see committed batches alone, so a batch that
-broke off leaves no trace, and one that is sent again changes nothing. Totals are sums of the small delta tables.
+broke off leaves no trace, and one that is sent again changes nothing. Totals are sums of the small delta tables. Compaction folds all
+committed batches into one base, so that a commit reads what is counted now and not the whole history.
 """
 
 from __future__ import annotations
@@ -46,15 +47,33 @@ class Rollup:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm.org.apache.hadoop.fs.Path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[int]:
-        """The numbers of the committed batches, in order."""
+    def _marked(self, kind: str) -> list[int]:
         path, fs = self._files()
-        top = path(f"{self.root}/commits")
+        top = path(f"{self.root}/{kind}")
         return sorted(int(x.getPath().getName()) for x in fs.listStatus(top)) if fs.exists(top) else []
 
+    def committed(self) -> list[int]:
+        """The numbers of the committed batches, in order."""
+        return self._marked("commits")
+
     def _read(self, kind: str) -> DataFrame | None:
-        parts = [self.spark.read.parquet(self._path(kind, b)) for b in self.committed()]
-        return union_all(parts) if parts else None
+        """The latest base, if there is one, and the committed batches after it, in one scan."""
+        base = max(self._marked("bases"), default=-1)
+        paths = [self._path(kind, b) for b in self.committed() if b > base]
+        paths += [self._path(f"base-{kind}", base)] if base >= 0 else []
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def compact(self) -> bool:
+        """Folds the committed batches into a base; what readers see stays the same. False if there is nothing new to fold."""
+        done = self.committed()
+        if not done or done[-1] in self._marked("bases"):
+            return False
+        last = F.lit(done[-1]).cast("long").alias("batch")
+        self.ledger().select(*_KEY, "source", "lang", "n_tokens", last).write.mode("overwrite").parquet(self._path("base-ledger", done[-1]))
+        self._sums().write.mode("overwrite").parquet(self._path("base-deltas", done[-1]))
+        path, fs = self._files()
+        fs.mkdirs(path(self._path("bases", done[-1])))
+        return True
 
     def ledger(self) -> DataFrame | None:
         """What each (doc_id, version) counts after the last committed batch; None before the first."""
@@ -97,10 +116,13 @@ class Rollup:
         fs.mkdirs(path(self._path("commits", batch)))
         return True
 
+    def _sums(self) -> DataFrame | None:
+        rows = self._read("deltas")
+        return None if rows is None else rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) of all committed batches, without groups that hold no document."""
-        rows = self._read("deltas")
-        if rows is None:
+        sums = self._sums()
+        if sums is None:
             return self.spark.createDataFrame([], "source string, lang string, version string, n_docs long, n_tokens long")
-        sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0")

@@ -170,3 +170,42 @@ def test_broken_batch_leaves_no_trace(spark):
     row.write.parquet(rollup._path("ledger", 2))  # a batch that never reached its commit
     assert rollup.ledger().count() == 1 and rollup.commit(2, row.withColumn("n_tokens", F.lit(9).cast("long")))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 9)]
+
+
+def test_very_long_texts(spark, library):
+    """White-space runs beyond what the fast encoder takes, alone and between words."""
+    words = " ".join(f"word{k}" for k in range(300_000))
+    texts = [" " * 5_000_000, " " * 2_000_000 + "x", words + "\n" * 1_200_000 + words + "<|endoftext|>", "日" * 500_000, "!?" * 300_000]
+    for t in texts:
+        assert vocabulary.encode(t).tolist() == library.encode_batch_fast([t], add_special_tokens=False)[0].ids
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts[1:3])], "doc_id long, text string, lang string, source string")
+    want = {k: len(vocabulary.encode(t)) for k, t in enumerate(texts[1:3])}
+    rows = packing.pack(docs).collect()
+    assert {k: sum(r.length for r in rows if r.doc_id == k) for k in want} == {k: n + 1 for k, n in want.items()}
+    assert {r.doc_id: r.n_tokens for r in token_rollup.count_tokens(docs).collect()} == want
+
+
+def test_rollup_query_against_counts(spark, small):
+    from skeinwork.llm import queries
+
+    want = defaultdict(lambda: [0, 0])
+    for r in table(spark, small, "documents").collect():
+        n = len(vocabulary.encode(r.text)) + 1
+        if n >= 16:
+            want[r.source, r.lang, "byte_bpe_50k"][0] += 1
+            want[r.source, r.lang, "byte_bpe_50k"][1] += n
+    got = {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens] for r in queries.op10_token_rollup(spark, small).collect()}
+    assert got == dict(want)
+
+
+def test_compaction_changes_nothing(spark):
+    kinds = "op string, doc_id long, source string, lang string, version string, n_tokens long"
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-compact")
+    assert not rollup.compact()
+    rollup.commit(1, spark.createDataFrame([("insert", k, "a", "en", "v", k) for k in range(10)], kinds))
+    rollup.commit(2, spark.createDataFrame([("delete", 3, None, None, "v", None), ("revise", 4, "b", "en", "v", 7)], kinds))
+    before = sorted(map(tuple, rollup.totals().collect()))
+    assert rollup.compact() and not rollup.compact() and sorted(map(tuple, rollup.totals().collect())) == before == [("a", "en", "v", 8, 38), ("b", "en", "v", 1, 7)]
+    assert not rollup.commit(2, spark.createDataFrame([("insert", 99, "a", "en", "v", 1)], kinds))
+    rollup.commit(3, spark.createDataFrame([("insert", 3, "a", "en", "v", 5), ("delete", 4, None, None, "v", None)], kinds))
+    assert sorted(map(tuple, rollup.totals().collect())) == [("a", "en", "v", 9, 43)] and rollup.ledger().count() == 9
