@@ -1,14 +1,14 @@
 """URL filters: rules on hosts and paths, and pattern rules that are looked up by their rarest literal token.
 
 A pattern that must contain a whole URL token (a run of letters and digits with a boundary on both sides) is indexed by that of its tokens
-which the fewest URLs hold. The tokens of a URL fetch the rules indexed by them, and only those run their regular
-expression. Patterns without such a token run on every URL.
+which the fewest URLs hold; a pattern of alternatives is indexed by one token for each. The tokens of a URL fetch the rules indexed by them,
+and only those run their regular expression. Patterns without such a token run on every URL. The rules are few and given, so the index is a
+literal map in the plan: URLs are judged row by row, and only the count of the rules' own tokens is aggregated.
 """
 
 from __future__ import annotations
 
-from re import _constants as C
-from re import _parser
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,31 +39,42 @@ PATTERN_RULES = (
 _TOKEN_BREAK = "[^a-z0-9]+"
 
 
-def _is_edge(item: tuple) -> bool:
-    """Whether what the regular expression's item begins and ends with is never a letter or digit."""
-    kind, value = item
-    if kind is C.AT:
-        return value is not C.AT_NON_BOUNDARY
-    if kind is C.LITERAL:
-        return not chr(value).isalnum()
-    if kind is C.IN:
-        return all(k is C.LITERAL and not chr(v).isalnum() for k, v in value)
-    if kind is C.SUBPATTERN:
-        return len(value[-1]) == 1 and _is_edge(value[-1][0])
-    if kind is C.BRANCH:
-        return all(len(x) == 1 and _is_edge(x[0]) for x in value[1])
-    return False
+#: A group of plain alternatives, and a plain letter that may be missing.
+_CHOICE, _MAYBE = re.compile(r"\(([a-z0-9?]+(?:\|[a-z0-9?]+)+)\)"), re.compile(r"([a-z0-9])\?")
+#: What a pattern is made of: an escape, a set, a group without groups in it, or one character; each with its repetition.
+_ITEM = re.compile(r"(\\.|\[(?:\\.|[^\]\\])*\]|\((?:\\.|[^()\\])*\)|[^\\])([*+?]|\{[\d,]*\})?")
+
+
+def alternatives(pattern: str) -> list[str]:
+    """Patterns without choices among plain letters that together match what the pattern does."""
+    for regex, options in ((_CHOICE, lambda m: m[1].split("|")), (_MAYBE, lambda m: ["", m[1]])):
+        for found in regex.finditer(pattern):
+            if pattern[: found.start()].endswith(("\\", "(")) or "[" in pattern[: found.start()].rsplit("]", 1)[-1]:
+                continue
+            return [p for option in options(found) for p in alternatives(pattern[: found.start()] + option + pattern[found.end() :])]
+    return [pattern]
+
+
+def _is_edge(item: str) -> bool:
+    """Whether what an item matches is never a letter or digit, or is a place."""
+    if item.startswith("(") and item.endswith(")"):
+        return all(len(x) <= 2 and _is_edge(x) for x in item[1:-1].split("|"))
+    if item.startswith("["):
+        return not item.startswith("[^") and not any(c.isalnum() for c in item[1:-1])
+    return item in ("^", "$", "\\b") if item in ("^", "$", ".") or item.startswith("\\") and item[1:].isalnum() else bool(item) and not item[-1].isalnum()
 
 
 def literal_tokens(pattern: str) -> set[str]:
-    """Lower-case tokens that any URL matching the pattern holds whole."""
+    """Lower-case tokens that any URL matching the pattern, which has no alternatives outside of groups, holds whole."""
+    if "|" in re.sub(r"\\.|\[[^\]]*\]|\((?:\\.|[^()\\])*\)", "", pattern):
+        return set()
     found, run, open_ = set(), "", True  # a token may have begun before the pattern
-    for item in [*_parser.parse(pattern), (C.AT, None)]:
-        if item[0] is C.LITERAL and chr(item[1]).isalnum() and chr(item[1]).isascii():
-            run += chr(item[1]).lower()
+    for item, often in [*_ITEM.findall(pattern), ("", "")]:
+        if len(item) == 1 and item.isalnum() and item.isascii() and not often:
+            run += item.lower()
             continue
         # the last item only marks the end, where a token may go on
-        edge = item[1] is not None and _is_edge(item)
+        edge = bool(item) and not often and _is_edge(item)
         if run and edge and not open_:
             found.add(run)
         run, open_ = "", not edge
@@ -84,16 +95,31 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _indexed(urls: DataFrame, patterns) -> tuple[list[tuple], list[tuple]]:
-    """Rules with the token each is indexed by, and those without one. Only the rules' own tokens are counted and collected."""
-    tokens = {name: literal_tokens(p) for name, p in patterns}
-    asked = sorted(set().union(*tokens.values())) if tokens else []
+def _indexed(urls: DataFrame, patterns) -> tuple[dict[str, list[tuple[str, str]]], list[tuple[str, str]]]:
+    """Token -> rules (name, regular expression) that are indexed by it, and the rules without one. Only the rules' own tokens are counted and collected."""
+    each = [(name, p, literal_tokens(p)) for name, whole in patterns for p in alternatives(whole)]
+    asked = sorted(set().union(*[t for _, _, t in each])) if each else []
     seen = {}
     if asked:
-        each = urls.select(F.explode(url_tokens(F.col("url"))).alias("token")).filter(F.col("token").isin(asked))
-        seen = {r["token"]: r["count"] for r in each.groupBy("token").count().collect()}
-    index = [(min(tokens[n], key=lambda t: (seen.get(t, 0), t)), n, p) for n, p in patterns if tokens[n]]
-    return index, [(n, p) for n, p in patterns if not tokens[n]]
+        held = urls.select(F.explode(url_tokens(F.col("url"))).alias("token")).filter(F.col("token").isin(asked))
+        seen = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
+    index: dict[str, list[tuple[str, str]]] = {}
+    for name, pattern, tokens in each:
+        if tokens:
+            index.setdefault(min(tokens, key=lambda t: (seen.get(t, 0), t)), []).append((name, pattern))
+    return index, [(name, pattern) for name, pattern, tokens in each if not tokens]
+
+
+def _matched(url: Column, index: dict[str, list[tuple[str, str]]], unindexed: list[tuple[str, str]]) -> Column:
+    """The first name of the rules that match the URL; null if none does."""
+    hits = [F.array(F.when(url.rlike(pattern), F.lit(name))) for name, pattern in unindexed]
+    if index:
+        rule = lambda name, pattern: F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("regex"))
+        table = F.create_map(*[x for token, rules in index.items() for x in (F.lit(token), F.array(*[rule(*r) for r in rules]))])
+        tokens = F.filter(url_tokens(url), lambda t: t.isin(list(index)))
+        fetched = F.flatten(F.transform(tokens, lambda t: table[t]))
+        hits.append(F.transform(F.filter(fetched, lambda r: F.rlike(url, r["regex"])), lambda r: r["name"]))
+    return F.array_min(F.array_compact(F.concat(*hits))) if hits else F.lit(None).cast("string")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules=HOST_RULES, patterns=PATTERN_RULES) -> DataFrame:
@@ -113,19 +139,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_
     rows = rows.withColumns({"rule": rule, "said": verdict})
 
     index, unindexed = _indexed(rows, patterns)
-    open_ = rows.filter(F.col("rule").isNull() & F.col("url").isNotNull()).select("url")
-    spark = pages.sparkSession
-    # the index holds the given rules, so its size does not depend on the data
-    table = F.broadcast(spark.createDataFrame(index, "token string, name string, regex string"))
-    fetched = open_.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(table, "token")
-    hits = fetched.filter(F.expr("url rlike regex")).select("url", "name")
-    for name, pattern in unindexed:
-        hits = hits.union(open_.filter(F.col("url").rlike(pattern)).select("url", F.lit(name)))
-    hits = hits.groupBy("url").agg(F.min("name").alias("pattern")).withColumnRenamed("url", "hit")
-    # Rows that are decided already, or have no URL, stay out of the join: their keys would all be null.
-    in_question = F.col("rule").isNull() & F.col("url").isNotNull()
-    out = rows.filter(in_question).join(hits, F.col("url") == F.col("hit"), "left").drop("hit")
-    out = out.unionByName(rows.filter(~in_question).withColumn("pattern", F.lit(None).cast("string")))
+    # Rows that are decided already, or have no URL, run no pattern.
+    out = rows.withColumn("pattern", F.when(F.col("rule").isNull() & F.col("url").isNotNull(), _matched(F.col("url"), index, unindexed)))
     said = F.coalesce("said", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", said.alias("verdict"), "pattern")
 

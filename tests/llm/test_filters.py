@@ -188,3 +188,15 @@ def test_top_k_odd_rows(spark):
         for q in range(0, 300, 30):
             want = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:4]
             assert sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q) == [(k + 1, c, -s) for k, (s, c) in enumerate(want)]
+
+
+def test_patterns_of_alternatives():
+    a, t = url_rules.alternatives, url_rules.literal_tokens
+    media = dict(url_rules.PATTERN_RULES)["media"]
+    assert sorted(next(iter(t(p))) for p in a(media)) == ["gif", "jpeg", "jpg", "mp4", "png", "webp"]
+    assert a(r"/login(/|\?|#|$)") == [r"/login(/|\?|#|$)"] and a(r"[ab?]x") == [r"[ab?]x"] and t(r"/a|/b/") == set() and t(r"\d/ab/") == {"ab"}
+    urls = ["http://h/x.jpg", "http://h/x.jpeg?q", "http://h/x.jpgg", "http://h/x.MP4", "http://h/x.mp4#", "http://h/png"]
+    for u in urls:
+        assert bool(re.search(media, u)) == any(re.search(p, u) for p in a(media))
+    for name, pattern in url_rules.PATTERN_RULES:  # every rule of the list is indexed, save those that end inside a token
+        assert name in ("session", "session-php", "print-view") or all(t(p) for p in a(pattern))
