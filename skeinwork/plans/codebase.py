@@ -730,6 +730,70 @@ def undefined_tables(spark, sf):
     return linkage.missing(g.uses.select("table_name"), g.tables.filter("schema is not null").select(F.col("name").alias("table_name")), ["table_name"])
 
 
+# Source trees: files written to the shared folder, scanned and ingested
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _tree(spark: SparkSession, sf: str) -> str:
+    """A source tree with a few files for each of the 25 nations."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    for row in table(spark, sf, "nation").select("n_nationkey").collect():
+        k = str(row["n_nationkey"])
+        fill = lambda text, k=k: text.replace("@k@", k).replace("@size@", k)
+        for name, text in ((f"src/n{k}/Part{k}Service.java", SERVICE), (f"src/n{k}/Part{k}Mapper.java", MAPPER), (f"src/n{k}/Part{k}Mapper.xml", MAPPER_XML), (f"src/n{k}/application-p{k}.properties", PROPERTIES), (f"ddl/prod_{k}.sql", DDL)):
+            _put(spark, f"{folder}/{name}", fill(text))
+    for name in ("ddl/below/x.sql", "src/other.yml", "src/plain.xml", "src/.hidden/x.java"):
+        _put(spark, f"{folder}/{name}", "CREATE TABLE x (a INT);")
+    return folder
+
+
+@query("""SELECT 'java' AS kind, 2 * count(*) AS n FROM nation UNION ALL SELECT 'mapper', count(*) FROM nation UNION ALL SELECT 'ddl', count(*) FROM nation UNION ALL SELECT 'config', count(*) FROM nation UNION ALL SELECT 'all', 5 * count(*) + 3 FROM nation""")
+def scanned_files(spark, sf):
+    """How many files each scan of a source tree finds."""
+    folder = _tree(spark, sf)
+    scans = {"java": files.java_files(spark, f"{folder}/src").filter("file_path not like '%/.hidden/%'"), "mapper": files.mapper_files(spark, f"{folder}/src"), "ddl": files.ddl_files(spark, f"{folder}/ddl"), "config": files.config_files(spark, f"{folder}/src")}
+    return summary.run_counts(scans).withColumnRenamed("label", "kind").union(files.file_count(spark, folder).select(F.lit("all"), "total_files"))
+
+
+def _ingested(spark, sf):
+    folder = _tree(spark, sf)
+    return project.ingest(spark, f"{folder}/src", "shop", ddl_folder=f"{folder}/ddl")
+
+
+@query("""SELECT x[1] AS label, CAST(x[2] AS BIGINT) * (SELECT count(*) FROM nation) AS n FROM (SELECT unnest([['class', '3'], ['method', '8'], ['field', '4'], ['calls', '5'], ['bean', '2'], ['depends_on', '1'], ['sql_statement', '7'], ['sql_link', '4'], ['result_map', '2'],
+['db_table', '2'], ['db_column', '5'], ['db_index', '2'], ['db_constraint', '2'], ['config_file', '1'], ['jpa_entity', '0'], ['endpoint', '0'], ['test_class', '0']]) AS x)""")
+def ingested_counts(spark, sf):
+    """A whole tree, from files to tables."""
+    t = _ingested(spark, sf)
+    return summary.run_counts({name: t[name] for name in "class method field calls bean depends_on sql_statement sql_link result_map db_table db_column db_index db_constraint config_file jpa_entity endpoint test_class".split()})
+
+
+@query("""SELECT concat('Part', n_nationkey, 'Mapper') AS mapper_name, replace(x[1], '@', CAST(n_nationkey AS VARCHAR)) AS id, x[2] AS sql_type, replace(x[3], '@', CAST(n_nationkey AS VARCHAR)) AS sql_content FROM nation,
+(SELECT unnest([['find@', 'SELECT', 'SELECT id, name FROM t@ p WHERE p.size = #{x}'], ['dropAll', 'DELETE', ''], ['saveRow', 'INSERT', ''], ['recount', 'SELECT', ''], ['add', 'INSERT', 'INSERT INTO t@ (id, name) VALUES (#{id}, ?)'],
+['put', 'UPDATE', 'UPDATE t@ SET name = #{n}, size = 1 WHERE id = #{i}'], ['drop', 'DELETE', 'DELETE FROM t@ WHERE id = 1 AND size = 2']]) AS x)""")
+def merged_statements(spark, sf):
+    """Statements of mapper interfaces and of mapper files together; a file's statement counts over an annotation's."""
+    return _ingested(spark, sf)["sql_statement"].select("mapper_name", "id", "sql_type", "sql_content")
+
+
+@query("""SELECT n_nationkey, n_name AS by_class_rule, n_name AS by_own_rule FROM nation""")
+def loaded_rules(spark, sf):
+    """Rules read from files, a project's own over the general ones, and applied to texts."""
+    folder = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    _put(spark, f"{folder}/base_rule.md", "# Rules\n## Class\nuse `Name: {logical_name};`\n## Method\nuse `Do {logical_name} now`\n")
+    _put(spark, f"{folder}/shop_logical_name_rules.md", "## Method\nuse `Fn = {local_name} !`\n")
+    found = {title: regex.replace("(?P<logical_name>", "(") for title, regex in rules.load(spark, folder, "shop").items()}
+    text = F.concat(F.lit("x Name:  "), "n_name", F.lit("; y Fn =\n"), "n_name", F.lit("\t! Do it now"))
+    return table(spark, sf, "nation").select("n_nationkey", F.regexp_extract(text, found["Class"], 1).alias("by_class_rule"), F.regexp_extract(text, found["Method"], 1).alias("by_own_rule"))
+
+
 # Ordered sequences, level by level
 
 
