@@ -40,6 +40,8 @@ _NAME = re.compile(r"[a-z]+")
 #: A whole tag. Quotes count after an equals sign only; nothing is given back, so a match takes one pass.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+#: An unquoted value that ends in a slash, which then closes nothing.
+_VALUE_AT_END = re.compile(r"""=\s*[^\s"'=]+/$""")
 #: Elements whose content is text up to their end tag.
 _RAW = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "xmp", "noframes", "noembed")}
 _BUTTONS = {tag: re.compile(f"<(/?){tag}\\b", re.I) for tag in ("button", "select")}
@@ -105,7 +107,7 @@ class _Blocks:
             self.handle_endtag(tag)
             return
         self.handle_starttag(tag, rest)
-        if rest.endswith("/") and tag not in _VOID:
+        if rest.endswith("/") and tag not in _VOID and not _VALUE_AT_END.search(rest):
             self.handle_endtag(tag)
         elif tag in _RAW:
             close = _RAW[tag].search(self.html, self.at)

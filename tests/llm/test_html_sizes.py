@@ -26,6 +26,7 @@ def test_odd_markup():
     assert _texts("x < y <p title='a>b'>z</p>") == ["x < y", "z"] and _texts("<!-- c --><!--> b<?php x ?>c") == ["bc"]
     assert _texts('<a b="x>t</a> y') == ["t y"] and _texts("<div/>x<br/>y<script>a<b</script>c") == ["x yc"]
     assert _texts("<P>A &lt;b&gt; <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> c</P>") == ["A <b> x=2 c"]
+    assert [b[1:] for b in html_blocks.blocks_of("<a href=/x/>t</a> y")] == [("t y", 1)] and [b[2] for b in html_blocks.blocks_of("<a name='q'/>t")] == [0]
     assert _texts("<noscript>turn it on</noscript><video>no video</video>") == ["turn it on", "no video"]
 
 
