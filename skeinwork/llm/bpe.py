@@ -23,7 +23,8 @@ from . import vocabulary
 
 _NONE = np.int64(1) << np.int64(62)
 _CELLS = 1 << 20
-_REMEMBERED = 600_000
+#: Bounds of the memory of encoded pieces: how many, and their letters and ids in bytes.
+_REMEMBERED, _REMEMBERED_BYTES = 600_000, 128 << 20
 _AT_ONCE = 200_000
 _LONG = 2_000_000
 
@@ -45,6 +46,7 @@ class Encoder:
         self.pattern = regex.compile(vocabulary.PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -158,9 +160,12 @@ class Encoder:
     def _ready(self, pieces: list[str]) -> dict[str, bytes]:
         """The memory, with all these pieces in it; it forgets everything when it would grow too large."""
         if new := {p for p in pieces if p not in self.known}:
-            if len(self.known) + len(new) > _REMEMBERED:
+            size = 5 * sum(map(len, new))
+            if len(self.known) + len(new) > _REMEMBERED or self.held + size > _REMEMBERED_BYTES:
                 self.known.clear()
-                new = set(pieces)
+                new, self.held = set(pieces), 0
+                size = 5 * sum(map(len, new))
+            self.held += size
             self._learn(new)
         return self.known
 

@@ -170,15 +170,17 @@ def pack(
     end_id: int = 2,
     path: str = vocabulary.DEFAULT_PATH,
     salt_rows: int = 4096,
+    max_salts: int = 1 << 16,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per token piece of every row of docs.
 
     Null and empty texts are the end id alone. A null id is kept as null. Repeated rows are packed each for itself. Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Salts hold salt_rows pieces each, more once there would be over max_salts: the running
+    sums over salts of one length are made in one task.
     """
     spark = docs.sparkSession
     pieces = materialize(cut(docs, id_col, text_col, capacity, end_id, path))
-    salted = pieces.withColumn("salt", F.col("tag") % max(1, -(-pieces.count() // salt_rows)))
+    salted = pieces.withColumn("salt", F.col("tag") % max(1, min(max_salts, -(-pieces.count() // salt_rows))))
     groups = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     rows = plan(counts, capacity) or [(0, 0, 0, 1, 0, 0)]
