@@ -23,7 +23,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected links (src, dst): one row (node, component) per linked node.
 
     Each round every node chooses itself or the neighbour that comes first in a random order drawn for that round, and the
@@ -33,9 +33,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     edges = materialize(both.filter("src <> dst").distinct())
     hops: list[DataFrame] = []
-    for k in range(max_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
+        k = len(hops)
         rank = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("r"), F.col(c).alias("id"))
         parent = edges.groupBy("src").agg(F.min(rank("dst")).alias("low")).select(F.col("src").alias("node"), F.least("low", rank("src"))["id"].alias("to"))
         parent = materialize(parent)
@@ -43,8 +42,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = edges.join(parent, edges.src == parent.node).select(F.col("to").alias("src"), "dst")
         moved = moved.join(parent, moved.dst == parent.node).select("src", F.col("to").alias("dst"))
         edges = materialize(moved.filter("src <> dst").distinct())
-    else:
-        raise RuntimeError("the components did not settle")
     if not hops:
         return links.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     out = hops[0].select("node", F.col("to").alias("component"))
@@ -55,5 +52,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out.join(low, "component").select("node", F.col("low").alias("component"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made longer until df has no column of it in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, unused, words_of
 
 _LINE = ["h1", "h2"]
 
@@ -60,10 +60,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = keyed.join(twice, ["side", "half"], "left_semi").groupBy(*_LINE)
     near = near.agg(F.max(F.col("side") == "front").alias("front"), F.max(F.col("side") == "back").alias("back"))
     near = materialize(first.select(*_LINE, "n", "at").join(near, _LINE))
-    source = docs.select(F.col(id_col), F.col(text_col))
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     wanted = near.select(F.col("at.id").alias("id")).distinct()
-    held = source.join(wanted.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("id")), "left_semi")
-    texts = _lines(held, id_col, text_col).filter(F.size("words") >= near_words).withColumns(dict(zip(_LINE, _hashes(F.col("words")))))
+    held = source.join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("id")), "left_semi")
+    texts = _lines(held, "doc", "text").filter(F.size("words") >= near_words).withColumns(dict(zip(_LINE, _hashes(F.col("words")))))
     where = near.select(*_LINE, "at", "n", "front", "back")
     mine = (texts.h1 == where.h1) & (texts.h2 == where.h2) & F.col("at").eqNullSafe(F.struct("id", "th", "line"))
     texts = texts.join(where, mine).select(texts.h1, texts.h2, "n", "at", "front", "back", "words").dropDuplicates(_LINE)
@@ -124,14 +124,15 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **l
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """docs with the repeated lines taken out of its texts; all rows and columns stay. A null text stays null."""
     gone = repeated_lines(docs, id_col, text_col, **limits).groupBy("id", "th").agg(F.collect_list("line").alias("gone"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    at, th, lost = (unused(docs, name) for name in ("at", "th", "gone"))
+    gone = gone.select(F.col("id").alias(at), F.col("th").alias(th), F.col("gone").alias(lost))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
+    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(at)) & (F.xxhash64(text) == F.col(th)), "left")
     split = F.split(text, "\n", -1)
 
     def rest(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
         return F.array_join(F.transform(left, lambda k: lines[k]), "\n")
 
     cut = F.transform(F.array(split), rest)[0]
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    return out.withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
