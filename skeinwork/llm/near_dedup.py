@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, unused
 
 SHINGLE_WORDS = 5
 _MASK = (1 << 64) - 1
@@ -231,7 +231,11 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of docs of which near_duplicates() keeps the id: one row of every group, with all its columns.
 
-    Of rows that repeat an id one stays. Rows with a null id cannot be named and all stay.
+    Of rows that repeat an id one stays, of unlike texts that with the least hash, wherever the rows lie. Rows with a null id cannot be named and all stay.
     """
     kept = near_duplicates(docs, id_col, text_col, **limits).filter("kept").select(id_col).distinct()
-    return docs.join(kept.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    at = unused(docs, "hash")
+    hashed = docs.withColumn(at, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    first = hashed.select(id_col, at).join(kept, id_col, "left_semi").groupBy(id_col).agg(F.min(at).alias(at))
+    rows = hashed.join(first.hint("shuffle_hash"), [id_col, at], "left_semi").dropDuplicates([id_col, at])
+    return rows.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

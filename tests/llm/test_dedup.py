@@ -156,3 +156,29 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.summary(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         line_dedup.repeated_lines(df, near_words=1)
+
+
+def test_recall_of_the_registered_setting(spark):
+    """16 trees, as the query has: 3,000 pairs just over the threshold, and as many just under it that must stay apart."""
+    rows, truth = [], 0
+    for k in range(3000):
+        words = [f"w{k}x{j}" for j in range(104)]  # 100 shingles, of which a changed word costs five
+        other = list(words)
+        for at in (7, 9) if k % 2 else (7, 27):
+            other[at] = f"v{k}x{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        truth += k % 2  # 93 of 107 shingles are 0.869; 90 of 110 are 0.818
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    linked = {r.doc_id for r in got if not r.kept}
+    assert all(d % 4 == 3 for d in linked) and len(linked) >= truth - 1
+
+
+def test_rows_that_repeat_an_id_are_chosen_alike(spark):
+    rows = [(1, f"text number {k} with words of its own {k}", k) for k in range(20)] + [(2, "other words here and there", 5)] * 2
+    picked = set()
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(parts, "n")
+        out = near_dedup.keep_first(df).collect()
+        assert sorted(r.doc_id for r in out) == [1, 2]
+        picked |= {r.text for r in out if r.doc_id == 1}
+    assert len(picked) == 1
