@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, unused, words_of
 
 
 def _repeat_words(words: Column) -> Column:
@@ -45,24 +45,57 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _by_words(text: Column) -> Column:
+    return _let(words_of(text), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        _repeat_words(w).cast("long").alias("n_repeat_words"),
+    ))
+
+
+def _by_lines(text: Column) -> Column:
+    return _let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\x09-\\x0D]")), lambda x: F.struct(
+        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")
+    ))
+
+
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")
+
+
 def counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(id, th, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), one row per row of docs; th is the text's hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(host_col).cast("string").alias("host"),
-        _let(words_of(text), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeat_words(w).cast("long").alias("n_repeat_words"),
-        )).alias("w"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\x09-\\x0D]")), lambda x: F.struct(
-            F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")
-        )).alias("x"),
-    )
+    own = [F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(host_col).cast("string").alias("host")]
+    split = docs.select(*own, _by_words(text).alias("w"), _symbols(text).alias("n_symbols"), _by_lines(text).alias("x"))
     return split.select("id", "th", "host", "w.n_words", "w.word_chars", "n_symbols", "x.n_lines", "x.n_dup_lines", "w.n_repeat_words")
 
 
+def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (n_repeat_words * 100 > n_words * 50)
+
+
+def _failed(w: Column, n_symbols: Column, x: Column, max_symbol_percent: int, max_dup_line_percent: int) -> Column:
+    """Whether a document fails a rule, by its counts of words (w), symbols and lines (x)."""
+    symbols = n_symbols * 100 > w["word_chars"] * max_symbol_percent
+    return _base_failed(w["n_words"], w["n_repeat_words"]) | symbols | (x["n_dup_lines"] * 100 > x["n_lines"] * max_dup_line_percent)
+
+
+def _by_host(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("bad"))
+
+
+def _rates(hosts: DataFrame) -> DataFrame:
+    """(host, host_rate) of hosts (host, n, bad): the share of failing documents, shrunk towards that of all hosts."""
+    rate = F.col("bad") / F.col("n")
+    # Moments over hosts: mean m and variance v of the rates give a + b = m (1 - m) / v - 1; at least one document's weight.
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
+    weight = F.coalesce(F.greatest(F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1, F.lit(1.0)), F.lit(1.0e6))
+    # one row of two numbers, so the join needs no shuffle
+    prior = F.broadcast(prior.select("m", weight.alias("weight")))
+    return hosts.crossJoin(prior).select("host", ((F.col("bad") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("host_rate"))
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -81,33 +114,40 @@ def judge(
     the three named are ignored; an empty table gives no rows.
     """
     rows = materialize(counts(docs, id_col, text_col, host_col))
-    base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    symbols = F.col("n_symbols") * 100 > F.col("word_chars") * max_symbol_percent
-    lines = F.col("n_dup_lines") * 100 > F.col("n_lines") * max_dup_line_percent
-    rows = rows.withColumns({"base_failed": base, "failed": base | symbols | lines})
+    words, lines = F.struct("n_words", "word_chars", "n_repeat_words"), F.struct("n_lines", "n_dup_lines")
+    failed = _failed(words, F.col("n_symbols"), lines, max_symbol_percent, max_dup_line_percent)
+    rows = rows.withColumns({"base_failed": _base_failed(F.col("n_words"), F.col("n_repeat_words")), "failed": failed})
 
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("bad"))
-    rate = F.col("bad") / F.col("n")
-    # Moments over hosts: mean m and variance v of the rates give a + b = m (1 - m) / v - 1; at least one document's weight.
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    weight = F.coalesce(F.greatest(F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1, F.lit(1.0)), F.lit(1.0e6))
-    prior = prior.select("m", weight.alias("weight"))
-    # one row of two numbers, so the join needs no shuffle
-    shrunk = hosts.crossJoin(F.broadcast(prior)).select(
-        F.coalesce("host", F.lit("")).alias("at"), F.col("host").isNull().alias("none"),
-        ((F.col("bad") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("host_rate"),
-    )
+    shrunk = _rates(_by_host(rows)).select(F.coalesce("host", F.lit("")).alias("at"), F.col("host").isNull().alias("none"), "host_rate")
     same = (F.coalesce(rows.host, F.lit("")) == shrunk["at"]) & (rows.host.isNull() == shrunk["none"])
     out = rows.join(shrunk, same)
     kept = ~F.col("failed") & (F.col("host_rate") <= max_host_rate)
     return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    good = judge(docs, id_col, text_col, host_col, **limits).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__th"))
-    return docs.join(good.hint("shuffle_hash"), same, "left_semi")
+def keep(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_symbol_percent: int = 5,
+    max_dup_line_percent: int = 50,
+    max_host_rate: float = 0.6,
+) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns.
+
+    The rows are written once with whether they fail, which is then counted by host from that column alone; only the hosts that are over
+    the rate are joined to the rows, so that no text is shuffled where those hosts are few, and none is judged twice.
+    """
+    text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")
+    limits = (max_symbol_percent, max_dup_line_percent)
+    failed = _let(F.struct(_by_words(text).alias("w"), _symbols(text).alias("n"), _by_lines(text).alias("x")), lambda m: _failed(m["w"], m["n"], m["x"], *limits))
+    mark, at = unused(docs, "failed"), unused(docs, "host")
+    rows = materialize(docs.withColumn(mark, failed))
+    # A written table, whose size the optimizer knows: it is broadcast if that is small.
+    hosts = _by_host(rows.select(host.alias("host"), F.col(mark).alias("failed")))
+    bad = materialize(_rates(hosts).filter(F.col("host_rate") > max_host_rate).select(F.col("host").alias(at)))
+    return rows.filter(~F.col(mark)).join(bad, host.eqNullSafe(F.col(at)), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
