@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, html_blocks, line_dedup, packing, quality, secret_scan, token_rollup, topk, url_rules
+from . import bpe, fim, html_blocks, line_dedup, packing, quality, resample, secret_scan, token_rollup, topk, url_rules, vector_dedup
 from .common import materialize, shared_dir, table
 from .near_dedup import near_duplicates
 
@@ -67,6 +67,18 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.95)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,7 +92,10 @@ QUERIES = {
         op8_line_dedup,
         op9_secret_scan,
         op10_token_rollup,
+        op11_embedding_near_dedup,
+        op12_importance_resampling,
+        op13_fill_in_middle,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_quality_rules": quality.ORACLE}
+ORACLE: dict[str, str] = {"op4_url_rules": url_rules.ORACLE, "op6_exact_top_k": topk.ORACLE, "op7_quality_rules": quality.ORACLE, "op11_embedding_near_dedup": vector_dedup.ORACLE, "op12_importance_resampling": resample.ORACLE, "op13_fill_in_middle": fim.ORACLE}
