@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -334,7 +334,7 @@ def sequence_events(spark, sf):
     calls = g.edges.withColumn("call_order", F.lit(1))
     runs = g.links().select("method", "sql_id")
     tops = g.nodes.filter("class_name = 'C3Controller'").select(F.col("node").alias("top"))
-    return traverse.sequence_events(calls, runs, g.uses, tops, 3).drop("stack")
+    return traverse.sequence_events(calls, runs, g.uses, tops, 3, visits="shortest").drop("stack")
 
 
 # The queries above to the operators' own depths: 10 for impact, 5 for call chains.
@@ -369,6 +369,45 @@ def call_chain_summary_full(spark, sf):
     return _call_chain_summary(spark, sf)
 
 
+@query(ORACLE["method_impact"].replace("p.depth < 6 ", "p.depth < 10 "))
+def method_impact_full(spark, sf):
+    g = TestGraph(spark, sf)
+    return impact.method_impact(g.nodes.filter("class_name = 'S3Service'").select(F.col("node").alias("target")), g.edges, g.nodes)
+
+
+@query(_walk("SELECT DISTINCT src AS node FROM edges WHERE src LIKE 'S%'", 10).replace("SELECT node AS start", "SELECT node AS path, node AS start").replace("SELECT p.start", "SELECT concat(p.path, '>', e.dst), p.start").replace("FROM (SELECT DISTINCT src, dst FROM edges)", "FROM (SELECT DISTINCT src, dst FROM edges WHERE src LIKE 'S%' AND dst LIKE 'S%')")
+    + " SELECT path, depth AS length FROM (SELECT DISTINCT path, depth FROM p WHERE start = node AND depth >= 2) ORDER BY length, path LIMIT 10")
+def cycles_full(spark, sf):
+    """The first circles of the call graph to the operator's own depth and limit."""
+    return traverse.cycles(TestGraph(spark, sf).edges)
+
+
+def _walk_in_order(top: str, depth: int) -> str:
+    """sequence_events as a depth-first walk tells them, without recursion: one set of CTEs a level, which decides what its calls open."""
+    parts = ["c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst DESC) AS n FROM edges)"]
+    parts.append(f"o0 AS (SELECT node AS top, node, '' AS sort_path, 0 AS depth FROM nodes WHERE class_name = '{top}'), s0 AS (SELECT * FROM o0 WHERE false)")
+    for d in range(1, depth + 1):
+        parts.append(f"r{d} AS (SELECT top, concat(sort_path, 'a', lpad(CAST(n AS VARCHAR), 6, '0'), ':', dst, '/') AS sort_path, 'call' AS kind, {d} AS depth, src AS source, dst AS target FROM o{d - 1} JOIN c ON node = src)")
+        parts.append(f"f{d} AS (SELECT top, target AS node, min(sort_path) AS sort_path, {d} AS depth FROM r{d} WHERE {d} < {depth} GROUP BY top, target)")
+        parts.append(f"o{d} AS (SELECT * FROM f{d} f WHERE NOT EXISTS (SELECT 1 FROM s{d - 1} s WHERE s.top = f.top AND s.node = f.node AND s.sort_path < f.sort_path))")
+        parts.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM o{d})")
+    calls = " UNION ALL ".join(f"SELECT * FROM r{d}" for d in range(1, depth + 1))
+    return f"""{CTES}, {", ".join(parts)}, opened AS (SELECT top, node, arg_min(sort_path, concat(sort_path, 'b')) AS sort_path, arg_min(depth, concat(sort_path, 'b')) AS depth FROM (SELECT * FROM o0 UNION ALL SELECT * FROM s{depth}) GROUP BY 1, 2),
+calls AS ({calls}), m AS (SELECT DISTINCT concat(class_name, '.', method) AS node, sql_id FROM runs),
+q AS (SELECT top, concat(sort_path, 'b', sql_id, '/') AS sort_path, 'sql' AS kind, depth + 1 AS depth, node AS source, sql_id AS target FROM opened JOIN m USING (node)),
+t AS (SELECT top, concat(sort_path, 'c', table_name) AS sort_path, 'table' AS kind, depth + 1 AS depth, target AS source, table_name AS target FROM q JOIN (SELECT DISTINCT sql_id, table_name FROM uses) u ON u.sql_id = target)
+SELECT * FROM calls UNION ALL SELECT * FROM q UNION ALL SELECT * FROM t"""
+
+
+@query(_walk_in_order("C4Controller", 5))
+def sequence_depth_first(spark, sf):
+    """What a controller's methods do, in the order of their calls: a method is opened again where a later call comes at a lesser depth."""
+    g = TestGraph(spark, sf)
+    calls = g.edges.withColumn("call_order", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dst"))))
+    tops = g.nodes.filter("class_name = 'C4Controller'").select(F.col("node").alias("top"))
+    return traverse.sequence_events(calls, g.links().select("method", "sql_id"), g.uses, tops).drop("stack")
+
+
 # Upserts, deduplication, order
 
 

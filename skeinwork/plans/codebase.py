@@ -817,7 +817,7 @@ def sequence_full(spark, sf):
     """What happens when a controller's methods run, to the operator's own depth of five."""
     g = TestGraph(spark, sf)
     tops = g.nodes.filter("class_name = 'C4Controller'").select(F.col("node").alias("top"))
-    return traverse.sequence_events(g.edges.withColumn("call_order", F.lit(1)), g.links().select("method", "sql_id"), g.uses, tops).drop("stack")
+    return traverse.sequence_events(g.edges.withColumn("call_order", F.lit(1)), g.links().select("method", "sql_id"), g.uses, tops, visits="shortest").drop("stack")
 
 
 ORACLE["sequence_events"] = _sequence_sql("C3Controller", 3)
