@@ -100,15 +100,3 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by an order that must be total for a stable choice."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-
-
-def resolve_calls(calls: DataFrame, scope: DataFrame, imports: DataFrame, own_package: str = "src_package") -> DataFrame:
-    """calls (src_package, src_class, src_method, qualifier, member) with dst_class and dst_package: the qualifier's type by scope
-    (src_class, qualifier, type), else the qualifier; the package by import, else the caller's own. No qualifier: the caller's class."""
-    typed = calls.join(scope, ["src_class", "qualifier"], "left")
-    plain = F.regexp_replace(F.coalesce("type", "qualifier"), "<.*$", "")
-    typed = typed.withColumn("dst_class", F.when(F.col("qualifier").isNull(), F.col("src_class")).when(F.col("qualifier") == "System.out", "PrintStream").otherwise(plain))
-    known = imports.select("src_class", N.simple_name(F.col("imported")).alias("dst_class"), N.package_of(F.col("imported")).alias("from_import"))
-    out = typed.join(known, ["src_class", "dst_class"], "left")
-    package = F.when(F.col("qualifier").isNull(), F.col(own_package)).when(F.col("qualifier") == "System.out", "java.io").otherwise(F.coalesce("from_import", own_package))
-    return out.withColumn("dst_package", package).drop("type", "from_import")

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .. import project
 from ..functions import ddl, sqlmeta
 from ..functions import names as N
-from ..operators import audit, classspec, enrich, jpa, linkage, predicates, stats, summary, traverse, upsert
+from ..operators import audit, calltargets, classspec, enrich, jpa, linkage, predicates, stats, summary, traverse, upsert
 from ..sinks import report
 from ..sources import config, files, java, mapper_xml, rules
-from ..tables import shared_dir, table
+from ..tables import materialize, shared_dir, table
 from .testgraph import CTES, TestGraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,9 @@ def _sources(spark: SparkSession, sf: str, **templates: str) -> DataFrame:
     """(file_path, value): for each part one file of each template; names of files are the templates' names with _ for the part's key."""
     k, size = F.col("p_partkey"), F.col("p_size")
     rows = [F.struct(_filled(f"/src/{name.replace('_', '@k@')}", k=k).alias("file_path"), _filled(text, k=k, size=size).alias("value")) for name, text in templates.items()]
-    return table(spark, sf, "part").select(F.explode(F.array(*rows)).alias("f")).select("f.*")
+    # few keys make many texts: they are dealt to all cores before the texts are made
+    parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
 
 
 def _list(col: str, field: str | None = None) -> Column:
@@ -112,9 +114,13 @@ class Plain@k@ {}
 """
 
 
-def _code(spark, sf, **more: str) -> dict[str, DataFrame]:
+def _parsed(spark, sf, **more: str) -> DataFrame:
     found = _sources(spark, sf, **{"Part_Service.java": SERVICE, "Part_Mapper.java": MAPPER, "Part_Desk.java": DESK, **more})
-    return java.tables_of(java.parsed_classes(found, rules.compile_template("Name: {logical_name} * more")), "shop")
+    return java.parsed_classes(found, rules.compile_template("Name: {logical_name} * more"))
+
+
+def _code(spark, sf, **more: str) -> dict[str, DataFrame]:
+    return java.tables_of(_parsed(spark, sf, **more), "shop")
 
 
 @query("""SELECT concat('Part', p_partkey, 'Service') AS name, concat('com.shop', p_size, '.service') AS package_name, 'class' AS type, 'service' AS sub_type, 'BaseService' AS superclass, 'PartPort,AutoCloseable' AS interfaces,
@@ -147,7 +153,7 @@ def java_fields(spark, sf):
 unnest([concat('com.shop', p_size, '.service'), concat('com.shop', p_size, '.service'), concat('com.shop', p_size, '.mapper'), concat('com.shop', p_size, '.service'), 'java.io']) AS dst_package,
 unnest([concat('Part', p_partkey, 'Desk'), 'Audit', concat('Part', p_partkey, 'Mapper'), concat('Part', p_partkey, 'Service'), 'PrintStream']) AS dst_class, unnest(['open', 'touch', concat('find', p_partkey), 'helper', 'println']) AS dst_method, unnest([1, 2, 3, 1, 1]) AS call_order, unnest([25, 26, 28, 32, 34]) AS line_number FROM part""")
 def java_calls(spark, sf):
-    return _code(spark, sf)["calls"].select("src_class", "src_method", "dst_package", "dst_class", "dst_method", "call_order", "line_number")
+    return calltargets.resolve_calls(materialize(_parsed(spark, sf)), "shop").select("src_class", "src_method", "dst_package", "dst_class", "dst_method", "call_order", "line_number")
 
 
 @query("""SELECT concat('com.shop', p_size, s) AS name FROM (SELECT DISTINCT p_size FROM part), (SELECT unnest(['.service', '.mapper', '.desk']) AS s)""")
@@ -538,7 +544,7 @@ def ddl_indexes(spark, sf):
 
 @query("""SELECT concat('t', p_partkey) AS table_name, unnest([concat('fk_', p_partkey), concat('ck_', p_partkey)]) AS name, unnest(['FOREIGN KEY', 'CHECK']) AS type, unnest(['FOREIGN KEY (id) REFERENCES parent(id)', 'CHECK (price > 0)']) AS definition, unnest(['parent', NULL]) AS ref_table, unnest(['inline', 'alter']) AS source FROM part""")
 def ddl_constraints(spark, sf):
-    return ddl.constraints(_scripts(spark, sf))
+    return ddl.constraints(_scripts(spark, sf)).drop("columns", "ref_columns")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('db', p_size) ELSE concat('prod_', p_partkey) END AS database_name, CASE WHEN p_size % 2 = 0 THEN 'test' ELSE 'prod' END AS environment,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import ddl, sqlmeta
 from .functions import names as N
-from .operators import audit, classspec, crud, impact, jpa, linkage, stats, summary, traverse, upsert
+from .operators import audit, calltargets, classspec, crud, impact, jpa, linkage, stats, summary, traverse, upsert
 from .schema import KEYS
 from .sources import config, files, java, mapper_xml
 from .tables import materialize
@@ -15,7 +15,8 @@ from .tables import materialize
 
 def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | None = None, rule: str | None = None) -> dict[str, DataFrame]:
     """The node and edge tables of a source tree. Every file is parsed once, in tasks, and every statement analysed once; the rest is lazy."""
-    tables = java.tables_of(materialize(java.parsed_classes(files.java_files(spark, source), rule)), project)
+    parsed = materialize(java.parsed_classes(files.java_files(spark, source), rule))
+    tables = java.tables_of(parsed, project) | {"calls": calltargets.resolve_calls(parsed, project)}
     tables["bean"] = linkage.beans_of(tables["class"])
     tables["depends_on"] = linkage.bean_dependencies(tables["bean"], tables["field"], tables["method"])
     tables["endpoint"] = classspec.endpoints(tables["class"], tables["method"])
@@ -39,7 +40,7 @@ def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | Non
         scripts = files.ddl_files(spark, ddl_folder)
         body = ddl.tables(scripts)
         tables["db_table"] = body.select(F.lit(project).alias("project"), "database_name", "schema", F.col("table_name").alias("name"))
-        tables["db_column"], tables["db_index"], tables["db_constraint"] = ddl.columns(body), ddl.indexes(scripts), ddl.constraints(scripts)
+        tables["db_column"], tables["db_index"], tables["db_constraint"] = ddl.columns(body, ddl.changes(scripts)), ddl.indexes(scripts), ddl.constraints(scripts)
     return tables
 
 

@@ -101,14 +101,6 @@ def test_predicates(spark):
     assert [r.name for r in predicates.needs_enrichment(df, limit=1).collect()] == ["k"]
 
 
-def test_resolve_calls(spark):
-    calls = spark.createDataFrame([("p", "A", "m", "repo", "load"), ("p", "A", "m", None, "own"), ("p", "A", "m", "System.out", "println"), ("p", "A", "m", "Util", "x")], "src_package string, src_class string, src_method string, qualifier string, member string")
-    scope = spark.createDataFrame([("A", "repo", "Repo<T>")], "src_class string, qualifier string, type string")
-    imports = spark.createDataFrame([("A", "q.Repo")], "src_class string, imported string")
-    got = {r.member: (r.dst_package, r.dst_class) for r in linkage.resolve_calls(calls, scope, imports).collect()}
-    assert got == {"load": ("q", "Repo"), "own": ("p", "A"), "println": ("java.io", "PrintStream"), "x": ("p", "Util")}
-
-
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([("b|c", 2), ("a", None)], "name string, n int")
     assert report.markdown_table(rows, ["name"]).first().text == "| name | n |\n|---|---|\n| a |  |\n| b\\|c | 2 |"

@@ -1,7 +1,7 @@
 """Parsers and scans on self-written sources."""
 
 from skeinwork.functions import names
-from skeinwork.operators import classspec, linkage
+from skeinwork.operators import calltargets, classspec, linkage
 from skeinwork.sources import config, files, java, mapper_xml, rules
 from skeinwork.streaming import ingest
 
@@ -60,7 +60,8 @@ def test_java_classes(spark):
     assert [f.name for f in c.fields] == ["repo", "a", "b"] and c.fields[1].initial_value == "1"
     methods = {m.name: m for m in c.methods}
     assert methods["find"].return_type == "List<Order>" and methods["find"].logical_name == "Finds one order" and methods["OrderController"].return_type == "constructor"
-    assert [(k.dst_package, k.dst_class, k.dst_method, k.call_order) for k in c.calls if k.src_method == "find"] == [
+    calls = calltargets.resolve_calls(parsed, "shop").orderBy("src_class", "src_method", "call_order").collect()
+    assert [(k.dst_package, k.dst_class, k.dst_method, k.call_order) for k in calls if k.src_method == "find"] == [
         ("shop.repo", "OrderRepository", "load", 1), ("shop.order", "Order", "check", 2), ("shop.order", "OrderController", "helper", 3), ("java.io", "PrintStream", "println", 4),
     ]
     t = java.tables_of(parsed, "shop")
