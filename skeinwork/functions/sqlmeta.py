@@ -100,6 +100,71 @@ def tables(sql: Column, sql_type: Column, strict: bool = False, joined: Column |
     )
 
 
+#: A query in brackets without brackets in it, and other brackets of the kind.
+_INNER = r"(?is)\(\s*((?:SELECT|WITH)\b[^()]*)\)"
+_BRACKETS = r"(?is)\((?!\s*(?:SELECT|WITH)\b)([^()]*)\)"
+#: What can make a statement hold more than one scope.
+_SCOPED = r"(?i)\(\s*SELECT\b|\b(?:UNION|INTERSECT|EXCEPT|MINUS)\b|^\s*WITH\b"
+_SCOPED_CHANGE = r"(?is)\bSELECT\b|\bJOIN\b|\bUSING\b|\bSET\b.*\bFROM\b"
+_SETS = r"(?i)\b(?:UNION(?:\s+ALL|\s+DISTINCT)?|INTERSECT|EXCEPT|MINUS)\b"
+
+
+def scopes(sql: Column, levels: int = 10) -> Column:
+    """The scopes of a statement, the outermost first: each part of a UNION and each query in brackets is one, with \u0001 where a query stood in it.
+
+    Brackets are taken off from the innermost outwards, levels deep; those around no query become \u0002 and \u0003. Strings are emptied, since they may hold brackets and words of SQL.
+    """
+    kind = "struct<text:string,found:array<string>>"
+
+    def peel(acc: Column, _: Column) -> Column:
+        masked = F.regexp_replace(acc["text"], _BRACKETS, "\u0002$1\u0003")
+        return F.struct(F.regexp_replace(masked, _INNER, "\u0001").alias("text"), F.concat(F.regexp_extract_all(masked, F.lit(_INNER), F.lit(1)), acc["found"]).alias("found")).cast(kind)
+
+    start = F.struct(F.regexp_replace(sql, "'(?:[^']|'')*'", "''").alias("text"), F.array().cast("array<string>").alias("found")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, peel, lambda acc: F.flatten(F.transform(F.concat(F.array(acc["text"]), acc["found"]), lambda s: F.split(s, _SETS, -1))))
+
+
+def _scope_tables(scope: Column) -> Column:
+    """Tables that a scope reads: of its FROM, USING and JOINs; brackets right behind FROM or JOIN are opened, others left out."""
+    text = F.regexp_replace(scope, "(?i)\\b(FROM|JOIN|USING)\\s*\u0002([^\u0002\u0003]*)\u0003", "$1 $2")
+    for _ in range(3):
+        text = F.regexp_replace(text, "\u0002[^\u0002\u0003]*\u0003", " ")
+    text = F.regexp_replace(text, r"(?is)^\s*DELETE\s+FROM\b(.*?)\bUSING\b", "DELETE $1 FROM")
+    joined = F.transform(joins(text), lambda j: F.struct(j["name"].alias("name"), j["alias"].alias("alias"), j["schema"].alias("schema")))
+    return F.filter(F.concat(from_tables(text), joined), lambda t: ~t["name"].rlike(r"(?i)^(?:SELECT|LATERAL|UNNEST|VALUES|SET)$"))
+
+
+def scoped_tables(held: Column, target: Column) -> Column:
+    """All tables of a statement by its scopes (held: scopes(sql)), each name once, the target (an array of none or one) first; names that WITH gives are no tables."""
+    given = "(?i)(?:\\bWITH\\s+(?:RECURSIVE\\s+)?|,\\s*)(\\w+)\\s*(?:\u0002[^\u0003]*\u0003\\s*)?AS\\s*(?:(?:NOT\\s+)?MATERIALIZED\\s*)?\u0001"
+    ctes = F.transform(F.flatten(F.transform(held, lambda s: F.regexp_extract_all(s, F.lit(given), F.lit(1)))), lambda x: F.lower(x))
+
+    def once(all_: Column) -> Column:
+        names = F.transform(all_, lambda t: F.lower(F.concat_ws(".", t["schema"], t["name"])))
+        return F.filter(all_, lambda t, k: F.array_position(names, F.lower(F.concat_ws(".", t["schema"], t["name"]))) == k + 1)
+
+    read = F.flatten(F.transform(held, _scope_tables))
+    read = F.filter(read, lambda t: ~(t["schema"].isNull() & F.array_contains(ctes, F.lower(t["name"]))))
+    # a target's own name among those read is the target
+    return _let(F.concat(target, F.filter(read, lambda t: ~F.exists(target, lambda x: F.lower(x["name"]) == F.lower(t["name"])))), once)
+
+
+def _own_columns(scope: Column) -> Column:
+    """The select list of a scope without the queries in it."""
+    return F.filter(select_columns(F.translate(scope, "\u0002\u0003", "()")), lambda c: ~c["name"].contains("\u0001"))
+
+
+def _scope_columns(scope: Column) -> Column:
+    """Entries (name of a table, its columns) of a scope's select list."""
+    return _let(_scope_tables(scope), lambda held: F.map_entries(_columns_by_table(held, _own_columns(scope))))
+
+
+def _merged(entries: Column) -> Column:
+    """A map of entries in which a table may come more than once."""
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.array_distinct(F.flatten(F.transform(F.filter(entries, lambda e: e["key"] == n), lambda e: e["value"]))))))
+
+
 def select_columns(sql: Column) -> Column:
     """Structs (name, table) of the select list; a naive comma split, the alias dropped."""
 
@@ -118,6 +183,7 @@ def written_columns(sql: Column, sql_type: Column) -> Column:
     """Column names in INSERT (…) VALUES or left of = in UPDATE … SET … WHERE; an UPDATE without WHERE has none."""
     kind = F.upper(sql_type)
     insert = _items(_extract(sql, r"(?is)\((.*?)\)\s*VALUES"))
+    insert = F.when(F.size(insert) > 0, insert).otherwise(_items(_extract(sql, r"(?is)^\s*INSERT\s+INTO\s+[\w.]+\s*\(([^()]*)\)\s*\(?\s*(?:SELECT|WITH)\b")))
     update = F.transform(_items(_extract(sql, r"(?is)SET\s+(.*?)\s+WHERE\b")), lambda x: strip(F.substring_index(x, "=", 1)))
     return F.when(kind == "INSERT", insert).when(kind == "UPDATE", update).otherwise(F.array().cast("array<string>"))
 
@@ -197,7 +263,10 @@ def columns(sql: Column, sql_type: Column, held: Column) -> Column:
 
 
 def analyse(df, sql_col: str = "sql_content", type_col: str = "sql_type"):
-    """df with sql_clean, tables, joins, columns, table_columns, parameters, complexity_score, complexity_level, characteristics and recommendations.
+    """df with sql_clean, tables, written, joins, columns, table_columns, parameters, complexity_score, complexity_level, characteristics and recommendations.
+
+    tables are those of all scopes, of queries in brackets, parts of a UNION, INSERT ... SELECT, UPDATE ... FROM and JOIN, DELETE ... USING; written is the one of them that a change writes. In table_columns every scope gives
+    its select list to its own tables. The score counts the outermost tables alone.
 
     Joins, subqueries, groups, orders and HAVING are read of a SELECT (which a null type counts as), WHERE also of an UPDATE or DELETE, columns of a SELECT, INSERT or UPDATE.
     Other types have no facts but their text. Null or empty SQL has empty lists and a score of 1.
@@ -212,10 +281,16 @@ def analyse(df, sql_col: str = "sql_content", type_col: str = "sql_type"):
     # Each list is made once, in a step of its own; the score and the marks only count what is there.
     parts = {"__sub": subqueries(sql), "__group": clause_columns(sql, r"GROUP\s+BY"), "__order": clause_columns(sql, r"ORDER\s+BY"), "__having": clause(sql, "HAVING")}
     lists = {"joins": of(select, joins(sql), JOIN), "parameters": of(known, parameters(sql)), "__where": of(known & (kind != "INSERT"), clause(sql, "WHERE")), **{name: of(select, x) for name, x in parts.items()}}
-    df = df.withColumns(lists).withColumn("tables", of(known, tables(sql, kind, joined=F.col("joins")), TABLE))
-    df = df.withColumn("columns", columns(sql, kind, F.col("tables")))
-    n = {c: F.size(c) for c in ("tables", "joins", "__sub", "__where", "__group", "__order", "__having")}
+    df = df.withColumns(lists).withColumn("__own", of(known, tables(sql, kind, joined=F.col("joins")), TABLE))
+    many = known & sql.rlike(_SCOPED) | known & ~select & sql.rlike(_SCOPED_CHANGE)
+    df = df.withColumn("__scopes", F.when(many, scopes(sql)))
+    target = F.when(select, F.array().cast(f"array<{TABLE}>")).otherwise(F.col("__own"))
+    df = df.withColumn("tables", F.when(F.col("__scopes").isNull(), F.col("__own")).otherwise(scoped_tables(F.col("__scopes"), target)))
+    # what a scope's tables give to its own select list; of a change the written columns come first
+    first = F.when(select & F.col("__scopes").isNotNull(), _scope_tables(F.col("__scopes")[0])).otherwise(F.col("__own"))
+    df = df.withColumns({"__first": first, "columns": F.when(select & F.col("__scopes").isNotNull(), _own_columns(F.col("__scopes")[0])).otherwise(columns(sql, kind, F.col("__own")))})
+    n = {c: F.size(c) for c in ("__own", "joins", "__sub", "__where", "__group", "__order", "__having")}
     marks = _marks(n["joins"], n["__sub"], F.col("__where"), n["__group"], n["__order"])
-    df = df.withColumns({"table_columns": _columns_by_table(F.col("tables"), F.col("columns")), "complexity_score": sum(n.values(), F.lit(1)), "characteristics": marks})
+    df = df.withColumns({"table_columns": F.when(F.col("__scopes").isNull(), _columns_by_table(F.col("__own"), F.col("columns"))).otherwise(_let(F.concat(F.map_entries(_columns_by_table(F.col("__first"), F.col("columns"))), F.flatten(F.transform(F.when(select, F.slice("__scopes", 2, 10_000)).otherwise(F.col("__scopes")), _scope_columns))), _merged)), "written": F.when(known & ~select, F.get("__own", F.lit(0))["name"]), "complexity_score": sum(n.values(), F.lit(1)), "characteristics": marks})
     df = df.withColumns({"complexity_level": complexity_level(F.col("complexity_score")), "recommendations": recommendations(F.col("characteristics"))})
-    return df.drop(*[c for c in lists if c.startswith("__")])
+    return df.drop("__own", "__scopes", "__first", *[c for c in lists if c.startswith("__")])

@@ -16,8 +16,11 @@ _STATEMENT = ["project", "mapper_name", "sql_id"]
 
 
 def accesses(runs: DataFrame, uses: DataFrame, project: str | None = None) -> DataFrame:
-    """One row per method, statement and table, with the operation's letter."""
-    rows = optional(runs, project=project).join(uses.select(*_STATEMENT, "table_name").distinct(), _STATEMENT)
+    """One row per method, statement and table, with the operation's letter. Where uses says whether a table is written, tables that a change only reads count as read."""
+    said = "written" in uses.columns
+    rows = optional(runs, project=project).join(uses.select(*_STATEMENT, "table_name", *["written"] * said).distinct(), _STATEMENT)
+    if said:
+        rows = rows.withColumn("sql_type", F.when(F.col("written"), F.col("sql_type")).otherwise("SELECT")).drop("written")
     return rows.withColumn("op", op_letter(F.col("sql_type")))
 
 

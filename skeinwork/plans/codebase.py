@@ -445,10 +445,10 @@ _STATEMENTS = [
     "MERGE INTO orders@k@ USING x ON x.id = orders@k@.id",
 ]
 _FACTS = [
-    ("SELECT", "orders@,customer,hist", "LEFT", "id,name,total", "", 10, "subqueries,grouping", "orders@=id,total|customer=name,total"),
-    ("INSERT", "orders@", "", "id,name,total", "id,name", 2, "", "orders@=id,name,total"),
+    ("SELECT", "orders@,customer,hist", "LEFT", "id,name,total", "", 10, "subqueries,grouping", "orders@=id,total|customer=name,total|hist=avg(x)"),
+    ("INSERT", "orders@,hist", "", "id,name,total", "id,name", 2, "", "orders@=id,name,total|hist=max(y)"),
     ("UPDATE", "orders@", "", "name,total", "n,id", 3, "", "orders@=name,total"),
-    ("DELETE", "orders@", "", "", "?x1", 3, "", "orders@="),
+    ("DELETE", "orders@,hist", "", "", "?x1", 3, "", "orders@=|hist=id"),
     ("MERGE", "", "", "", "", 1, "", ""),
 ]
 
@@ -466,7 +466,7 @@ def _statements(spark, sf):
     return p.select("p_partkey", text.alias("sql_content"), kind.alias("sql_type"))
 
 
-@query(f"""SELECT p_partkey, {_cases(0)} AS sql_type, {_cases(1).replace(",hist", "")} AS tables, {_cases(2)} AS joins, {_cases(3)} AS columns, {_cases(4)} AS parameters, CAST(CASE p_size % 5 WHEN 0 THEN 10 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END AS INTEGER) AS complexity_score,
+@query(f"""SELECT p_partkey, {_cases(0)} AS sql_type, {_cases(1)} AS tables, {_cases(2)} AS joins, {_cases(3)} AS columns, {_cases(4)} AS parameters, CAST(CASE p_size % 5 WHEN 0 THEN 10 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END AS INTEGER) AS complexity_score,
 CASE p_size % 5 WHEN 0 THEN 'complex' ELSE 'simple' END AS complexity_level, {_cases(6)} AS characteristics, CASE p_size % 5 WHEN 0 THEN 'consider joins instead' ELSE '' END AS recommendations FROM part""")
 def statement_facts(spark, sf):
     """SELECT, INSERT, UPDATE, DELETE and another type: what is read of each."""

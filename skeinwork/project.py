@@ -74,8 +74,12 @@ class Lineage:
         return spark.sql(text)
 
     def uses(self) -> DataFrame:
-        each = self.t["sql_statement"].select("project", "mapper_name", F.col("id").alias("sql_id"), F.explode("tables").alias("x"))
-        return each.select("project", "mapper_name", "sql_id", F.col("x.name").alias("table_name")).distinct()
+        """(project, mapper_name, sql_id, table_name, written): the tables of every statement, and whether it writes them."""
+        s = self.t["sql_statement"]
+        target = F.col("written") if "written" in s.columns else F.lit(None).cast("string")
+        each = s.select("project", "mapper_name", F.col("id").alias("sql_id"), "sql_type", target.alias("target"), F.explode("tables").alias("x"))
+        changed = (F.col("sql_type") != "SELECT") & F.coalesce(F.col("x.name") == F.col("target"), F.lit(True))
+        return each.select("project", "mapper_name", "sql_id", F.col("x.name").alias("table_name"), changed.alias("written")).distinct()
 
     def runs(self) -> DataFrame:
         """Which method runs which statement: mapper methods by name, and methods that call them."""

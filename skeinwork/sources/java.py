@@ -151,7 +151,7 @@ class _Cutter:
                 k, start = close, close + 1
             elif sign and w in _OPEN:
                 k = self.partner[k]
-            elif sign and w == "}":
+            elif sign and w in ")}]":  # closes nothing that was opened here
                 start = k + 1
             given = given or (sign and w == "=")
             k += 1

@@ -7,7 +7,7 @@ from skeinwork.functions import ddl, names, sqlmeta
 SQL = [
     ("SELECT o.id, c.name FROM shop.orders o LEFT JOIN customer c ON c.id = o.cust_id WHERE o.total > 10 ORDER BY o.id, c.name", "SELECT", [("orders", "o", "shop"), ("customer", "c", None)], 7),
     ("SELECT a FROM t1, t2 b WHERE a = #{x} GROUP BY a HAVING count(*) > 1 LIMIT 5", "SELECT", [("t1", None, None), ("t2", "b", None)], 6),
-    ("SELECT id /* c */ FROM users -- tail\n WHERE id IN (SELECT uid FROM vip)", "SELECT", [("users", None, None)], 4),
+    ("SELECT id /* c */ FROM users -- tail\n WHERE id IN (SELECT uid FROM vip)", "SELECT", [("users", None, None), ("vip", None, None)], 4),
     ("INSERT INTO s.t (a, b) VALUES (#{a}, ?)", "INSERT", [("t", None, "s")], 2),
     ("UPDATE t SET a = 1, b = #{b} WHERE id = :id", "UPDATE", [("t", None, None)], 3),
     ("DELETE FROM a.b.c WHERE x = 1", "DELETE", [("a.b.c", None, None)], 3),
