@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 800
-PATH_DIMS, WORD_DIMS, EXTRA_DIMS, HIDDEN = 160, 32, 8, 20
+TRAINING_PAGES = 1200
+PATH_DIMS, WORD_DIMS, EXTRA_DIMS, HIDDEN = 512, 128, 8, 20
 DIMS = PATH_DIMS + WORD_DIMS + EXTRA_DIMS
 
 _INLINE = set("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp script semantics small span strike strong style sub sup time tt u var wbr".split())
@@ -230,7 +230,8 @@ def vectors_of(blocks, first: int = 0, total: int | None = None) -> np.ndarray:
         words = text.lower().split()
         for word in words:
             out[row, PATH_DIMS + zlib.crc32(word.encode("utf-8", "replace")) % WORD_DIMS] += 1
-        out[row, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= max(1, len(words)) ** 0.5 * 4
+        own = out[row, PATH_DIMS : PATH_DIMS + WORD_DIMS]
+        np.minimum(own / (max(1, len(words)) ** 0.5 * 4), 1.0, out=own)
         n = len(text)
         out[row, -EXTRA_DIMS:] = (
             np.log1p(n) / 6, np.log1p(len(words)) / 4, min(1.0, linked / n), min(1.0, 8 * sum(map(text.count, ".,;:!?")) / n),
@@ -332,7 +333,7 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = 24, seed: int = 7) -> dic
     made.sort(key=lambda m: len(m[1]))
     p = _start(rng)
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
+    mean, step = {k: np.zeros_like(v) for k, v in p.items()}, 0
     groups = [made[k : k + 25] for k in range(0, len(made), 25)]
     for epoch in range(epochs):
         for k in rng.permutation(len(groups)):
@@ -343,13 +344,16 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = 24, seed: int = 7) -> dic
             for r, (_, label) in enumerate(groups[k]):
                 y[r, : len(label)] = label
             step += 1
-            rate = 0.01 * (1 if epoch < epochs * 2 // 3 else 0.2)
+            late = epoch >= epochs * 2 // 3
+            rate = 0.01 * (0.2 if late else 1)
             for name, g in _gradients(p, x, mask, y).items():
                 g = np.clip(g, -1, 1)
                 m1[name] = 0.9 * m1[name] + 0.1 * g
                 m2[name] = 0.999 * m2[name] + 0.001 * g * g
                 p[name] = (p[name] - rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return p
+                if late:  # the parameters are the mean of those of the late steps
+                    mean[name] += p[name]
+    return {name: total / (len(groups) * (epochs - epochs * 2 // 3)) for name, total in mean.items()}
 
 
 _fitted: dict[int, dict[str, np.ndarray]] = {}
@@ -382,21 +386,43 @@ _COMMENT, _SHARE = ("comments", "comment", "replies", "discussion", "reader-comm
 _FORM, _MAIN = ("newsletter", "subscribe", "signup", "search", "login", "contact"), ("content", "main", "post", "entry", "article", "story", "article-body", "post-content", "entry-content", "body", "text")
 
 
+#: Words by their part on a page, in several languages: what a labeller can tell where tags and classes say nothing.
+_SAID = {
+    "main": tuple("the of and to in that was for with as on were had not from by which their this but they have been one all would there when who more has its into only other than after could der die und nicht war von mit sich des auf eine als auch nach wurde durch aber noch sind werden les des une dans que qui pour pas sur par plus avec ont mais cette leur los las del por una con para pero sus como entre desde hasta".split()),
+    "menu": tuple("home about contact login products news blog shop services help faq search account cart sitemap archive start kontakt anmelden produkte accueil connexion produits boutique inicio contacto productos tienda next previous page top menu".split()),
+    "legal": tuple("copyright rights reserved privacy terms imprint policy conditions inc ltd gmbh powered theme contact impressum datenschutz rechte vorbehalten mentions confidentialité droits réservés aviso legal derechos reservados privacidad".split()),
+    "notice": tuple("cookies cookie accept we use consent settings agree browser experience website zustimmen verwenden akzeptieren utilisons accepter utilizamos aceptar dismiss enable javascript update".split()),
+    "ad": tuple("sponsored advertisement buy now offer sale discount deal save free shipping click order price anzeige rabatt kaufen publicité offre publicidad oferta".split()),
+    "form": tuple("subscribe newsletter email sign up name password submit send enter your address abonnieren senden inscrivez envoyer suscríbete enviar".split()),
+    "comment": tuple("reply says posted ago comment comments thanks agree great i you my antworten schrieb répondre merci responder gracias lol share like".split()),
+    "side": tuple("related popular recommended latest recent tags categories read more posts trending mehr ähnliche beliebt lire aussi récents leer más relacionados".split()),
+}
+_MADE = ("css-", "sc-", "_", "jss", "x", "styles__", "ember")
+
+
 def training_page(rng: random.Random) -> tuple[str, list[str]]:
     """A made page, and the texts of its main blocks, each of which holds MARK."""
     main: list[str] = []
 
-    style = rng.choice(("plain",) * 6 + ("shout", "table", "symbols", "numbers"))
+    style = rng.choice(("plain",) * 5 + ("shout", "table", "symbols", "numbers", "repeat"))
     odd = rng.random()
+    naming = rng.choices(("words", "made", "none"), (0.62, 0.19, 0.19))[0]
+    # where names say nothing, words must; on other pages they may
+    strange = naming == "words" and rng.random() < 0.25  # the article has a name of its own
+    telling = 0.6 if naming != "words" else rng.choice((0, 0, 0.4))
 
-    def words(low: int, high: int) -> str:
+    def words(low: int, high: int, role: str = "main") -> str:
         made = ["".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4))) for _ in range(rng.randint(low, high))]
+        if telling:
+            made = [rng.choice(_SAID[role]) if rng.random() < telling else w for w in made]
         made[0] = made[0].capitalize()
         if style != "plain" and rng.random() < odd:
             if style == "shout":
                 made = [w.upper() + "!!" for w in made]
             elif style == "table":
                 made = [x for w in made for x in (w, "|")]
+            elif style == "repeat":
+                made = made[:1] * len(made)
             elif style == "symbols":
                 made = [w + rng.choice(("###", "***", "%%%", "$$$", "&amp;&amp;&amp;")) for w in made]
             else:
@@ -405,15 +431,22 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
 
     def box(names, inner: str, tags=("div", "section")) -> str:
         key = rng.choice(("class", "class", "id"))
+        if naming == "none":
+            return f"<{(t := rng.choice(tags))}>{inner}</{t}>"
+        if naming == "made":
+            own = " ".join(rng.choice(_MADE) + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(4, 7))) for _ in range(rng.randint(1, 2)))
+            return f'<{(t := rng.choice(tags))} class="{own}">{inner}</{t}>'
+        if strange and names is _MAIN:
+            names = ["".join(rng.choices(_SYLLABLES[:26], k=rng.randint(2, 3)))]
         own = rng.choice(names) + (rng.choice((" ", "-", "_")) + rng.choice(("box", "wrap", "inner", "block", "area", "x")) if rng.random() < 0.3 else "")
         return f'<{(t := rng.choice(tags))} {key}="{own}">{inner}</{t}>'
 
-    def links(low: int, high: int) -> str:
-        item = [f'<a href="/{k}">{words(1, 3)}</a>' for k in range(rng.randint(low, high))]
+    def links(low: int, high: int, role: str = "menu") -> str:
+        item = [f'<a href="/{k}">{words(1, 3, role)}</a>' for k in range(rng.randint(low, high))]
         return rng.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in item) + "</ul>", " | ".join(item), "".join(f"<p>{x}</p>" for x in item)))
 
-    def prose(low: int, high: int) -> str:
-        return "".join(f"<p>{words(3, 40)}</p>" for _ in range(rng.randint(low, high)))
+    def prose(low: int, high: int, role: str = "side") -> str:
+        return "".join(f"<p>{words(3, 40, role)}</p>" for _ in range(rng.randint(low, high)))
 
     def said(tag: str, text: str) -> str:
         main.append(text)
@@ -428,25 +461,25 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         return f"<{tag}>{body}</{tag}>"
 
     def ad() -> str:
-        return rng.choice((lambda: box(_AD, words(2, 20), ("div", "aside", "section")), lambda: box(_AD, prose(1, 2) + links(1, 2))))()
+        return rng.choice((lambda: box(_AD, words(2, 20, "ad"), ("div", "aside", "section")), lambda: box(_AD, prose(1, 2, "ad") + links(1, 2, "ad"))))()
 
     def form() -> str:
-        inner = f'<label>{words(1, 3)}</label><input name="q"><p>{words(2, 12)}</p><button>{words(1, 2)}</button>'
-        return rng.choice((f"<form>{inner}</form>", box(_FORM, f"<form>{inner}</form>"), box(_FORM, f"<h3>{words(1, 4)}</h3><p>{words(3, 15)}</p>")))
+        inner = f'<label>{words(1, 3, "form")}</label><input name="q"><p>{words(2, 12, "form")}</p><button>{words(1, 2, "form")}</button>'
+        return rng.choice((f"<form>{inner}</form>", box(_FORM, f"<form>{inner}</form>"), box(_FORM, f"<h3>{words(1, 4, 'form')}</h3><p>{words(3, 15, 'form')}</p>")))
 
     def notice() -> str:
-        return box(_NOTICE, rng.choice((words(4, 25), prose(1, 2))) + (f"<a href='#'>{words(1, 2)}</a>" if rng.random() < 0.5 else ""), ("div", "section", "aside"))
+        return box(_NOTICE, rng.choice((words(4, 25, "notice"), prose(1, 2, "notice"))) + (f"<a href='#'>{words(1, 2, 'notice')}</a>" if rng.random() < 0.5 else ""), ("div", "section", "aside"))
 
     def fallback() -> str:
         """What a browser shows only where it cannot run or play something."""
-        return rng.choice((f"<noscript>{words(2, 15)}</noscript>", f"<noscript><p>{words(2, 15)}</p></noscript>", f"<video>{words(2, 10)}</video>", f"<audio><p>{words(2, 10)}</p></audio>", f"<object>{words(2, 10)}</object>", f"<canvas>{words(2, 10)}</canvas>"))
+        return rng.choice((f"<noscript>{words(2, 15, 'notice')}</noscript>", f"<noscript><p>{words(2, 15, 'notice')}</p></noscript>", f"<video>{words(2, 10, 'notice')}</video>", f"<audio><p>{words(2, 10, 'notice')}</p></audio>", f"<object>{words(2, 10, 'notice')}</object>", f"<canvas>{words(2, 10, 'notice')}</canvas>"))
 
     def comments() -> str:
-        one = [rng.choice((box(("comment",), f"<b>{words(1, 2)}</b><p>{words(2, 40)}</p>", ("div", "li", "article")), f"<div><h4>{words(1, 2)}</h4><p>{words(2, 30)}</p></div>", f"<li>{words(2, 30)}</li>")) for _ in range(rng.randint(1, 6))]
-        return box(_COMMENT, f"<{(h := rng.choice(('h2', 'h3')))}>{words(1, 3)}</{h}>" * (rng.random() < 0.7) + "".join(one), ("div", "section", "ol", "ul"))
+        one = [rng.choice((box(("comment",), f"<b>{words(1, 2, 'comment')}</b><p>{words(2, 40, 'comment')}</p>", ("div", "li", "article")), f"<div><h4>{words(1, 2, 'comment')}</h4><p>{words(2, 30, 'comment')}</p></div>", f"<li>{words(2, 30, 'comment')}</li>")) for _ in range(rng.randint(1, 6))]
+        return box(_COMMENT, f"<{(h := rng.choice(('h2', 'h3')))}>{words(1, 3, 'comment')}</{h}>" * (rng.random() < 0.7) + "".join(one), ("div", "section", "ol", "ul"))
 
     def side() -> str:
-        inner = rng.choice((f"<h3>{words(1, 3)}</h3>" + links(2, 6), prose(1, 3), f"<h3>{words(1, 3)}</h3>" + prose(1, 2)))
+        inner = rng.choice((f"<h3>{words(1, 3, 'side')}</h3>" + links(2, 6, "side"), prose(1, 3), f"<h3>{words(1, 3, 'side')}</h3>" + prose(1, 2)))
         return rng.choice((f"<aside>{inner}</aside>", box(_SIDE, inner, ("div", "aside", "section"))))
 
     def article() -> str:
@@ -463,10 +496,14 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
                 parts.append("<ul>" + "".join(said("li", words(2, 15)) for _ in range(rng.randint(2, 5))) + "</ul>")
             elif kind < 0.91:
                 parts.append("<blockquote>" + said("p", words(4, 40)) + "</blockquote>")
+            elif kind < 0.925:
+                parts.append(said("pre", words(4, 40)))
             elif kind < 0.93:
+                parts.append("<figure><img src='x'>" + said("figcaption", words(2, 15)) + "</figure>")
+            elif kind < 0.945:
                 parts.append("<table><tr>" + "".join(said("td", words(1, 4)) for _ in range(4)) + "</tr></table>")
             else:
-                parts.append(rng.choice((ad, form, notice, side, fallback))())
+                parts.append(rng.choice((ad, form, notice, side, fallback) if naming == "words" else (form, fallback))())
         if rng.random() < 0.15:
             parts.append(box(_SHARE, links(1, 5)))
         inner = "".join(parts)
@@ -476,17 +513,22 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.8:
         top.append(rng.choice((lambda: f"<nav>{links(2, 9)}</nav>", lambda: box(_MENU, links(2, 9), ("div", "ul", "nav"))))())
     if rng.random() < 0.5:
-        inner = rng.choice((f"<h1>{words(1, 3)}</h1>", f"<p>{words(1, 8)}</p>", f'<a href="/">{words(1, 2)}</a>')) + (f"<p>{words(2, 9)}</p>" if rng.random() < 0.4 else "") + (f"<nav>{links(2, 5)}</nav>" if rng.random() < 0.3 else "")
+        inner = rng.choice((f"<h1>{words(1, 3, 'menu')}</h1>", f"<p>{words(1, 8, 'menu')}</p>", f'<a href="/">{words(1, 2, "menu")}</a>')) + (f"<p>{words(2, 9, 'menu')}</p>" if rng.random() < 0.4 else "") + (f"<nav>{links(2, 5)}</nav>" if rng.random() < 0.3 else "")
         top.insert(0, rng.choice((f"<header>{inner}</header>", box(_HEADER, inner))))
     top += [x() for x in (notice, ad, form, side, fallback) if rng.random() < 0.3]
     low += [x() for x in (comments, side, ad, form, notice) if rng.random() < 0.35]
     if rng.random() < 0.85:
-        inner = rng.choice((lambda: "&copy; " + words(1, 4) + " &middot; " + words(3, 12), lambda: f"<p>&copy; {words(2, 10)}</p>" + links(1, 5), lambda: prose(1, 3), lambda: words(3, 12)))()
+        inner = rng.choice((lambda: "&copy; " + words(1, 4, "legal") + " &middot; " + words(3, 12, "legal"), lambda: f"<p>&copy; {words(2, 10, 'legal')}</p>" + links(1, 5, "legal"), lambda: prose(1, 3, "legal"), lambda: words(3, 12, "legal")))()
         low.append(rng.choice((f"<footer>{inner}</footer>", box(_FOOTER, inner, ("div", "footer")))))
     if rng.random() < 0.1:  # an article alone
         top, low = [], []
     head = f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>"
-    body = "".join(top) + article() + "".join(low)
+    text = article()
+    body = "".join(top) + text + "".join(low)
+    if rng.random() < 0.1:  # laid out by a table
+        split = rng.randint(0, len(low))
+        cells = [f"<td>{''.join(top)}</td>", f"<td>{text}</td>", f"<td>{''.join(low[:split])}</td>"]
+        body = "<table>" + rng.choice((f"<tr>{''.join(cells)}</tr>", f"<tr>{cells[0]}</tr><tr>{cells[1]}{cells[2]}</tr>")) + f"<tr><td>{''.join(low[split:])}</td></tr></table>"
     if rng.random() < 0.3:
         body = f'<div class="{rng.choice(("page", "wrapper", "container", "site", "layout"))}">{body}</div>'
     return head + body + ("</body></html>" if rng.random() < 0.9 else ""), main
