@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocabulary
@@ -69,47 +69,49 @@ class Rollup:
         if not done or done[-1] in self._marked("bases"):
             return False
         last = F.lit(done[-1]).cast("long").alias("batch")
-        self.ledger().select(*_KEY, "source", "lang", "n_tokens", last).write.mode("overwrite").parquet(self._path("base-ledger", done[-1]))
+        self.ledger().select(*_KEY, "source", "lang", "n_docs", "n_tokens", last).write.mode("overwrite").parquet(self._path("base-ledger", done[-1]))
         self._sums().write.mode("overwrite").parquet(self._path("base-deltas", done[-1]))
         path, fs = self._files()
         fs.mkdirs(path(self._path("bases", done[-1])))
         return True
 
     def ledger(self) -> DataFrame | None:
-        """What each (doc_id, version) counts after the last committed batch; None before the first."""
+        """(doc_id, version, source, lang, n_docs, n_tokens): what counts after the last committed batch, one row per id, version, source and language; None before the first."""
         rows = self._read("ledger")
         if rows is None:
             return None
-        now = rows.groupBy(*_KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens"), "batch").alias("now"))
-        return now.select(*_KEY, "now.*").filter("n_tokens is not null")
+        last = F.max("batch").over(Window.partitionBy(*_KEY))
+        return rows.withColumn("last", last).filter("batch = last and n_tokens is not null").select(*_KEY, "source", "lang", "n_docs", "n_tokens")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Applies changes (op insert, revise or delete; doc_id, source, lang, version, n_tokens) as batch number batch.
 
         False, and nothing is changed, if that batch is committed already. Numbers must grow. An insert of what is there and a
-        revision of what is not both set the new count; deleting what is not there does nothing. Of rows that repeat a key in one
-        batch the last op in the order delete, insert, revise counts, then the greatest count. Null doc_ids are one document.
+        revision of what is not both set the new count; deleting what is not there does nothing. Rows that repeat an id in one batch are as many
+        documents, whose counts add up, and a later batch replaces all of them; null doc_ids are such documents too. If such rows have unlike ops, those of the
+        last op in the order delete, insert, revise count.
         """
         done = self.committed()
         if batch in done:
             return False
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes before the committed {done[-1]}")
-        ranked = F.struct(F.when(F.col("op") == "delete", 0).when(F.col("op") == "insert", 1).otherwise(2).alias("r"), "n_tokens", "source", "lang")
-        new = changes.groupBy(*_KEY).agg(F.max(ranked).alias("new"))
-        gone = F.col("new.r") == 0
-        fields = ("source", "lang", "n_tokens")
-        new = new.select(*_KEY, *[F.when(~gone, F.col(f"new.{c}")).alias(c) for c in fields], F.lit(batch).cast("long").alias("batch"))
+        gone = F.col("op") == "delete"
+        rank = F.when(gone, 0).when(F.col("op") == "insert", 1).otherwise(2)
+        kept = [F.when(~gone, F.col(c)).alias(c) for c in ("source", "lang")]
+        each = changes.withColumn("r", rank).groupBy(*_KEY, "r", *kept).agg(F.count("*").alias("n_docs"), F.sum(F.when(~gone, F.coalesce("n_tokens", F.lit(0)))).alias("n_tokens"))
+        top = F.max("r").over(Window.partitionBy(*_KEY))
+        new = each.withColumn("top", top).filter("r = top").select(*_KEY, "source", "lang", "n_docs", "n_tokens", F.lit(batch).cast("long").alias("batch"))
         new.write.mode("overwrite").parquet(self._path("ledger", batch))
         new = self.spark.read.parquet(self._path("ledger", batch))
 
-        plus = new.filter("n_tokens is not null").select(*GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens")
+        plus = new.filter("n_tokens is not null").select(*GROUP, "n_docs", "n_tokens")
         old = self.ledger()
         parts = [plus]
         if old is not None:
-            keys = new.select(F.col("doc_id").alias("d"), F.col("version").alias("v"))
+            keys = new.select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct()
             replaced = old.join(keys, old.doc_id.eqNullSafe(keys.d) & old.version.eqNullSafe(keys.v), "left_semi")
-            parts.append(replaced.select(*GROUP, F.lit(-1).cast("long").alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
+            parts.append(replaced.select(*GROUP, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
         deltas = union_all(parts).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         deltas.write.mode("overwrite").parquet(self._path("deltas", batch))
         path, fs = self._files()

@@ -154,20 +154,35 @@ def test_rollup(spark, small):
     for k in (0, 1):
         want[first[k].source, first[k].lang, "byte_bpe_50k"] -= len(vocabulary.encode(first[k].text))
     want["s", "en", "byte_bpe_50k"] += 7
-    want[None, "en", "v2"] += 3
+    want[None, "en", "v2"] += 3 + 2  # rows that repeat an id are as many documents
     want["n", "en", "v2"] += 4
     got = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
     assert {k: v[1] for k, v in got.items() if v[1]} == {k: v for k, v in want.items() if v}
-    assert sum(v[0] for v in got.values()) == docs.count() - 1 + 2
+    assert sum(v[0] for v in got.values()) == docs.count() - 1 + 3
     with pytest.raises(ValueError):
         rollup.commit(0, df)
 
 
+def test_rollup_counts_every_row(spark):
+    """Null ids and ids that repeat, with unlike sources: nothing is lost, and a later batch replaces all rows of an id."""
+    kind = "op string, doc_id long, source string, lang string, version string, n_tokens long"
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-rows")
+    rows = [("insert", None, "a", "en", "v", n) for n in (5, 5, 7)] + [("insert", None, "b", None, "v", 1), ("insert", 1, "a", "en", "v", 2), ("insert", 1, "b", "en", "v", 3), ("insert", 2, "a", "en", "v", 4), ("insert", 3, "a", "en", "v", None)]
+    totals = lambda: sorted(((r.source, r.lang, r.n_docs, r.n_tokens) for r in rollup.totals().collect()), key=str)
+    rollup.commit(1, spark.createDataFrame(rows, kind))
+    assert totals() == [("a", "en", 6, 23), ("b", "en", 1, 3), ("b", None, 1, 1)]
+    rollup.compact()
+    rollup.commit(2, spark.createDataFrame([("revise", 1, "c", "en", "v", 9), ("delete", None, None, None, "v", None), ("delete", 2, "a", "en", "v", None), ("insert", 2, "a", "en", "v", 6)], kind))
+    assert totals() == [("a", "en", 2, 6), ("c", "en", 1, 9)]
+    rollup.compact()
+    assert totals() == [("a", "en", 2, 6), ("c", "en", 1, 9)] and rollup.ledger().count() == 3
+
+
 def test_broken_batch_leaves_no_trace(spark):
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-broken")
     row = spark.createDataFrame([("insert", 1, "a", "en", "v", 5)], "op string, doc_id long, source string, lang string, version string, n_tokens long")
     rollup.commit(1, row)
-    row.write.parquet(rollup._path("ledger", 2))  # a batch that never reached its commit
+    row.withColumn("n_docs", F.lit(1).cast("long")).write.parquet(rollup._path("ledger", 2))  # a batch that never reached its commit
     assert rollup.ledger().count() == 1 and rollup.commit(2, row.withColumn("n_tokens", F.lit(9).cast("long")))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 9)]
 
