@@ -33,21 +33,22 @@ def _halves(words: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, line, words) for every line; th tells texts of one id apart."""
+    """(id, th, line, words, chars) for every line; th tells texts of one id apart, chars is the line's length in code points."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("line", "value"))
-    return rows.select("id", "th", "line", words_of(F.col("value")).alias("words"))
+    return rows.select("id", "th", "line", words_of(F.col("value")).alias("words"), F.length("value").alias("chars"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10, min_chars: int = 40) -> DataFrame:
     """(id, th, line): the lines (from 0) that are alike to an earlier line, by document id, text hash and line number.
 
-    Lines under min_words words never count. Null and empty texts have no lines that count; a null id comes before all others.
+    A line counts if it has min_words words, or min_chars code points, as a passage in a script without spaces may have in a word or two; shorter ones never count. A very long
+    line is one row, and its variants one row a word. Null and empty texts have no lines that count; a null id comes before all others.
     Rows that repeat an id and a text are one document; texts that share an id are ordered by their hash. An empty table gives no rows.
     """
     if near_words < 2:
         raise ValueError("near_words must be 2 or more")
-    lines = _lines(docs, id_col, text_col).filter(F.size("words") >= min_words)
+    lines = _lines(docs, id_col, text_col).filter((F.size("words") >= min_words) | ((F.size("words") > 0) & (F.col("chars") >= min_chars)))
     halves = ["front1", "back1", "front2", "back2"]
     lines = materialize(lines.select("id", "th", "line", F.size("words").alias("n"), *_hashes(F.col("words")), *_halves(F.col("words"))))
     first = lines.groupBy(*_LINE).agg(F.min(F.struct("id", "th", "line")).alias("at"), *[F.any_value(c).alias(c) for c in ("n", *halves)])

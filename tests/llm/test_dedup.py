@@ -95,13 +95,13 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
-def _late_lines(rows, min_words=5, near_words=10):
+def _late_lines(rows, min_words=5, near_words=10, min_chars=40):
     """Lines alike to an earlier one, comparing every pair of long lines by their common ends."""
     seen, near, late = set(), [], {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for k, line in enumerate((text or "").split("\n")):
             w = [x for x in re.split(r"[ \t-\r]+", line) if x]
-            if len(w) < min_words:
+            if len(w) < min_words and (not w or len(line) < min_chars):
                 continue
             hit = tuple(w) in seen
             if not hit and len(w) >= near_words:
@@ -145,6 +145,9 @@ def test_line_dedup_edits(spark):
 
 def test_line_dedup_odd_rows(spark):
     same = "a b c d e f"
+    spaceless = "日本語の長い一節" * 6
+    wide = spark.createDataFrame([(1, f"{spaceless}\nshort one"), (2, f"short one\n{spaceless}"), (3, " " * 50), (4, " " * 50), (5, " ".join(f"u{k}" for k in range(100_000))), (6, " ".join(f"u{k}" for k in range(100_000)) + " more")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in line_dedup.summary(wide).collect()} == {1: "", 2: "1", 3: "", 4: "", 5: "", 6: "0"}
     rows = [(2, same), (1, f"{same}\n\nx\n{same}"), (3, None), (4, ""), (None, f"q\n{same}"), (2, same), (5, " ".join(f"u{k}" for k in range(5000)))]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, line string")
     got = line_dedup.summary(df)
