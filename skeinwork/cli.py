@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("target")
     analyze.add_argument("--project", default="default")
     analyze.add_argument("--ddl")
+    analyze.add_argument("--incremental", action="store_true", help="parse only the files that differ from the last run")
     for name in COMMANDS:
         p = sub.add_parser(name)
         p.add_argument("target", help="the folder that analyze wrote")
@@ -75,9 +76,10 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
     """The answer to a command line; analyze writes its tables and gives their counts."""
     a = parser().parse_args(argv)
     if a.command == "analyze":
-        tables = project.ingest(spark, a.source, a.project, a.ddl)
-        project.save(tables, a.target)
-        return summary.run_counts({n: spark.read.parquet(f"{a.target}/{n}") for n in tables})
+        if a.incremental:
+            return project.refresh(spark, a.source, a.project, a.target, a.ddl).groupBy("state").count()
+        project.save(project.ingest(spark, a.source, a.project, a.ddl), a.target)
+        return summary.run_counts(project.Lineage.open(spark, a.target).t)
     a.spark = spark
     out = COMMANDS[a.command](project.Lineage.open(spark, a.target), a)
     if a.out:

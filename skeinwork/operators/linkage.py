@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..tables import materialize
 
 
 def methods_of_classes(classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -79,19 +80,54 @@ def _annotated(col: Column, *names: str) -> Column:
     return F.exists(col, lambda a: a["name"].isin(*names))
 
 
-def bean_dependencies(beans: DataFrame, fields: DataFrame, methods: DataFrame) -> DataFrame:
+def _implemented(classes: DataFrame) -> DataFrame:
+    """(project, type, class_name, dist): every class under the simple name of each type it is, extends or implements, directly or through others; the nearest way counts."""
+    at = classes.select("project", N.simple_name(F.col("name")).alias("type"), F.col("name").alias("class_name"), F.lit(0).alias("dist"))
+    plain = lambda c: N.simple_name(F.regexp_replace(c, "<.*$", ""))
+    supers = F.array_compact(F.concat(F.array("superclass"), F.coalesce("interfaces", F.array().cast("array<string>"))))
+    step = materialize(classes.select("project", N.simple_name(F.col("name")).alias("type"), F.explode(supers).alias("up")).select("project", "type", plain(F.col("up")).alias("up")).filter("type <> up").distinct())
+    found = at
+    while True:
+        nxt = at.join(step, ["project", "type"]).select("project", F.col("up").alias("type"), "class_name", (F.col("dist") + 1).alias("dist")).dropDuplicates(["project", "type", "class_name"])
+        at = materialize(nxt.join(found.select("project", "type", "class_name"), ["project", "type", "class_name"], "left_anti"))
+        if at.isEmpty():
+            return found
+        found = found.unionByName(at)
+
+
+def bean_dependencies(beans: DataFrame, fields: DataFrame, methods: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(project, source_bean, target_bean, injection_type, member): one row per pair; setters count over constructors over fields.
 
-    Fields need Autowired, Inject or Resource; constructors need nothing, their parameters' types are looked up; setters need Autowired.
+    Fields need Autowired, Inject or Resource; constructors need nothing, their parameters' types are looked up; setters need Autowired, Inject or Resource.
+    With classes a type also stands for the beans whose classes extend or implement it. Of several the one counts whose name a Qualifier, Named or Resource on the member gives, else
+    the only one that is Primary, else the nearest class if there is one, else the one of the member's name; without any of these the place stays open. Lists, sets and maps of a type, Optional
+    and ObjectProvider take what they hold: collections all beans of it. Fields with Value take no bean.
     """
+    injected = ("Autowired", "Inject", "Resource")
+    named = lambda c: F.get(F.transform(F.filter(c, lambda a: a["name"].isin("Qualifier", "Named", "Resource")), lambda a: F.coalesce(F.element_at(a["parameters"], "value"), F.element_at(a["parameters"], "name"))), F.lit(0))
     source = beans.select("project", "class_name", F.col("name").alias("source_bean"))
-    target = beans.select("project", F.col("class_name").alias("type"), F.col("name").alias("target_bean"))
-    by_field = fields.filter(_annotated(F.col("annotations"), "Autowired", "Inject", "Resource")).select("project", "class_name", F.col("name").alias("member"), "type", F.lit(1).alias("phase"), F.lit("field").alias("injection_type"))
+    by_field = fields.filter(_annotated(F.col("annotations"), *injected) & ~_annotated(F.col("annotations"), "Value")).select("project", "class_name", F.col("name").alias("member"), "type", F.lit(1).alias("phase"), F.lit("field").alias("injection_type"), F.col("name").alias("wish"), named(F.col("annotations")).alias("qualifier"))
     built = methods.select("project", "class_name", "name", "annotations", F.explode("parameters").alias("p"))
-    by_constructor = built.filter(F.col("name") == F.col("class_name")).select("project", "class_name", F.col("p.name").alias("member"), F.col("p.type").alias("type"), F.lit(2).alias("phase"), F.lit("constructor").alias("injection_type"))
-    by_setter = built.filter(F.col("name").startswith("set") & _annotated(F.col("annotations"), "Autowired")).select("project", "class_name", F.col("name").alias("member"), F.col("p.type").alias("type"), F.lit(3).alias("phase"), F.lit("setter").alias("injection_type"))
-    wanted = by_field.unionByName(by_constructor).unionByName(by_setter).withColumn("type", F.substring_index("type", "<", 1))
-    pairs = wanted.join(source, ["project", "class_name"]).join(target, ["project", "type"]).filter("source_bean <> target_bean")
+    by_constructor = built.filter(F.col("name") == N.simple_name(F.col("class_name"))).select("project", "class_name", F.col("p.name").alias("member"), F.col("p.type").alias("type"), F.lit(2).alias("phase"), F.lit("constructor").alias("injection_type"), F.col("p.name").alias("wish"), F.lit(None).cast("string").alias("qualifier"))
+    by_setter = built.filter(F.col("name").startswith("set") & _annotated(F.col("annotations"), *injected)).select("project", "class_name", F.col("name").alias("member"), F.col("p.type").alias("type"), F.lit(3).alias("phase"), F.lit("setter").alias("injection_type"), F.col("p.name").alias("wish"), named(F.col("annotations")).alias("qualifier"))
+    wanted = by_field.unionByName(by_constructor).unionByName(by_setter).join(source, ["project", "class_name"])
+    holds = F.regexp_extract("type", r"^(?:\w+\.)*(List|Set|Collection|Map|Optional|ObjectProvider|Provider)\s*<(?:.*,)?\s*(?:\? extends )?([\w.]+)[^,]*>$", 1)
+    inner = F.regexp_extract("type", r"^(?:\w+\.)*(List|Set|Collection|Map|Optional|ObjectProvider|Provider)\s*<(?:.*,)?\s*(?:\? extends )?([\w.]+)[^,]*>$", 2)
+    wanted = wanted.withColumns({"all": holds.isin("List", "Set", "Collection", "Map"), "type": N.simple_name(F.when(holds != "", inner).otherwise(F.substring_index("type", "<", 1)))})
+    target = beans.select("project", "class_name", F.col("name").alias("target_bean"))
+    if classes is None:
+        known = target.select("project", F.col("class_name").alias("type"), "target_bean", F.lit(0).alias("dist"), F.lit(False).alias("primary"))
+    else:
+        primary = classes.filter(_annotated(F.col("annotations"), "Primary")).select("project", F.col("name").alias("class_name"), F.lit(True).alias("p")).distinct()
+        known = _implemented(classes).join(target, ["project", "class_name"]).join(primary, ["project", "class_name"], "left").select("project", "type", "target_bean", "dist", F.coalesce("p", F.lit(False)).alias("primary"))
+    pairs = wanted.join(known, ["project", "type"]).filter("source_bean <> target_bean")
+    pairs = pairs.groupBy("project", "source_bean", "target_bean", "phase", "injection_type", "member", "type", "wish", "qualifier", "all").agg(F.min("dist").alias("dist"), F.max("primary").alias("primary"))
+    place = Window.partitionBy("project", "source_bean", "phase", "member", "type")
+    asked = F.lower("target_bean") == F.lower("qualifier")
+    rank = F.when(asked, 0).when(F.col("qualifier").isNotNull() & (F.max(asked.cast("int")).over(place) == 1), 9).when(F.col("primary"), 1).when(F.col("dist") == 0, 2).when(F.col("target_bean") == F.col("wish"), 3).otherwise(4)
+    pairs = pairs.withColumn("rank", rank).withColumn("best", F.min("rank").over(place))
+    pairs = pairs.withColumn("alike", F.count_if(F.col("rank") == F.col("best")).over(place))
+    pairs = pairs.filter(F.col("all") & (F.col("rank") < 9) | (F.col("rank") == F.col("best")) & (F.col("alike") == 1))
     last = F.max_by(F.struct("injection_type", "member"), F.struct("phase", "member")).alias("x")
     return pairs.groupBy("project", "source_bean", "target_bean").agg(last).select("project", "source_bean", "target_bean", "x.*")
 

@@ -9,16 +9,39 @@ from .functions import ddl, sqlmeta
 from .functions import names as N
 from .operators import audit, calltargets, classspec, crud, impact, jpa, linkage, stats, summary, traverse, upsert
 from .schema import KEYS
-from .sources import config, files, java, mapper_xml
+from .sources import config, files, java, manifest, mapper_xml
+from .store import Store
 from .tables import materialize
 
 
-def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | None = None, rule: str | None = None) -> dict[str, DataFrame]:
-    """The node and edge tables of a source tree. Every file is parsed once, in tasks, and every statement analysed once; the rest is lazy."""
-    parsed = materialize(java.parsed_classes(files.java_files(spark, source), rule))
+def read_sources(spark: SparkSession, source: str, ddl_folder: str | None = None, rule: str | None = None, states: DataFrame | None = None, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The rows of every source file by kind: raw_java, raw_mapper, raw_config, raw_ddl. With states and before (see refresh()) only files that differ are parsed, the rows of the others are taken over."""
+
+    def of(name: str, found: DataFrame, parse) -> DataFrame:
+        if states is None:
+            return parse(found)
+        new = parse(manifest.fresh(found, states))
+        return manifest.kept(before[name], states).unionByName(new) if name in before else new
+
+    def values(found: DataFrame) -> DataFrame:
+        return config.yaml_values(found).unionByName(files.properties(found))
+
+    raw = {
+        "raw_java": of("raw_java", files.java_files(spark, source), lambda found: java.parsed_classes(found, rule)),
+        "raw_mapper": of("raw_mapper", files.mapper_files(spark, source), mapper_xml.mapper_rows),
+        "raw_config": of("raw_config", files.config_files(spark, source), values),
+    }
+    if ddl_folder:
+        raw["raw_ddl"] = of("raw_ddl", files.ddl_files(spark, ddl_folder), lambda found: found)
+    return raw
+
+
+def derive(raw: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
+    """The node and edge tables of the rows that read_sources() gives. Every statement is analysed once; the rest is lazy."""
+    parsed = raw["raw_java"]
     tables = java.tables_of(parsed, project) | {"calls": calltargets.resolve_calls(parsed, project)}
     tables["bean"] = linkage.beans_of(tables["class"])
-    tables["depends_on"] = linkage.bean_dependencies(tables["bean"], tables["field"], tables["method"])
+    tables["depends_on"] = linkage.bean_dependencies(tables["bean"], tables["field"], tables["method"], tables["class"])
     tables["endpoint"] = classspec.endpoints(tables["class"], tables["method"])
     tables["test_class"] = classspec.test_facts(tables["class"], tables["method"])
     tables["jpa_entity"] = jpa.entities(tables["class"])
@@ -26,7 +49,7 @@ def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | Non
     tables["jpa_relationship"] = jpa.relationships(tables["jpa_entity"], tables["field"])
     tables["jpa_query"] = jpa.repository_queries(jpa.repositories(tables["class"]), tables["method"])
 
-    mappers = materialize(mapper_xml.mapper_rows(files.mapper_files(spark, source)))
+    mappers = raw["raw_mapper"]
     tables["result_map"] = mappers.filter("kind = 'result_map'")
     from_xml = mappers.filter("kind = 'statement'").select(F.lit(project).alias("project"), "mapper_name", "namespace", "id", "sql_type", "sql_content", "parameter_type", "result_type", "result_map", "logical_name", F.lit(2).alias("rank"))
     from_code = jpa.mapper_statements(tables["class"], tables["method"]).withColumn("rank", F.lit(1))
@@ -34,20 +57,46 @@ def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | Non
     tables["sql_statement"] = materialize(sqlmeta.analyse(upsert.latest(both, KEYS["sql_statement"], ["rank"]).drop("rank")))
     tables["sql_link"] = linkage.link_methods_to_sql(tables["method"], tables["sql_statement"])
 
-    values = config.yaml_values(files.config_files(spark, source)).unionByName(files.properties(files.config_files(spark, source)))
-    tables["config_file"] = config.summary(values)
-    if ddl_folder:
-        scripts = files.ddl_files(spark, ddl_folder)
+    tables["config_file"] = config.summary(raw["raw_config"])
+    if "raw_ddl" in raw:
+        scripts = raw["raw_ddl"]
         body = ddl.tables(scripts)
         tables["db_table"] = body.select(F.lit(project).alias("project"), "database_name", "schema", F.col("table_name").alias("name"))
         tables["db_column"], tables["db_index"], tables["db_constraint"] = ddl.columns(body, ddl.changes(scripts)), ddl.indexes(scripts), ddl.constraints(scripts)
     return tables
 
 
-def save(tables: dict[str, DataFrame], target: str) -> None:
-    """Writes every table as Parquet under target."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
+def ingest(spark: SparkSession, source: str, project: str, ddl_folder: str | None = None, rule: str | None = None) -> dict[str, DataFrame]:
+    """The node and edge tables of a source tree. Every file is parsed once, in tasks."""
+    raw = read_sources(spark, source, ddl_folder, rule)
+    return derive({name: materialize(df) for name, df in raw.items()}, project)
+
+
+def refresh(spark: SparkSession, source: str, project: str, target: str, ddl_folder: str | None = None, rule: str | None = None) -> DataFrame:
+    """Brings the tables saved under target up to date with the source tree, and gives (path, state) of its files: added, changed, renamed, same, removed.
+
+    Only files that differ from the saved manifest are parsed. Rows of removed files go, and with them all that is derived of them; their paths stay in the table
+    removed_file with the version they went in. Everything is one commit: a run that breaks off leaves the version before as it was, and is simply repeated.
+    """
+    held = Store(spark, target)
+    base = held.versions()[-1] if held.versions() else 0
+    before = held.read() if base else {}
+    old = before.get("manifest", spark.createDataFrame([], manifest.SCHEMA))
+    states = manifest.compare(manifest.files_now(spark, [source, *([ddl_folder] if ddl_folder else [])]), old)
+    raw = {name: materialize(df) for name, df in read_sources(spark, source, ddl_folder, rule, states, before).items()}
+    gone = states.filter("state = 'removed'").select("path", F.lit(base + 1).cast("long").alias("version"))
+    if "removed_file" in before:
+        back = states.filter("state <> 'removed'").select("path")
+        gone = gone.unionByName(before["removed_file"].join(back, "path", "left_anti"))
+    now = {"manifest": states.filter("state <> 'removed'").drop("state"), "removed_file": gone}
+    held.commit(raw | derive(raw, project) | now, base=base)
+    return states.select("path", "state")
+
+
+def save(tables: dict[str, DataFrame], target: str) -> int:
+    """Writes all tables as one new version of the store in target; gives its number. Readers see all of it or nothing."""
+    spark = next(iter(tables.values())).sparkSession
+    return Store(spark, target).commit(tables)
 
 
 class Lineage:
@@ -57,15 +106,14 @@ class Lineage:
         self.t = tables
 
     @classmethod
-    def load(cls, spark: SparkSession, target: str, names: list[str]) -> Lineage:
-        return cls({n: spark.read.parquet(f"{target}/{n}") for n in names})
+    def load(cls, spark: SparkSession, target: str, names: list[str] | None = None, version: int | None = None) -> Lineage:
+        """The tables of a saved version, of the last by default, and only those of it; later saves change nothing here."""
+        return cls(Store(spark, target).read(version, names))
 
     @classmethod
     def open(cls, spark: SparkSession, target: str) -> Lineage:
-        """All tables that save() wrote under target."""
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-        return cls.load(spark, target, [x.getPath().getName() for x in found if x.isDirectory()])
+        """All tables that save() wrote under target last."""
+        return cls.load(spark, target)
 
     def sql(self, spark: SparkSession, text: str) -> DataFrame:
         """Ad-hoc SQL over the tables by name."""
