@@ -150,7 +150,7 @@ def columns(tables_: DataFrame, changes_: DataFrame | None = None) -> DataFrame:
         plain = plain.unionByName(new).join(gone, "table_name", "left").join(dropped, ["table_name", "name"], "left")
         plain = plain.filter(F.coalesce(place > F.col("gone"), F.lit(True)) & F.coalesce(place > F.col("dropped"), F.lit(True))).drop("gone", "dropped")
         rank = F.row_number().over(Window.partitionBy("table_name").orderBy("script", "nth", "position"))
-        plain = plain.withColumn("position", F.when(F.col("position") > 10_000, rank).otherwise(F.col("position")))
+        plain = plain.withColumn("position", F.when(F.col("position") >= 10_000, rank).otherwise(F.col("position")))
         keys = keys.unionByName(changes_.filter("action = 'add constraint'").select("table_name", "script", "nth", F.col("name").alias("rule"), "definition"))
         keys = keys.join(gone, "table_name", "left").join(lost, ["table_name", "rule"], "left")
         keys = keys.filter(F.coalesce(place > F.col("gone"), F.lit(True)) & F.coalesce(place > F.col("lost"), F.lit(True)))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from .. import project
 from ..functions import ddl, sqlmeta
 from ..functions import names as N
-from ..operators import audit, calltargets, classspec, enrich, jpa, linkage, predicates, stats, summary, traverse, upsert
+from ..operators import audit, calltargets, classspec, crud, enrich, jpa, linkage, predicates, stats, summary, traverse, upsert
 from ..sinks import report
 from ..sources import config, files, java, mapper_xml, rules
+from ..store import Store
 from ..tables import materialize, shared_dir, table
 from .testgraph import CTES, TestGraph
 
@@ -747,20 +749,47 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def _written(rows: DataFrame) -> None:
+    """Writes the texts of rows (path, text) to their paths, each from the task that has it; a task that runs again writes the same."""
+
+    def of(batches):
+        import pyarrow.fs
+
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                fs, at = pyarrow.fs.FileSystem.from_uri(path)
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write(text.encode())
+            yield batch[["path"]]
+
+    rows.select("path", "text").mapInPandas(of, "path string").write.format("noop").mode("overwrite").save()
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, as a URI."""
+    top = shared_dir(spark)
+    return f"{top if ':' in top.partition('/')[0] else 'file://' + top}/{kind}-{uuid.uuid4().hex}"
+
+
+def _texts(spark: SparkSession, sf: str, folder: str, templates: dict[str, str], keys: str = "true") -> DataFrame:
+    """(path, text): for each supplier that fits one file of each template; @k@ is the supplier's key in names and texts."""
+    k = F.col("s_suppkey")
+    rows = [F.struct(_filled(f"{folder}/{name}", k=k).alias("path"), _filled(text, k=k, size=k).alias("text")) for name, text in templates.items()]
+    found = table(spark, sf, "supplier").filter(keys).select("s_suppkey").repartition(2 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    return found.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
+
+
 def _tree(spark: SparkSession, sf: str) -> str:
-    """A source tree with a few files for each of the 25 nations."""
-    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
-    for row in table(spark, sf, "nation").select("n_nationkey").collect():
-        k = str(row["n_nationkey"])
-        fill = lambda text, k=k: text.replace("@k@", k).replace("@size@", k)
-        for name, text in ((f"src/n{k}/Part{k}Service.java", SERVICE), (f"src/n{k}/Part{k}Mapper.java", MAPPER), (f"src/n{k}/Part{k}Mapper.xml", MAPPER_XML), (f"src/n{k}/application-p{k}.properties", PROPERTIES), (f"ddl/prod_{k}.sql", DDL)):
-            _put(spark, f"{folder}/{name}", fill(text))
+    """A source tree with five files for each supplier, and a few others."""
+    folder = _folder(spark, "tree")
+    _written(_texts(spark, sf, folder, {"src/n@k@/Part@k@Service.java": SERVICE, "src/n@k@/Part@k@Mapper.java": MAPPER, "src/n@k@/Part@k@Mapper.xml": MAPPER_XML, "src/n@k@/application-p@k@.properties": PROPERTIES, "ddl/prod_@k@.sql": DDL}))
     for name in ("ddl/below/x.sql", "src/other.yml", "src/plain.xml", "src/.hidden/x.java"):
         _put(spark, f"{folder}/{name}", "CREATE TABLE x (a INT);")
     return folder
 
 
-@query("""SELECT 'java' AS kind, 2 * count(*) AS n FROM nation UNION ALL SELECT 'mapper', count(*) FROM nation UNION ALL SELECT 'ddl', count(*) FROM nation UNION ALL SELECT 'config', count(*) FROM nation UNION ALL SELECT 'all', 5 * count(*) + 3 FROM nation""")
+@query("""SELECT 'java' AS kind, 2 * count(*) AS n FROM supplier UNION ALL SELECT 'mapper', count(*) FROM supplier UNION ALL SELECT 'ddl', count(*) FROM supplier UNION ALL SELECT 'config', count(*) FROM supplier UNION ALL SELECT 'all', 5 * count(*) + 3 FROM supplier""")
 def scanned_files(spark, sf):
     """How many files each scan of a source tree finds."""
     folder = _tree(spark, sf)
@@ -773,7 +802,7 @@ def _ingested(spark, sf):
     return project.ingest(spark, f"{folder}/src", "shop", ddl_folder=f"{folder}/ddl")
 
 
-@query("""SELECT x[1] AS label, CAST(x[2] AS BIGINT) * (SELECT count(*) FROM nation) AS n FROM (SELECT unnest([['class', '3'], ['method', '8'], ['field', '4'], ['calls', '5'], ['bean', '2'], ['depends_on', '1'], ['sql_statement', '7'], ['sql_link', '4'], ['result_map', '2'],
+@query("""SELECT x[1] AS label, CAST(x[2] AS BIGINT) * (SELECT count(*) FROM supplier) AS n FROM (SELECT unnest([['class', '3'], ['method', '8'], ['field', '4'], ['calls', '5'], ['bean', '2'], ['depends_on', '1'], ['sql_statement', '7'], ['sql_link', '4'], ['result_map', '2'],
 ['db_table', '2'], ['db_column', '5'], ['db_index', '2'], ['db_constraint', '2'], ['config_file', '1'], ['jpa_entity', '0'], ['endpoint', '0'], ['test_class', '0']]) AS x)""")
 def ingested_counts(spark, sf):
     """A whole tree, from files to tables."""
@@ -781,7 +810,7 @@ def ingested_counts(spark, sf):
     return summary.run_counts({name: t[name] for name in "class method field calls bean depends_on sql_statement sql_link result_map db_table db_column db_index db_constraint config_file jpa_entity endpoint test_class".split()})
 
 
-@query("""SELECT concat('Part', n_nationkey, 'Mapper') AS mapper_name, replace(x[1], '@', CAST(n_nationkey AS VARCHAR)) AS id, x[2] AS sql_type, replace(x[3], '@', CAST(n_nationkey AS VARCHAR)) AS sql_content FROM nation,
+@query("""SELECT concat('Part', s_suppkey, 'Mapper') AS mapper_name, replace(x[1], '@', CAST(s_suppkey AS VARCHAR)) AS id, x[2] AS sql_type, replace(x[3], '@', CAST(s_suppkey AS VARCHAR)) AS sql_content FROM supplier,
 (SELECT unnest([['find@', 'SELECT', 'SELECT id, name FROM t@ p WHERE p.size = #{x}'], ['dropAll', 'DELETE', ''], ['saveRow', 'INSERT', ''], ['recount', 'SELECT', ''], ['add', 'INSERT', 'INSERT INTO t@ (id, name) VALUES (#{id}, ?)'],
 ['put', 'UPDATE', 'UPDATE t@ SET name = #{n}, size = 1 WHERE id = #{i}'], ['drop', 'DELETE', 'DELETE FROM t@ WHERE id = 1 AND size = 2']]) AS x)""")
 def merged_statements(spark, sf):
@@ -800,6 +829,126 @@ def loaded_rules(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.regexp_extract(text, found["Class"], 1).alias("by_class_rule"), F.regexp_extract(text, found["Method"], 1).alias("by_own_rule"))
 
 
+@query("""SELECT state, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(CASE s_suppkey % 5 WHEN 0 THEN ['changed', 'same'] WHEN 1 THEN ['removed', 'same'] WHEN 2 THEN ['removed', 'renamed', 'same'] WHEN 3 THEN ['added', 'same', 'same'] ELSE ['same', 'same'] END) AS state, 1 AS n FROM supplier) GROUP BY 1""")
+def refreshed_tree(spark, sf):
+    """What a second run over a source tree finds: of each supplier's two files some have changed, moved, gone or come."""
+    folder, target = _folder(spark, "tree"), _folder(spark, "store")
+    _written(_texts(spark, sf, folder, {"Part@k@Mapper.java": MAPPER, "Part@k@Mapper.xml": MAPPER_XML}))
+    project.refresh(spark, folder, "shop", target)
+    _written(_texts(spark, sf, folder, {"Part@k@Mapper.java": MAPPER.replace("recount", "countAgain")}, "s_suppkey % 5 = 0"))
+    _written(_texts(spark, sf, folder, {"Moved@k@Mapper.java": MAPPER}, "s_suppkey % 5 = 2"))
+    _written(_texts(spark, sf, folder, {"New@k@.java": "class New@k@ {}"}, "s_suppkey % 5 = 3"))
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in table(spark, sf, "supplier").filter("s_suppkey % 5 in (1, 2)").select("s_suppkey").toLocalIterator():
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/Part{row[0]}Mapper.java"), False)
+    return project.refresh(spark, folder, "shop", target).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 1 AS version, 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 1, 'lineitem', count(*) FROM lineitem UNION ALL SELECT 2, 'orders', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, 'lineitem', count(*) FROM lineitem""")
+def saved_versions(spark, sf):
+    """Two versions of one state: the second replaces a table, and the first reads as before."""
+    s = Store(spark, _folder(spark, "store"))
+    orders = table(spark, sf, "orders")
+    s.commit({"orders": orders, "lineitem": table(spark, sf, "lineitem")})
+    s.commit({"orders": orders.filter("o_orderstatus = 'F'")})
+    counted = [df.agg(F.lit(v).alias("version"), F.lit(n).alias("name"), F.count("*").alias("n")) for v in (1, 2) for n, df in s.read(v).items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+_PORTS = """package p@k@; interface Port@k@ {} interface Wide@k@ extends Port@k@ {}
+@Service class One@k@ implements Port@k@ {} @Service @Primary class Two@k@ implements Wide@k@ {} class Plain@k@ implements Port@k@ {}
+@Service class User@k@ { @Autowired private Port@k@ port; @Autowired @Qualifier("one@k@") Port@k@ picked; @Value("${x}") String x; }
+@Service class All@k@ { All@k@(java.util.List<Port@k@> all) {} }"""
+
+
+@query("""SELECT concat(x[1], p_partkey) AS source_bean, concat(x[2], p_partkey) AS target_bean, x[3] AS injection_type, x[4] AS member FROM part, (SELECT unnest([['user', 'two', 'field', 'port'], ['user', 'one', 'field', 'picked'], ['all', 'one', 'constructor', 'all'], ['all', 'two', 'constructor', 'all']]) AS x)""")
+def injected_interfaces(spark, sf):
+    """Beans that stand in for an interface: the primary one, one by its name, all of them in a list."""
+    t = java.tables_of(materialize(java.parsed_classes(_sources(spark, sf, **{"Ports_.java": _PORTS}))), "p")
+    return linkage.bean_dependencies(linkage.beans_of(t["class"]), t["field"], t["method"], t["class"]).drop("project")
+
+
+_BASE = """package lib@k@; public class Base@k@ { protected Repo@k@ repo; protected void save(int n) {} void save(int n, int m) {} static Base@k@ of() { return null; } }
+class Repo@k@ { Page@k@ page(int n) { return null; } int count() { return 0; } }
+record Page@k@(Item@k@ first) { Item@k@ top() { return first; } } class Item@k@ { Item@k@ go() { return this; } }"""
+_CALLER = """package app@k@; import lib@k@.*;
+class Caller@k@ extends Base@k@ {
+  void up() { super.save(1); save(1, 2); }
+  void chain() { repo.page(1).top().go().go(); var p = repo.page(2); p.top(); repo.count(); Base@k@.of().save(3); new Caller@k@().up(); }
+  void local(java.util.List<Item@k@> all) { all.forEach(x -> x.act()); for (Item@k@ i : all) i.go(); all.stream().map(Item@k@::go); inner().run(); }
+  In inner() { return new In(); } class In { void run() { up(); } }
+}"""
+
+
+@query("""SELECT concat('Caller', p_partkey, x[1]) AS src_class, x[2] AS src_method, concat(x[3], p_partkey) AS dst_package, concat(split_part(x[4], '.', 1), p_partkey, CASE WHEN contains(x[4], '.') THEN '.In' ELSE '' END) AS dst_class, x[5] AS dst_method, CAST(x[6] AS INTEGER) AS call_order FROM part,
+(SELECT unnest([['', 'up', 'lib', 'Base', 'save', '1'], ['', 'up', 'lib', 'Base', 'save', '2'], ['', 'chain', 'lib', 'Repo', 'page', '1'], ['', 'chain', 'lib', 'Page', 'top', '2'], ['', 'chain', 'lib', 'Item', 'go', '3'], ['', 'chain', 'lib', 'Item', 'go', '4'], ['', 'chain', 'lib', 'Repo', 'page', '5'],
+['', 'chain', 'lib', 'Page', 'top', '6'], ['', 'chain', 'lib', 'Repo', 'count', '7'], ['', 'chain', 'lib', 'Base', 'of', '8'], ['', 'chain', 'lib', 'Base', 'save', '9'], ['', 'chain', 'app', 'Caller', 'up', '10'], ['', 'local', 'lib', 'Item', 'go', '1'], ['', 'local', 'lib', 'Item', 'go', '2'],
+['', 'local', 'app', 'Caller', 'inner', '3'], ['', 'local', 'app', 'Caller.In', 'run', '4'], ['.In', 'run', 'app', 'Caller', 'up', '1']]) AS x)""")
+def java_call_targets(spark, sf):
+    """Calls on super, on results of calls, on names without a written type, in lambdas and through outer classes."""
+    parsed = materialize(java.parsed_classes(_sources(spark, sf, **{"Base_.java": _BASE, "Caller_.java": _CALLER})))
+    return calltargets.resolve_calls(parsed, "p").select("src_class", "src_method", "dst_package", "dst_class", "dst_method", "call_order")
+
+
+_SCRIPT = """CREATE TABLE `t@k@` (`id no` BIGINT, note VARCHAR(9) DEFAULT 'a;(b', other INT, PRIMARY KEY (`id no`), UNIQUE (note), FOREIGN KEY (other) REFERENCES "p"."par@k@" ("id")) ENGINE=InnoDB; CREATE TABLE s@k@ (x INT, y INT);
+CREATE FUNCTION f() RETURNS int AS $$ CREATE TABLE no (z INT); $$; ALTER TABLE s@k@ ADD COLUMN z TEXT NOT NULL, DROP COLUMN y, ADD PRIMARY KEY (x); CREATE TABLE gone@k@ (g INT); DROP TABLE gone@k@;
+"""
+
+
+@query("""SELECT concat(x[1], p_partkey) AS table_name, CAST(x[2] AS INTEGER) AS position, x[3] AS name, x[4] AS data_type, x[5] = 'y' AS nullable, x[6] = 'y' AS "unique", x[7] = 'y' AS primary_key, nullif(x[8], '') AS "default" FROM part,
+(SELECT unnest([['t', '1', 'id no', 'BIGINT', 'n', 'n', 'y', ''], ['t', '2', 'note', 'VARCHAR(9)', 'y', 'y', 'n', concat(chr(39), 'a;(b', chr(39))], ['t', '3', 'other', 'INT', 'y', 'n', 'n', ''], ['s', '1', 'x', 'INT', 'n', 'n', 'y', ''], ['s', '2', 'z', 'TEXT', 'n', 'n', 'n', '']]) AS x)""")
+def ddl_folded_columns(spark, sf):
+    """Columns after a script's last statement: quoted names, options behind the brackets, keys of whole tables, ALTER and DROP."""
+    scripts = _sources(spark, sf, **{"s_.sql": _SCRIPT})
+    return ddl.columns(ddl.tables(scripts), ddl.changes(scripts)).drop("database_name")
+
+
+@query("""SELECT concat(x[1], p_partkey) AS table_name, x[2] AS type, x[3] AS columns, CASE WHEN x[4] <> '' THEN concat(x[4], p_partkey) END AS ref_table, x[5] AS source FROM part, (SELECT unnest([['t', 'PRIMARY KEY', 'id no', '', 'inline'], ['t', 'UNIQUE', 'note', '', 'inline'], ['t', 'FOREIGN KEY', 'other', 'par', 'inline'], ['s', 'PRIMARY KEY', 'x', '', 'alter']]) AS x)""")
+def ddl_unnamed_constraints(spark, sf):
+    rows = ddl.constraints(_sources(spark, sf, **{"s_.sql": _SCRIPT})).filter("name is null")
+    return rows.select("table_name", "type", _list("columns").alias("columns"), "ref_table", "source")
+
+
+_SCOPES = [
+    ("INSERT", "INSERT INTO t@k@ (a, b) SELECT x, y FROM u@k@ JOIN v@k@ ON u@k@.i = v@k@.i", "t@:C,u@:R,v@:R"),
+    ("UPDATE", "UPDATE t@k@ SET a = q.b FROM u@k@ q WHERE q.i IN (SELECT i FROM v@k@)", "t@:U,u@:R,v@:R"),
+    ("DELETE", "DELETE FROM t@k@ USING u@k@ WHERE t@k@.i = u@k@.i", "t@:D,u@:R"),
+    ("SELECT", "WITH c AS (SELECT a FROM t@k@) SELECT a FROM c UNION SELECT b FROM u@k@ WHERE d > (SELECT max(d) FROM (SELECT d FROM v@k@) z)", "t@:R,u@:R,v@:R"),
+]
+
+
+@query("SELECT concat('m', p_partkey) AS class_name, replace(split_part(y, ':', 1), '@', CAST(p_partkey AS VARCHAR)) AS table_name, split_part(y, ':', 2) AS ops FROM (SELECT p_partkey, unnest(string_split(CASE p_partkey % 4 " + " ".join(f"WHEN {n} THEN '{c[2]}'" for n, c in enumerate(_SCOPES)) + " END, ',')) AS y FROM part)")
+def scoped_crud(spark, sf):
+    """Who writes and who only reads which table, for statements of more than one scope."""
+    p = table(spark, sf, "part")
+    kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (t, sql, _) in enumerate(_SCOPES):
+        here = F.col("p_partkey") % 4 == n
+        kind, text = F.when(here, t).otherwise(kind), F.when(here, _filled(sql, k=F.col("p_partkey"))).otherwise(text)
+    name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
+    s = sqlmeta.analyse(p.select(F.lit("p").alias("project"), name.alias("mapper_name"), F.lit("q").alias("id"), kind.alias("sql_type"), text.alias("sql_content")))
+    runs = s.select("project", F.lit("").alias("package_name"), F.col("mapper_name").alias("class_name"), F.lit("q").alias("method"), "mapper_name", F.col("id").alias("sql_id"), "sql_type")
+    return crud.matrix(crud.accesses(runs, project.Lineage({"sql_statement": s}).uses())).select("class_name", "table_name", "ops")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE concat('on ', s_name) END AS ai_description FROM supplier""")
+def resumed_enrichment(spark, sf):
+    """Descriptions by way of a ledger in two runs: the first fails for a third of the rows for now and for another third for good."""
+
+    def reply(prompts, busy):
+        if any(p.startswith("0") for p in prompts):
+            raise OSError("400 bad request")
+        if busy and any(p.startswith("1") for p in prompts):
+            raise OSError("503 unavailable")
+        return [f"<think>{p}</think>on {p[1:]}" for p in prompts]
+
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat((F.col("s_suppkey") % 3).cast("string"), "s_name").alias("source"), F.lit(None).cast("string").alias("ai_description"))
+    s = Store(spark, _folder(spark, "store"))
+    enrich.resume(s, rows, partial(reply, busy=True), ["s_suppkey"], retries=1, pause=0)
+    return enrich.resume(s, rows, partial(reply, busy=False), ["s_suppkey"], retries=1, pause=0).select("s_suppkey", "ai_description")
+
+
 # Ordered sequences, level by level
 
 
