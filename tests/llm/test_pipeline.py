@@ -1,11 +1,27 @@
 """The corpus pipeline stage by stage and against brute force, and its registration."""
 
+import zlib
+
+import numpy as np
+import tokenizers
+
 import corpus_pipeline
-from skeinwork.llm import packing, quality
+from skeinwork.llm import quality, secret_scan, vocabulary
 from skeinwork.llm.common import materialize, table
 
 from .test_dedup import _late_lines, _near
 from .test_filters import _base
+from .test_tokens import _check_packing
+
+
+def _masked(text, spans):
+    """The text with a mask for each of its spans, overlapping ones as one."""
+    out, at = "", 0
+    for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s):
+        if start >= at:
+            out += text[at:start] + "[secret]"
+        at = max(at, end)
+    return out + text[at:]
 
 
 def test_stages(spark, small):
@@ -24,11 +40,28 @@ def test_stages(spark, small):
     near = _near([(r.doc_id, r.text) for r in lined.collect()], 80)
     assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, (_, c) in near.items() if i == c) and single.columns == docs.columns
 
+    more = [f"password = abc{k}DEF9 then {'0123456789abcdef' * 2} and AKIA{'ABCDEFGH' * 3}, token: {'q' * k}xyz{k}" for k in range(1, 9)]
+    single = materialize(single.unionByName(spark.createDataFrame([(10**7 + k, t, "en", "s", len(t)) for k, t in enumerate(more)], "doc_id long, text string, lang string, source string, n_chars long")))
     safe = materialize(stages["secret scans"](spark, single, small))
     assert safe.count() == single.count() and not any(_base(r.text) for r in safe.collect())
+    spans = {r.doc_id: r.spans for r in secret_scan.digest(single).collect()}
+    assert {r.doc_id: r.text for r in safe.collect()} == {r.doc_id: _masked(r.text, spans[r.doc_id]) for r in single.collect()} and any(spans.values())
+    assert all(r.n_chars == len(r.text) for r in safe.collect()) and safe.columns == docs.columns
 
     packed = stages["best-fit packing"](spark, safe, small)
-    assert packed.count() == packing.pack(safe).count() and corpus_pipeline.run(spark, small).count() == packed.count()
+    rows = packed.collect()
+    used, total = _check_packing(rows, 1024), 0
+    library = tokenizers.Tokenizer.from_file(vocabulary.DEFAULT_PATH)
+    for r in safe.collect():
+        ids = np.array([*library.encode(r.text, add_special_tokens=False).ids, 2], "<u4")
+        parts, start = sorted((p for p in rows if p.doc_id == r.doc_id), key=lambda p: p.piece), 0
+        for p in parts:
+            assert p.start == start and p.ids_crc32 == zlib.crc32(ids[start : start + p.length].tobytes())
+            start += p.length
+        assert start == len(ids)
+        total += len(ids)
+    assert -(-total // 1024) <= used <= 1.02 * total / 1024 + 1
+    assert corpus_pipeline.run(spark, small).count() == sum(r.doc_id < 10**7 for r in rows)
 
 
 def test_odd_documents(spark, tmp_path):
@@ -46,5 +79,5 @@ def test_registration():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "secret scans", "best-fit packing"]
