@@ -1,6 +1,11 @@
 """A training corpus from raw documents: quality rules, line dedup, near dedup, secret redaction, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of docs, whatever else they are named.
+
+Odd rows, by stage: a null or empty text has no words and goes with the quality rules, as do short texts; a document whose lines were all said before stays with an empty text, is in no
+near-duplicate group, has no secrets and is packed as its end token alone. Null ids come before all others in line dedup, keep their rows in near-dedup and
+are packed under a null id. Rows that repeat an id and text are one document to line dedup and near-dedup; of unlike texts under one id near-dedup keeps that with the least hash. Ties go to the smaller
+id, then the earlier line. Very long texts and lines are worked on whole. A null source is a host of its own. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
