@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import sqlmeta
-from ..operators import audit, classspec, crud, impact, linkage, predicates, stats, traverse, upsert
+from ..operators import audit, classspec, crud, impact, linkage, predicates, reach, stats, traverse, upsert
 from ..sinks import report
 from ..tables import table
 from .testgraph import CTES, TestGraph
@@ -568,3 +568,44 @@ def markdown_report(spark, sf):
 def optional_filters(spark, sf):
     e = table(spark, sf, "events")
     return predicates.optional(e, event_type="click", user_id=None).filter("value > 10").select("event_id", "user_id", "event_type")
+
+
+# All classes at once. The SQL pairs starts with nodes; the operator does not.
+
+_REACH = """{ctes}, RECURSIVE_r AS (SELECT DISTINCT node AS start, node, 0 AS depth FROM nodes UNION SELECT start, dst, {depth} FROM RECURSIVE_r JOIN edges ON src = node{until}),
+u AS (SELECT concat(mapper_name, '.', sql_id) AS node, sql_id, table_name FROM uses),
+x AS (SELECT DISTINCT start, node FROM RECURSIVE_r)"""
+
+
+def _reach(max_depth: int | None) -> str:
+    ctes = CTES.replace("WITH ", "WITH RECURSIVE ", 1)
+    bounds = ("0", "") if max_depth is None else ("depth + 1", f" WHERE depth < {max_depth}")
+    return _REACH.format(ctes=ctes, depth=bounds[0], until=bounds[1]).replace("RECURSIVE_r", "walk")
+
+
+_PER_CLASS = """ SELECT split_part(start, '.', 1) AS class_name, count(DISTINCT start) AS n_methods, count(DISTINCT sql_id) AS n_sql, count(DISTINCT table_name) AS n_tables FROM x LEFT JOIN u USING (node) GROUP BY 1"""
+
+
+def _reached_items(g: TestGraph) -> DataFrame:
+    node = F.concat_ws(".", "mapper_name", "sql_id").alias("node")
+    return g.uses.select(node, F.lit("sql").alias("kind"), F.col("sql_id").alias("item")).unionByName(g.uses.select(node, F.lit("tables").alias("kind"), F.col("table_name").alias("item")))
+
+
+@query(_reach(5) + _PER_CLASS)
+def project_call_chain(spark, sf):
+    g = TestGraph(spark, sf)
+    return reach.class_summary(g.nodes, g.edges, _reached_items(g), ("sql", "tables"))
+
+
+@query(_reach(None) + _PER_CLASS)
+def project_call_chain_all(spark, sf):
+    g = TestGraph(spark, sf)
+    return reach.class_summary(g.nodes, g.edges, _reached_items(g), ("sql", "tables"), max_depth=None)
+
+
+@query(_reach(5) + """ SELECT (SELECT count(DISTINCT class_name) FROM nodes) AS classes, (SELECT count(DISTINCT node) FROM nodes) AS methods, count(DISTINCT sql_id) AS n_sql, count(DISTINCT table_name) AS n_tables,
+count(DISTINCT table_name) FILTER (table_name NOT IN (SELECT name FROM tables WHERE schema IS NOT NULL)) AS missing_tables FROM x JOIN u USING (node)""")
+def project_call_chain_totals(spark, sf):
+    g = TestGraph(spark, sf)
+    known = g.tables.filter("schema is not null").select(F.col("name").alias("item"))
+    return reach.project_summary(g.nodes, g.edges, _reached_items(g), {"sql": None, "tables": known})

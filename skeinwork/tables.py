@@ -24,8 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing is written to yet."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows to a table in the shared folder and reads them back: lineage is cut, a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
