@@ -42,6 +42,8 @@ COMMANDS = {
     "table-impact": lambda x, a: stats.table_impact(x.accesses(a.project), x.t["sql_statement"], a.table),
     "db-analysis": lambda x, a: stats.access_report(x.accesses(a.project)),
     "db-call-chain": lambda x, a: x.call_chain(a.class_name, a.max_depth),
+    "db-class-chains": lambda x, a: x.class_chains(a.max_depth),
+    "db-chain-totals": lambda x, a: x.chain_totals(a.max_depth),
     "db-call-diagram": _diagram,
     "db-statistics": lambda x, a: x.statistics(),
     "class-spec": lambda x, a: x.class_spec() if a.class_name is None else x.class_spec().filter(F.col("class_name") == a.class_name),

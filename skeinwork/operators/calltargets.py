@@ -78,7 +78,7 @@ def _found_method(on: DataFrame, over: DataFrame, methods: DataFrame) -> DataFra
 
 
 def resolve_calls(parsed: DataFrame, project: str) -> DataFrame:
-    """(project, src_class, src_method, dst_package, dst_class, dst_method, call_order, line_number, dst_kind) of the calls in parsed classes (java.parsed_classes).
+    """(project, src_package, src_class, src_method, dst_package, dst_class, dst_method, call_order, line_number, dst_kind) of the calls in parsed classes (java.parsed_classes).
 
     A call without anything before it goes to the class, super-class or outer class that declares the method, else to its own class. What stands before a call may be a local
     name (also var with a call or new), a parameter, a field (inherited ones too), a class, this, super, new, or the result of another call; overloads are told
@@ -161,6 +161,6 @@ def resolve_calls(parsed: DataFrame, project: str) -> DataFrame:
     kept = kept.join(methods.select("tid", "n", F.col("name").alias("src_method")), ["tid", "n"]).join(own, "tid")
     order = F.row_number().over(Window.partitionBy("tid", "n").orderBy("pos"))
     return kept.select(
-        F.lit(project).alias("project"), F.col("own_class").alias("src_class"), "src_method", F.coalesce("m_package", "on_package").alias("dst_package"), F.coalesce("m_class", "on_class").alias("dst_class"),
+        F.lit(project).alias("project"), F.col("own_package").alias("src_package"), F.col("own_class").alias("src_class"), "src_method", F.coalesce("m_package", "on_package").alias("dst_package"), F.coalesce("m_class", "on_class").alias("dst_class"),
         F.col("member").alias("dst_method"), order.cast("int").alias("call_order"), F.col("line").alias("line_number"), F.lit("METHOD").alias("dst_kind"),
     )

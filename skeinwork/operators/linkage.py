@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +139,29 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by an order that must be total for a stable choice."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+@dataclass
+class Branch:
+    """Rows that an optional match may find: keys says which column of the matched rows equals which of df; counts and lists name results and the columns they are of."""
+
+    df: DataFrame
+    keys: dict[str, str]
+    counts: dict[str, str] = field(default_factory=dict)
+    lists: dict[str, str] = field(default_factory=dict)
+
+
+def optional_match(rows: DataFrame, branches: list[Branch]) -> DataFrame:
+    """rows with what each branch finds for them: counts of different values, and lists of different values in order, joined by commas; 0 and empty where it finds nothing.
+
+    Every branch is grouped by its own keys before it is joined, with partial aggregation, so rows never multiply and branches do not multiply each other.
+    """
+    for k, b in enumerate(branches):
+        aggs = [F.count_distinct(F.col(c)).alias(out) for out, c in b.counts.items()]
+        aggs += [F.array_join(F.sort_array(F.collect_set(F.col(c).cast("string"))), ",").alias(out) for out, c in b.lists.items()]
+        own = {key: f"__{k}_{key}" for key in b.keys}
+        per = b.df.groupBy(*[F.col(c).alias(own[key]) for key, c in b.keys.items()]).agg(*aggs)
+        same = reduce(lambda x, y: x & y, [F.col(key) == F.col(name) for key, name in own.items()])
+        filled = {out: F.coalesce(out, F.lit(0)) for out in b.counts} | {out: F.coalesce(out, F.lit("")) for out in b.lists}
+        rows = rows.join(per, same, "left").drop(*own.values()).withColumns(filled)
+    return rows

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import sqlmeta
-from ..operators import audit, classspec, crud, impact, linkage, predicates, reach, stats, traverse, upsert
+from ..operators import audit, classspec, crud, impact, linkage, predicates, reach, stats, summary, traverse, upsert
 from ..sinks import report
-from ..tables import table
+from ..tables import materialize, table
 from .testgraph import CTES, TestGraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,10 +224,9 @@ def bean_edges(spark, sf):
 @query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment), '') AS segments
 FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
 def optional_match(spark, sf):
-    per = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("customers"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ",").alias("segments"))
-    n = table(spark, sf, "nation").join(per, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    out = table(spark, sf, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return out.select("r_name", "n_name", "customers", "segments").fillna({"customers": 0, "segments": ""})
+    customers = linkage.Branch(table(spark, sf, "customer"), {"n_nationkey": "c_nationkey"}, counts={"customers": "c_custkey"}, lists={"segments": "c_mktsegment"})
+    nations = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return linkage.optional_match(nations, [customers]).select("r_name", "n_name", "customers", "segments")
 
 
 # Traversal and impact. The recursive SQL keeps the edges used in a string.
@@ -408,6 +408,26 @@ def sequence_depth_first(spark, sf):
     return traverse.sequence_events(calls, g.links().select("method", "sql_id"), g.uses, tops).drop("stack")
 
 
+_CHART = """ SELECT style, top, concat(CASE style WHEN 'mermaid' THEN concat('sequenceDiagram', chr(10)) ELSE concat('@startuml', chr(10)) END,
+string_agg(concat(CASE style WHEN 'mermaid' THEN '    ' ELSE '' END, regexp_replace(split_part(source, '.', 1), '[^A-Za-z0-9_]', '_', 'g'), CASE WHEN kind = 'return' THEN '--' ELSE '-' END, CASE style WHEN 'mermaid' THEN '>>' ELSE '>' END,
+regexp_replace(split_part(target, '.', 1), '[^A-Za-z0-9_]', '_', 'g'), ': ', CASE kind WHEN 'return' THEN 'return' ELSE split_part(target, '.', -1) END), chr(10) ORDER BY sort_path, step),
+CASE style WHEN 'mermaid' THEN '' ELSE concat(chr(10), '@enduml') END) AS text FROM flow, (SELECT unnest(['mermaid', 'plantuml']) AS style) GROUP BY style, top"""
+
+
+@query(_walk_in_order("C4Controller", 5).rsplit("SELECT * FROM calls UNION ALL", 1)[0].rstrip() + """, shown AS (SELECT *, depth - CASE kind WHEN 'sql' THEN 1 ELSE 0 END AS open, coalesce(lead(depth) OVER (PARTITION BY top ORDER BY sort_path), 1) AS next,
+list_prepend(top, regexp_extract_all(sort_path, 'a[0-9]{6}:([^/]*)/', 1)) AS stack FROM (SELECT * FROM calls UNION ALL SELECT * FROM q)),
+back AS (SELECT *, unnest(range(1, open - next + 2)) AS step FROM shown),
+flow AS (SELECT top, sort_path, 0 AS step, kind, source, target FROM shown UNION ALL SELECT top, sort_path, step, 'return', stack[open - step + 2], stack[open - step + 1] FROM back WHERE open - step + 2 > 1)""" + _CHART)
+def sequence_charts(spark, sf):
+    """Sequence diagrams in both styles of what each method of a controller does."""
+    g = TestGraph(spark, sf)
+    calls = g.edges.withColumn("call_order", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dst"))))
+    tops = g.nodes.filter("class_name = 'C4Controller'").select(F.col("node").alias("top"))
+    events = traverse.sequence_events(calls, g.links().select("method", "sql_id"), g.uses, tops)
+    flow = materialize(traverse.activation_flow(events))
+    return reduce(DataFrame.unionByName, [report.sequence_text(flow, style).withColumn("style", F.lit(style)) for style in ("mermaid", "plantuml")])
+
+
 # Upserts, deduplication, order
 
 
@@ -432,6 +452,22 @@ def delete_anti(spark, sf):
     return kept["orders"].select("o_orderkey", "o_custkey")
 
 
+@query(f"""{CTES}, gone AS (SELECT DISTINCT mapper_name FROM statements WHERE mapper_name LIKE 'M1%')
+SELECT 'nodes' AS label, count(*) AS n FROM nodes WHERE NOT EXISTS (SELECT 1 FROM gone WHERE contains(node, mapper_name))
+UNION ALL SELECT 'edges', count(*) FROM edges WHERE NOT EXISTS (SELECT 1 FROM gone WHERE contains(src, mapper_name) OR contains(dst, mapper_name))
+UNION ALL SELECT 'statements', count(*) FROM statements WHERE mapper_name NOT IN (SELECT mapper_name FROM gone)
+UNION ALL SELECT 'uses', count(*) FROM uses WHERE mapper_name NOT IN (SELECT mapper_name FROM gone)
+UNION ALL SELECT 'tables', count(*) FROM tables""")
+def delete_cascade(spark, sf):
+    """All tables of a graph without what is related to some mappers: by equal names, and nodes and edges by names that contain theirs."""
+    g = TestGraph(spark, sf)
+    gone = g.statements.filter("mapper_name like 'M1%'").select("mapper_name")
+    held = {name: getattr(g, name) for name in ("nodes", "edges", "statements", "uses", "tables")}
+    equal = {name: {"mapper_name": "mapper_name"} for name in ("statements", "uses")}
+    within = {"nodes": {"node": "mapper_name"}, "edges": {"src": "mapper_name", "dst": "mapper_name"}}
+    return summary.run_counts(upsert.delete_related(held, gone, equal, within))
+
+
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def dedup_first(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", F.md5(sqlmeta.collapse_whitespace(F.col("text"))).alias("h"))
@@ -552,10 +588,9 @@ def class_spec_methods(spark, sf):
 
 @query("""SELECT n_name, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
 def doc_query_sets(spark, sf):
-    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ",").alias("segments"), F.count_distinct("c_custkey").alias("customers"))
-    s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("suppliers"))
-    n = table(spark, sf, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return n.select("n_name", "segments", "customers", "suppliers").fillna({"customers": 0, "suppliers": 0})
+    customers = linkage.Branch(table(spark, sf, "customer"), {"n_nationkey": "c_nationkey"}, counts={"customers": "c_custkey"}, lists={"segments": "c_mktsegment"})
+    suppliers = linkage.Branch(table(spark, sf, "supplier"), {"n_nationkey": "s_nationkey"}, counts={"suppliers": "s_suppkey"})
+    return linkage.optional_match(table(spark, sf, "nation"), [customers, suppliers]).select("n_name", "segments", "customers", "suppliers")
 
 
 @query(f"""{CTES}, l AS (SELECT concat('| ', mapper_name, ' | ', n, ' |') AS line, mapper_name FROM (SELECT mapper_name, count(*) AS n FROM statements GROUP BY 1))

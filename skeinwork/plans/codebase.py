@@ -19,7 +19,7 @@ from ..operators import audit, calltargets, classspec, crud, enrich, jpa, linkag
 from ..sinks import report
 from ..sources import config, files, java, mapper_xml, rules
 from ..store import Store
-from ..tables import materialize, shared_dir, table
+from ..tables import materialize, new_folder, shared_dir, table
 from .testgraph import CTES, TestGraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -695,6 +695,16 @@ def sheets(spark, sf):
     return spark.read.schema(rows.schema).option("header", True).csv(f"{folder}/nations")
 
 
+@query("""SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+def json_sheets(spark, sf):
+    """Sheets written as lines of JSON and read back."""
+    per = linkage.Branch(table(spark, sf, "orders"), {"id": "o_custkey"}, counts={"orders": "o_orderkey"})
+    rows = linkage.optional_match(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), [per])
+    folder = new_folder(spark)
+    report.write_sheets({"customers": rows}, folder, "json")
+    return spark.read.schema(rows.schema).json(f"{folder}/customers")
+
+
 @query(f"""{CTES}, e AS (SELECT DISTINCT split_part(src, '.', 1) AS a, split_part(dst, '.', 1) AS b FROM edges WHERE src LIKE 'C%'), l AS (SELECT a, b, concat('    ', a, '["', a, '"] -->|calls| ', b, '["', b, '"]') AS line FROM e)
 SELECT concat('graph LR', chr(10), string_agg(line, chr(10) ORDER BY a, b)) AS text FROM l""")
 def mermaid_chart(spark, sf):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ddl, sqlmeta
 from .functions import names as N
-from .operators import audit, calltargets, classspec, crud, impact, jpa, linkage, stats, summary, traverse, upsert
+from .operators import audit, calltargets, classspec, crud, impact, jpa, linkage, reach, stats, summary, traverse, upsert
 from .schema import KEYS
 from .sources import config, files, java, manifest, mapper_xml
 from .store import Store
@@ -100,7 +100,11 @@ def save(tables: dict[str, DataFrame], target: str) -> int:
 
 
 class Lineage:
-    """Questions about ingested tables; each answer is a DataFrame."""
+    """Questions about ingested tables; each answer is a DataFrame.
+
+    Methods are nodes named Class.method. Where classes of several packages or projects have one name, their nodes are named project:package.Class.method,
+    so that none of them is taken for another.
+    """
 
     def __init__(self, tables: dict[str, DataFrame]):
         self.t = tables
@@ -129,20 +133,49 @@ class Lineage:
         changed = (F.col("sql_type") != "SELECT") & F.coalesce(F.col("x.name") == F.col("target"), F.lit(True))
         return each.select("project", "mapper_name", "sql_id", F.col("x.name").alias("table_name"), changed.alias("written")).distinct()
 
+    def _shared_names(self) -> DataFrame:
+        """(shared): names that classes of more than one package or project have, those that are only called among them."""
+        c, calls = self.t["class"], self.t["calls"]
+        every = c.select("project", "package_name", F.col("name").alias("shared"))
+        if "dst_package" in calls.columns:
+            every = every.unionByName(calls.select("project", F.col("dst_package").alias("package_name"), F.col("dst_class").alias("shared")))
+        return every.distinct().groupBy("shared").agg(F.count("*").alias("n")).filter("n > 1").select("shared")
+
+    def _named(self, rows: DataFrame, package: Column, cls: str, method: str, out: str) -> DataFrame:
+        """rows (project, cls, method, ...) with the node of a method in column out."""
+        plain = F.concat_ws(".", cls, method)
+        whole = F.concat(F.coalesce("project", F.lit("")), F.lit(":"), F.concat_ws(".", package, cls, method))
+        return rows.join(self._shared_names(), F.col(cls) == F.col("shared"), "left").withColumn(out, F.when(F.col("shared").isNull(), plain).otherwise(whole)).drop("shared")
+
+    def _linked(self) -> DataFrame:
+        """sql_link with the package of each method; of methods in equally named classes of a project those whose class the statement's namespace names, all if it names none."""
+        s = self.t["sql_statement"]
+        space = F.col("namespace") if "namespace" in s.columns else F.lit(None).cast("string")
+        spaces = s.select("project", "mapper_name", F.col("id").alias("sql_id"), space.alias("namespace"))
+        m = self.t["method"].select("project", "package_name", "class_name", F.col("name").alias("method")).distinct()
+        rows = self.t["sql_link"].select("project", "class_name", "method", "mapper_name", "sql_id").distinct().join(spaces, ["project", "mapper_name", "sql_id"]).join(m, ["project", "class_name", "method"], "left")
+        fits = F.coalesce(F.col("namespace") == F.concat_ws(".", "package_name", "class_name"), F.lit(False))
+        best = F.max(fits).over(Window.partitionBy("project", "class_name", "method", "mapper_name", "sql_id"))
+        return rows.withColumn("fits", fits).withColumn("best", best).filter("fits = best").drop("fits", "best", "namespace")
+
     def runs(self) -> DataFrame:
         """Which method runs which statement: mapper methods by name, and methods that call them."""
         s = self.t["sql_statement"].select("project", "mapper_name", F.col("id").alias("sql_id"), "sql_type")
-        direct = self.t["sql_link"].join(s, ["project", "mapper_name", "sql_id"])
-        packages = self.t["class"].groupBy("project", F.col("name").alias("class_name")).agg(F.min("package_name").alias("package_name"))
-        return direct.join(packages, ["project", "class_name"], "left").select("project", "package_name", "class_name", "method", "mapper_name", "sql_id", "sql_type")
+        return self._linked().join(s, ["project", "mapper_name", "sql_id"]).select("project", "package_name", "class_name", "method", "mapper_name", "sql_id", "sql_type")
 
-    def edges(self) -> DataFrame:
+    def _calls(self) -> DataFrame:
+        """calls with their ends as nodes src and dst."""
         c = self.t["calls"]
-        return c.select(F.concat_ws(".", "src_class", "src_method").alias("src"), F.concat_ws(".", "dst_class", "dst_method").alias("dst")).distinct()
+        package = lambda x: F.col(x) if x in c.columns else F.lit(None).cast("string")
+        named = self._named(c, package("src_package"), "src_class", "src_method", "src")
+        return self._named(named, package("dst_package"), "dst_class", "dst_method", "dst")
+
+    def edges(self) -> DataFrame:
+        return self._calls().select("src", "dst").distinct()
 
     def nodes(self) -> DataFrame:
-        m = self.t["method"]
-        return m.select(F.concat_ws(".", "class_name", "name").alias("node"), "package_name", "class_name", F.col("name").alias("method")).dropDuplicates(["node"])
+        m = self._named(self.t["method"], F.col("package_name"), "class_name", "name", "node")
+        return m.select("node", "package_name", "class_name", F.col("name").alias("method")).distinct()
 
     def accesses(self, project: str | None = None) -> DataFrame:
         return crud.accesses(self.runs(), self.uses(), project)
@@ -164,7 +197,7 @@ class Lineage:
         return stats.sql_statistics(self.t["sql_statement"])
 
     def _links(self) -> DataFrame:
-        return self.t["sql_link"].select("project", "mapper_name", "sql_id", F.concat_ws(".", "class_name", "method").alias("method"))
+        return self._named(self._linked(), F.col("package_name"), "class_name", "method", "node").select("project", "mapper_name", "sql_id", F.col("node").alias("method"))
 
     def table_impact(self, table: str, max_depth: int = 10, mode: str = "trail") -> DataFrame:
         return impact.table_impact(table, self.t["sql_statement"], self.uses(), self._links(), self.edges(), self.nodes(), max_depth, mode)
@@ -173,7 +206,7 @@ class Lineage:
         """Callers of a method, or of all public methods of a class."""
         m = self.t["method"].filter(F.col("class_name") == class_name)
         m = m.filter(F.col("name") == method) if method is not None else m.filter(F.col("visibility") == "public")
-        return impact.method_impact(m.select(F.concat_ws(".", "class_name", "name").alias("target")), self.edges(), self.nodes(), max_depth, mode)
+        return impact.method_impact(self._named(m, F.col("package_name"), "class_name", "name", "target").select("target"), self.edges(), self.nodes(), max_depth, mode)
 
     def call_chain(self, class_name: str | None = None, max_depth: int = 5) -> DataFrame:
         """(start, node, depth, sql_id, table_name) reachable from a class's methods, or from all."""
@@ -182,6 +215,25 @@ class Lineage:
         sql = self._links().join(self.uses(), ["project", "mapper_name", "sql_id"], "left").select(F.col("method").alias("node"), "sql_id", "table_name")
         return traverse.forward(self.edges(), starts, max_depth).join(sql, "node", "left")
 
+    def _items(self) -> DataFrame:
+        """(node, kind, item): the statements that methods run, their tables and their columns."""
+        links = self._links().withColumnRenamed("method", "node")
+        key = ["project", "mapper_name", "sql_id"]
+        sql = links.select("node", F.lit("sql").alias("kind"), F.concat_ws(".", "mapper_name", "sql_id").alias("item"))
+        used = links.join(self.uses(), key).select("node", F.lit("tables").alias("kind"), F.col("table_name").alias("item"))
+        s = self.t["sql_statement"]
+        read = s.select("project", "mapper_name", F.col("id").alias("sql_id"), F.explode("columns").alias("x"))
+        return sql.unionByName(used).unionByName(links.join(read, key).select("node", F.lit("columns").alias("kind"), F.col("x.name").alias("item"))).distinct()
+
+    def class_chains(self, max_depth: int | None = 5) -> DataFrame:
+        """(package_name, class_name, n_methods, n_sql, n_tables, n_columns): what each class of the project reaches through calls; max_depth None follows them to their ends."""
+        return reach.class_summary(self.nodes(), self.edges(), self._items(), ("sql", "tables", "columns"), ("package_name", "class_name"), max_depth)
+
+    def chain_totals(self, max_depth: int | None = 5) -> DataFrame:
+        """One row: the same for the whole project, with the tables and columns that no DDL defines."""
+        known = {"sql": None} | {kind: self.t[name].select(F.col("name").alias("item")) if name in self.t else None for kind, name in (("tables", "db_table"), ("columns", "db_column"))}
+        return reach.project_summary(self.nodes(), self.edges(), self._items(), known, ("package_name", "class_name"), max_depth)
+
     def missing_tables(self) -> DataFrame:
         """Tables that statements name and no DDL defines."""
         return linkage.missing(self.uses(), self.t["db_table"].select(F.col("name").alias("table_name")), ["table_name"])
@@ -192,7 +244,7 @@ class Lineage:
     def sequence(self, class_name: str, method: str | None = None, max_depth: int = 5) -> DataFrame:
         n = self.nodes().filter(F.col("class_name") == class_name)
         tops = (n.filter(F.col("method") == method) if method else n).select(F.col("node").alias("top"))
-        calls = self.t["calls"].filter(~N.is_external(F.coalesce("dst_package", F.lit("x")))).select(F.concat_ws(".", "src_class", "src_method").alias("src"), F.concat_ws(".", "dst_class", "dst_method").alias("dst"), "call_order")
+        calls = self._calls().filter(~N.is_external(F.coalesce("dst_package", F.lit("x")))).select("src", "dst", "call_order")
         return traverse.sequence_events(calls, self._links().select("method", "sql_id"), self.uses(), tops, max_depth)
 
     def class_spec(self) -> DataFrame:

@@ -86,10 +86,21 @@ def test_upserts(spark):
     assert {tuple(r) for r in upsert.upsert(old, new.orderBy(F.desc("v")), ["k"], ["seq"], first_wins=("v",)).collect()} == {("a", 1, "x"), ("b", 3, "y"), ("c", 1, None), (None, 1, "n")}
     left = upsert.delete_related({"t": old, "u": new}, new.filter("k = 'b'"), {"t": {"k": "k"}})
     assert [r.k for r in left["t"].collect()] == ["a"] and left["u"].count() == 4
+    named = spark.createDataFrame([("p.Big.go",), ("p.Bigger.go",), ("x",), (None,), ("",)], "k string")
+    gone = spark.createDataFrame([("Big.",), ("x",), (None,), ("",), ("longer than any",)], "g string")
+    assert {r.k for r in upsert.delete_related({"t": named}, gone, {}, {"t": {"k": "g"}})["t"].collect()} == {"p.Bigger.go", None, ""}
+    assert upsert.delete_related({"t": named}, gone.limit(0), {}, {"t": {"k": "g"}})["t"].count() == 5
     changed = upsert.update_columns(old, spark.createDataFrame([("a", "q")], "k string, v string"), ["k"], ["v"])
     assert {tuple(r) for r in changed.collect()} == {("a", 1, "q"), ("b", 1, "y")}
 
 
+def test_optional_match(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, name string")
+    many = spark.createDataFrame([(1, "x", 5), (1, "x", 6), (1, "y", None), (None, "z", 1)], "id int, kind string, n int")
+    got = linkage.optional_match(rows, [linkage.Branch(many, {"k": "id"}, {"n": "n"}, {"kinds": "kind"}), linkage.Branch(many.limit(0), {"k": "id"}, {"none": "n"})])
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 2, "x,y", 0), (2, "b", 0, "", 0), (None, "c", 0, "", 0)}
+
+
 def test_predicates(spark):
     s = F.lit
     r = spark.range(1).select(
