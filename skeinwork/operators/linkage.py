@@ -66,9 +66,9 @@ def class_by_name(classes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def package_of_callees(calls: DataFrame, classes: DataFrame) -> DataFrame:
-    """calls with dst_package filled from the callee's class, and from its outer class for inner ones."""
-    known = classes.groupBy(F.col("name").alias("outer")).agg(F.min("package_name").alias("outer_package"))
-    rows = calls.withColumn("outer", N.outer_class(F.col("dst_class"))).join(known, "outer", "left")
+    """calls with dst_package filled from the callee's class in the same project, and from its outer class for inner ones; of several packages the first by name."""
+    known = classes.groupBy("project", F.col("name").alias("outer")).agg(F.min("package_name").alias("outer_package"))
+    rows = calls.withColumn("outer", N.outer_class(F.col("dst_class"))).join(known, ["project", "outer"], "left")
     return rows.withColumn("dst_package", F.coalesce(F.nullif("dst_package", F.lit("")), "outer_package")).drop("outer", "outer_package")
 
 

@@ -206,8 +206,9 @@ def class_specification(spark, sf):
 unnest([concat('com.shop', p_size, '.desk'), NULL, concat('com.shop', p_size, '.mapper'), concat('com.shop', p_size, '.service'), NULL]) AS dst_package FROM part""")
 def callee_packages(spark, sf):
     """Packages of callees looked up by their class, as if the calls had none."""
-    t = _code(spark, sf)
-    return linkage.package_of_callees(t["calls"].withColumn("dst_package", F.lit("")), t["class"]).select("src_class", "dst_method", "dst_package")
+    parsed = materialize(_parsed(spark, sf))
+    calls = calltargets.resolve_calls(parsed, "shop").withColumn("dst_package", F.lit(""))
+    return linkage.package_of_callees(calls, java.tables_of(parsed, "shop")["class"]).select("src_class", "dst_method", "dst_package")
 
 
 LOMBOK = """package a; @Data public class Row@k@ { private String name; boolean open; static int n; }

@@ -1,6 +1,9 @@
 """Targets of calls over files of many shapes, and files that are cut short."""
 
-from skeinwork.operators import calltargets
+from pyspark.sql import functions as F
+
+from skeinwork.operators import calltargets, linkage
+from skeinwork.plans import codebase
 from skeinwork.sources import java
 
 FILES = {
@@ -106,3 +109,27 @@ def test_long_files_take_linear_time():
     java.parse("f", "class A { void m() { " + "f(" * 20_000)
     java.parse("f", "class A { int x = " + "{" * 20_000 + "/** a */ int y;" * 2000)
     assert time.time() - began < 60
+
+
+def test_packages_of_callees(spark):
+    files = {
+        "Desk.java": "package app; import store.Tray; class Desk { Tray tray; Box.Lid lid; Far far; void go() { tray.put(); lid.lift(); far.run(); } }",
+        "Tray.java": "package store; public class Tray { public void put() {} }",
+        "Box.java": "package app; class Box { static class Lid { void lift() {} } }",
+    }
+    parsed = java.parsed_classes(spark.createDataFrame(list(files.items()), "file_path string, value string"))
+    other = java.parsed_classes(spark.createDataFrame([("Tray.java", "package a; class Tray {} class Far {}")], "file_path string, value string"))
+    calls = calltargets.resolve_calls(parsed, "p").withColumn("dst_package", F.lit(""))
+    # another project's classes of the same names say nothing
+    classes = java.tables_of(parsed, "p")["class"].unionByName(java.tables_of(other, "q")["class"])
+    got = {(r.dst_class, r.dst_method): r.dst_package for r in linkage.package_of_callees(calls, classes).collect()}
+    assert got == {("Tray", "put"): "store", ("Box.Lid", "lift"): "app", ("Far", "run"): None}
+
+
+def test_query_looks_up_every_callee(spark, small):
+    """The query gives every call of java_calls with the package that java_classes has for the callee's class."""
+    found, calls, classes = (codebase.QUERIES[name](spark, small).collect() for name in ("callee_packages", "java_calls", "java_classes"))
+    package = {r.name: r.package_name for r in classes}
+    wanted = [(r.src_class, r.dst_method, package.get(r.dst_class)) for r in calls]
+    assert sorted(map(str, wanted)) == sorted(str((r.src_class, r.dst_method, r.dst_package)) for r in found)
+    assert {p for *_, p in wanted} > {None}
