@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..tables import materialize
+from ..tables import by_key, materialize
 
 
 def methods_of_classes(classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -91,8 +91,8 @@ def _implemented(classes: DataFrame) -> DataFrame:
     step = materialize(classes.select("project", N.simple_name(F.col("name")).alias("type"), F.explode(supers).alias("up")).select("project", "type", plain(F.col("up")).alias("up")).filter("type <> up").distinct())
     found = at
     while True:
-        nxt = at.join(step, ["project", "type"]).select("project", F.col("up").alias("type"), "class_name", (F.col("dist") + 1).alias("dist")).dropDuplicates(["project", "type", "class_name"])
-        at = materialize(nxt.join(found.select("project", "type", "class_name"), ["project", "type", "class_name"], "left_anti"))
+        nxt = at.join(by_key(step), ["project", "type"]).select("project", F.col("up").alias("type"), "class_name", (F.col("dist") + 1).alias("dist")).dropDuplicates(["project", "type", "class_name"])
+        at = materialize(nxt.join(by_key(found.select("project", "type", "class_name")), ["project", "type", "class_name"], "left_anti"))
         if at.isEmpty():
             return found
         found = found.unionByName(at)
@@ -113,7 +113,7 @@ def bean_dependencies(beans: DataFrame, fields: DataFrame, methods: DataFrame, c
     built = methods.select("project", "class_name", "name", "annotations", F.explode("parameters").alias("p"))
     by_constructor = built.filter(F.col("name") == N.simple_name(F.col("class_name"))).select("project", "class_name", F.col("p.name").alias("member"), F.col("p.type").alias("type"), F.lit(2).alias("phase"), F.lit("constructor").alias("injection_type"), F.col("p.name").alias("wish"), F.lit(None).cast("string").alias("qualifier"))
     by_setter = built.filter(F.col("name").startswith("set") & _annotated(F.col("annotations"), *injected)).select("project", "class_name", F.col("name").alias("member"), F.col("p.type").alias("type"), F.lit(3).alias("phase"), F.lit("setter").alias("injection_type"), F.col("p.name").alias("wish"), named(F.col("annotations")).alias("qualifier"))
-    wanted = by_field.unionByName(by_constructor).unionByName(by_setter).join(source, ["project", "class_name"])
+    wanted = by_field.unionByName(by_constructor).unionByName(by_setter).join(by_key(source), ["project", "class_name"])
     holds = F.regexp_extract("type", r"^(?:\w+\.)*(List|Set|Collection|Map|Optional|ObjectProvider|Provider)\s*<(?:.*,)?\s*(?:\? extends )?([\w.]+)[^,]*>$", 1)
     inner = F.regexp_extract("type", r"^(?:\w+\.)*(List|Set|Collection|Map|Optional|ObjectProvider|Provider)\s*<(?:.*,)?\s*(?:\? extends )?([\w.]+)[^,]*>$", 2)
     wanted = wanted.withColumns({"all": holds.isin("List", "Set", "Collection", "Map"), "type": N.simple_name(F.when(holds != "", inner).otherwise(F.substring_index("type", "<", 1)))})
@@ -122,8 +122,8 @@ def bean_dependencies(beans: DataFrame, fields: DataFrame, methods: DataFrame, c
         known = target.select("project", F.col("class_name").alias("type"), "target_bean", F.lit(0).alias("dist"), F.lit(False).alias("primary"))
     else:
         primary = classes.filter(_annotated(F.col("annotations"), "Primary")).select("project", F.col("name").alias("class_name"), F.lit(True).alias("p")).distinct()
-        known = _implemented(classes).join(target, ["project", "class_name"]).join(primary, ["project", "class_name"], "left").select("project", "type", "target_bean", "dist", F.coalesce("p", F.lit(False)).alias("primary"))
-    pairs = wanted.join(known, ["project", "type"]).filter("source_bean <> target_bean")
+        known = _implemented(classes).join(by_key(target), ["project", "class_name"]).join(by_key(primary), ["project", "class_name"], "left").select("project", "type", "target_bean", "dist", F.coalesce("p", F.lit(False)).alias("primary"))
+    pairs = wanted.join(by_key(known), ["project", "type"]).filter("source_bean <> target_bean")
     pairs = pairs.groupBy("project", "source_bean", "target_bean", "phase", "injection_type", "member", "type", "wish", "qualifier", "all").agg(F.min("dist").alias("dist"), F.max("primary").alias("primary"))
     place = Window.partitionBy("project", "source_bean", "phase", "member", "type")
     asked = F.lower("target_bean") == F.lower("qualifier")
