@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import visibility_rank
+from ..tables import by_key
 
 
 def method_rows(methods: DataFrame, links: DataFrame, statements: DataFrame) -> DataFrame:
@@ -24,10 +25,10 @@ def class_rows(classes: DataFrame, methods: DataFrame, fields: DataFrame, depend
     m = methods.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(visibility_rank(F.col("visibility")).alias("r"), "name"))), lambda x: x["name"]), ",").alias("methods"), F.count("*").alias("n_methods"))
     f = fields.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "type", "name"))), ",").alias("fields"))
     own = beans.select("project", "class_name", F.col("name").alias("source_bean"))
-    d = depends.join(own, ["project", "source_bean"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("target_bean")), ",").alias("depends_on"))
+    d = depends.join(by_key(own), ["project", "source_bean"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("target_bean")), ",").alias("depends_on"))
     rows = classes.withColumnRenamed("name", "class_name").select(*key, "package_name", "type", "sub_type", "superclass", F.array_join("interfaces", ",").alias("interfaces"))
     for side in (m, f, d):
-        rows = rows.join(side, key, "left")
+        rows = rows.join(by_key(side), key, "left")
     return rows.fillna({"methods": "", "n_methods": 0, "fields": "", "depends_on": ""})
 
 

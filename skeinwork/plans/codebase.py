@@ -125,6 +125,11 @@ def _code(spark, sf, **more: str) -> dict[str, DataFrame]:
     return java.tables_of(_parsed(spark, sf, **more), "shop")
 
 
+def _code_once(spark, sf) -> dict[str, DataFrame]:
+    """_code() for queries that read several of its tables: every file is cut once."""
+    return java.tables_of(materialize(_parsed(spark, sf)), "shop")
+
+
 @query("""SELECT concat('Part', p_partkey, 'Service') AS name, concat('com.shop', p_size, '.service') AS package_name, 'class' AS type, 'service' AS sub_type, 'BaseService' AS superclass, 'PartPort,AutoCloseable' AS interfaces,
 concat('com.shop', p_size, '.mapper.Part', p_partkey, 'Mapper,java.util.List') AS imports, 'Service,Scope' AS annotations, false AS is_inner, concat('desk of part ', p_partkey) AS logical_name FROM part
 UNION ALL SELECT concat('Part', p_partkey, 'Service.Row'), concat('com.shop', p_size, '.service'), 'class', 'inner_class', NULL, '', concat('com.shop', p_size, '.mapper.Part', p_partkey, 'Mapper,java.util.List'), '', true, '' FROM part
@@ -196,7 +201,7 @@ def class_details(spark, sf):
 @query("""SELECT concat('Part', p_partkey, 'Service') AS class_name, concat(concat('Part', p_partkey, 'Service'), ',', concat('find', p_partkey), ',setAudit,helper') AS methods, 4 AS n_methods,
 array_to_string(list_sort([concat('Part', p_partkey, 'Mapper mapper'), 'int LIMIT', concat('Part', p_partkey, 'Desk desk')]), ',') AS fields, array_to_string(list_sort([concat('part', p_partkey, 'Mapper'), concat('part', p_partkey, 'Desk'), concat('part', p_partkey, 'Audit')]), ',') AS depends_on FROM part""")
 def class_specification(spark, sf):
-    t = _code(spark, sf)
+    t = _code_once(spark, sf)
     b = linkage.beans_of(t["class"])
     rows = classspec.class_rows(t["class"].filter("superclass is not null"), t["method"], t["field"], linkage.bean_dependencies(b, t["field"], t["method"]), b)
     return rows.select("class_name", "methods", "n_methods", "fields", "depends_on")
