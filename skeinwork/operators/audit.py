@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import types_match
+from ..tables import by_key
 
 
 def column_mappings(entity_columns: DataFrame, db_columns: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def result_maps(maps: DataFrame, statements: DataFrame) -> DataFrame:
     used = statements.filter("result_map is not null").groupBy("mapper_name", F.col("result_map").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("used_by"))
     n = F.size("mappings")
     mapped = F.size(F.filter("mappings", lambda m: (F.coalesce(m["property"], F.lit("")) != "") & (F.coalesce(m["column"], F.lit("")) != "")))
-    rows = maps.join(used, ["mapper_name", "id"], "left")
+    rows = maps.join(by_key(used), ["mapper_name", "id"], "left")
     return rows.select("mapper_name", F.col("id").alias("result_map"), n.alias("n_properties"), mapped.alias("n_mapped"), F.when(n > 0, F.round(100 * mapped / n, 4)).otherwise(0.0).alias("completeness"), F.coalesce("used_by", F.lit("")).alias("used_by"))
 
 

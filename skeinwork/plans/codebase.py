@@ -431,7 +431,7 @@ def mapper_statements(spark, sf):
 
 @query("""SELECT concat('Part', p_partkey, 'Mapper') AS mapper_name, unnest(['row', 'none']) AS result_map, unnest([3, 0]) AS n_properties, unnest([2, 0]) AS n_mapped, unnest([CAST(66.6667 AS DOUBLE), CAST(0 AS DOUBLE)]) AS completeness, unnest([concat('find', p_partkey), '']) AS used_by FROM part""")
 def result_map_audit(spark, sf):
-    rows = _xml(spark, sf)
+    rows = materialize(_xml(spark, sf))
     return audit.result_maps(rows.filter("kind = 'result_map'"), rows.filter("kind = 'statement'"))
 
 
