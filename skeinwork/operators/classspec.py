@@ -65,7 +65,7 @@ def test_facts(classes: DataFrame, methods: DataFrame) -> DataFrame:
     names = F.transform("annotations", lambda a: a["name"])
     kind = F.when(F.arrays_overlap(names, F.array(F.lit("SpringBootTest"))), "integration").when(F.exists(names, lambda n: n.rlike("^(DataJpa|WebMvc|Jdbc|Json|DataJdbc|WebFlux|RestClient)Test$")), "slice").otherwise("unit")
     c = classes.select("project", F.col("name").alias("class_name"), kind.alias("test_type"))
-    rows = agg.filter("n_tests > 0").join(text, ["project", "class_name"]).join(c, ["project", "class_name"])
+    rows = agg.filter("n_tests > 0").join(by_key(text), ["project", "class_name"]).join(by_key(c), ["project", "class_name"])
     return rows.select("project", "class_name", F.when(F.col("testng"), "testng").otherwise("junit").alias("framework"), "test_type", "n_tests", "n_setup", "n_mocks", "n_assertions")
 
 

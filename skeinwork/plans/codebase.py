@@ -342,7 +342,7 @@ class Helper@k@ { void none() {} }
 @query("""SELECT concat('Part', p_partkey, 'ServiceTest') AS class_name, 'junit' AS framework, 'integration' AS test_type, 2 AS n_tests, 1 AS n_setup, 2 AS n_mocks, 3 AS n_assertions FROM part
 UNION ALL SELECT concat('Row', p_partkey, 'Tests'), 'testng', 'unit', 1, 1, 0, 0 FROM part UNION ALL SELECT concat('TestDesk', p_partkey), 'junit', 'slice', 1, 0, 1, 0 FROM part""")
 def test_class_facts(spark, sf):
-    t = java.tables_of(java.parsed_classes(_sources(spark, sf, **{"T_.java": TESTS})), "p")
+    t = java.tables_of(materialize(java.parsed_classes(_sources(spark, sf, **{"T_.java": TESTS}))), "p")
     return classspec.test_facts(t["class"], t["method"]).drop("project")
 
 
