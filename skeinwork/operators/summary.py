@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import by_key
 from .linkage import first_per_key
 
 
@@ -44,7 +45,7 @@ def class_details(classes: DataFrame, methods: DataFrame, fields: DataFrame) ->
     m = methods.groupBy(*key).agg(F.sort_array(F.collect_set("name")).alias("methods"))
     f = fields.groupBy(*key).agg(F.sort_array(F.collect_set("name")).alias("fields"))
     none = F.array().cast("array<string>")
-    rows = classes.select("project", F.col("name").alias("class_name")).join(m, key, "left").join(f, key, "left")
+    rows = classes.select("project", F.col("name").alias("class_name")).join(by_key(m), key, "left").join(by_key(f), key, "left")
     return rows.select("class_name", F.coalesce("methods", none).alias("methods"), F.coalesce("fields", none).alias("fields"))
 
 
