@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import by_key, materialize
 from . import condense
 
 
@@ -150,7 +150,7 @@ def sequence_events(calls: DataFrame, runs: DataFrame, uses: DataFrame, tops: Da
     open_, opened, events = base, [base], []
     steps = calls.select("src", "dst", F.coalesce("call_order", F.lit(0)).alias("n")).distinct()
     for depth in range(1, max_depth + 1):
-        hit = open_.join(steps, open_.node == steps.src)
+        hit = open_.join(by_key(steps), open_.node == steps.src)
         row = hit.select("top", F.concat("sort_path", F.lit("a"), pad(F.col("n")), F.lit(":"), "dst", F.lit("/")).alias("sort_path"), F.lit("call").alias("kind"), F.lit(depth).alias("depth"), F.col("src").alias("source"), F.col("dst").alias("target"), F.concat("stack", F.array("dst")).alias("stack"))
         row = materialize(row)
         if row.isEmpty():
@@ -161,16 +161,16 @@ def sequence_events(calls: DataFrame, runs: DataFrame, uses: DataFrame, tops: Da
         first = Window.partitionBy("top", "target").orderBy("sort_path")
         new = row.withColumn("k", F.row_number().over(first)).filter("k = 1")
         before = seen.groupBy("top", F.col("node").alias("target")).agg(F.min("sort_path").alias("earlier"))
-        new = new.join(before, ["top", "target"], "left").filter(F.col("earlier").isNull() | (F.lit(walk) & (F.col("earlier") > F.col("sort_path"))))
+        new = new.join(by_key(before), ["top", "target"], "left").filter(F.col("earlier").isNull() | (F.lit(walk) & (F.col("earlier") > F.col("sort_path"))))
         open_ = materialize(new.select("top", F.col("target").alias("node"), "sort_path", "stack", "depth"))
         opened.append(open_)
         seen = seen.unionByName(open_.select("top", "node", "sort_path"))
     made = reduce(DataFrame.unionByName, events) if events else base.select("top", "sort_path", F.lit("call").alias("kind"), "depth", F.col("node").alias("source"), F.col("node").alias("target"), "stack").limit(0)
     opened = reduce(DataFrame.unionByName, opened)
     opened = opened.withColumn("k", F.row_number().over(Window.partitionBy("top", "node").orderBy(F.concat("sort_path", F.lit("b"))))).filter("k = 1").drop("k")
-    sql = opened.join(runs.select(F.col("method").alias("node"), "sql_id").distinct(), "node")
+    sql = opened.join(by_key(runs.select(F.col("method").alias("node"), "sql_id").distinct()), "node")
     sql = sql.select("top", F.concat("sort_path", F.lit("b"), "sql_id", F.lit("/")).alias("sort_path"), F.lit("sql").alias("kind"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("source"), F.col("sql_id").alias("target"), "stack")
-    tables = sql.join(uses.select(F.col("sql_id").alias("target"), "table_name").distinct(), "target")
+    tables = sql.join(by_key(uses.select(F.col("sql_id").alias("target"), "table_name").distinct()), "target")
     tables = tables.select("top", F.concat("sort_path", F.lit("c"), "table_name").alias("sort_path"), F.lit("table").alias("kind"), (F.col("depth") + 1).alias("depth"), F.col("target").alias("source"), F.col("table_name").alias("target"), "stack")
     return made.unionByName(sql).unionByName(tables)
 

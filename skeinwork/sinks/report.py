@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import markdown_cell, mermaid_id
 
+#: Bits of the number of lines of a diagram that are joined at once.
+_CHUNK_BITS = 13
+
 
 def _text(lines: DataFrame, head: list[str]) -> DataFrame:
     """One row: head lines, then the column line in the order of column pos. For report-sized inputs."""
@@ -51,16 +54,22 @@ def class_text(rows: DataFrame) -> DataFrame:
 
 
 def sequence_text(flow: DataFrame, style: str = "mermaid") -> DataFrame:
-    """(top, text): a sequence diagram of activation_flow rows; style mermaid or plantuml."""
+    """(top, text): a sequence diagram of activation_flow rows; style mermaid or plantuml.
+
+    Lines are numbered in order by ranges and joined by chunks, so what a task holds at once is the chunks of one diagram, no path or line of it.
+    """
     solid, dashed = ("->>", "-->>") if style == "mermaid" else ("->", "-->")
     pad = "    " if style == "mermaid" else ""
     party = lambda c: mermaid_id(F.regexp_replace(c, r"\.[^.]*$", ""))
     label = F.when(F.col("kind") == "return", "return").otherwise(F.regexp_extract("target", r"([^.]*)$", 1))
     line = F.concat(F.lit(pad), party("source"), F.when(F.col("kind") == "return", dashed).otherwise(solid), party("target"), F.lit(": "), label)
-    body = F.transform(F.array_sort(F.collect_list(F.struct("sort_path", "step", line.alias("line")))), lambda x: x["line"])
-    out = flow.groupBy("top").agg(F.array_join(body, "\n").alias("body"))
-    whole = F.concat(F.lit("sequenceDiagram\n"), "body") if style == "mermaid" else F.concat(F.lit("@startuml\n"), "body", F.lit("\n@enduml"))
-    return out.select("top", whole.alias("text"))
+    order = ["top", "sort_path", "step", "line"]
+    # ids ascend within a range and from range to range; a chunk never spans two ranges
+    lines = flow.select("top", "sort_path", "step", line.alias("line")).repartitionByRange(*order).sortWithinPartitions(*order).select("top", "line", F.monotonically_increasing_id().alias("id"))
+    joined = lambda col, key: F.transform(F.array_sort(F.collect_list(F.struct(key, col))), lambda x: x[col])
+    chunks = lines.groupBy("top", F.shiftright("id", _CHUNK_BITS).alias("chunk")).agg(F.concat_ws("\n", joined("line", "id")).alias("body"))
+    first, last = ("sequenceDiagram", []) if style == "mermaid" else ("@startuml", [F.lit("@enduml")])
+    return chunks.groupBy("top").agg(F.concat_ws("\n", F.lit(first), joined("body", "chunk"), *last).alias("text"))
 
 
 def write_sheets(sheets: dict[str, DataFrame], folder: str, form: str = "csv") -> None:
